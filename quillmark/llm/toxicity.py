@@ -3,12 +3,12 @@
 A word's subwords are the hashed character n-grams of its marked form, so a misspelling that was never seen shares
 most vectors with the word it stands for. Vectors are averaged over a window of words, the softmax gives the window's
 probability, and a text is as toxic as its worst window, so that length does not dilute it. As labels belong to
-texts, each step learns from the worst window of every text (for clean texts from a further random one too).
+texts, each step learns from the worst window of a toxic text and from the worst few of a clean one.
 
 Because softmax and average are linear, a trained model gives each word a logit and each window the mean of those of
 its words' subwords: scoring needs one memoised number pair a word.
 
-Learning uses at most SAMPLE labelled texts, the ones whose hashed doc_id is smallest. Rows: a null or empty text, or
+Learning uses at most SAMPLE labelled texts of SAMPLE_CHARS together, the ones whose hashed doc_id is smallest. Rows: a null or empty text, or
 one without words, is scored by the bias alone; if nothing can be learnt the score is 0; repeated rows get equal
 scores; an empty table gives no rows.
 """
@@ -21,17 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bound on labelled texts to learn from.
-SAMPLE = 6000
-#: Bound on the characters of one text while learning (whole texts are scored).
-SAMPLE_CHARS = 40_000
+SAMPLE = 8000
+#: Bound on the characters of those texts together; texts beyond it are not learnt from, none is cut.
+SAMPLE_CHARS = 100_000_000
 BUCKETS = 1 << 17
 DIMS = 8
 GRAMS = (3, 4, 5)
-WINDOW = 8
+WINDOW = 3
+#: Windows of a clean text that a step learns from, and by how much each weighs less.
+CLEAN_WINDOWS = 4
+CLEAN_SHARE = 2.0
+#: Subwords of fewer labelled texts are not learnt: they would only name single texts.
+MIN_TEXTS = 6
 CACHE_ENTRIES = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -87,7 +92,7 @@ def window_means(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (a[ends] - a[starts]) / np.maximum(b[ends] - b[starts], 1)
 
 
-def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: int = DIMS, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Model | None:
+def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: int = DIMS, epochs: int = 8, rate: float = 0.3, seed: int = 7) -> Model | None:
     """Joint training of vectors and softmax by Adagrad over the chosen windows."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -96,10 +101,17 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims))
     weights, bias = rng.normal(0, 1, dims), 0.0
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t[:SAMPLE_CHARS])], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
     grams = [subwords(w, buckets) for w in vocabulary]
     sizes = np.array([len(g) for g in grams])
     flat, begin = np.concatenate(grams or [np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum(sizes)))
+    texts_of = np.zeros(buckets, np.int64)
+    for d in docs:
+        own = np.unique(d)
+        if len(own):
+            texts_of[np.unique(np.concatenate([flat[begin[w] : begin[w + 1]] for w in own]))] += 1
+    rare = texts_of < MIN_TEXTS
+    vectors[rare] = 0
     seen_v, seen_w, seen_b = np.full(buckets, 1e-6), np.full(dims, 1e-6), 1e-6
     order = np.arange(len(docs))
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -124,12 +136,12 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
                 chosen = [int(np.argmax(means))]
                 if y[i] and epoch == 0:  # nothing is known yet: all of a toxic text stands for it
                     chosen = rng.integers(0, len(starts), min(8, len(starts))).tolist()
-                elif not y[i]:
-                    chosen += rng.integers(0, len(starts), 2).tolist()
+                elif not y[i]:  # the worst windows of a clean text are the ones to learn from
+                    chosen = np.argpartition(-means, min(CLEAN_WINDOWS, len(means)) - 1)[:CLEAN_WINDOWS].tolist()
                 for c in chosen:
                     picked.append(docs[i][starts[c] : starts[c] + WINDOW])
                     target.append(y[i])
-                    weight.append(balance[i] / len(chosen))
+                    weight.append(balance[i] / (len(chosen) if y[i] else CLEAN_SHARE))
             ids = [np.concatenate([flat[begin[w] : begin[w + 1]] for w in p]) for p in picked]
             n = np.array([len(x) for x in ids])
             rows, cols = np.repeat(np.arange(len(ids)), n), np.concatenate(ids)
@@ -140,6 +152,7 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
             touched, where = np.unique(cols, return_inverse=True)
             gradient = np.zeros((len(touched), dims))
             np.add.at(gradient, where, step)
+            gradient[rare[touched]] = 0
             seen_v[touched] += (gradient**2).mean(axis=1)
             grad_w, grad_b = error @ mean / len(ids), error.sum() / len(ids)
             vectors[touched] -= rate * gradient / np.sqrt(seen_v[touched])[:, None]
@@ -154,8 +167,8 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """labelled: doc_id, text, toxic. Gathers at most `sample` rows, which is the bound on the driver's memory."""
     rows = (
         labelled.where("text is not null and toxic is not null")
-        .select(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic")
-        .orderBy("k", "text", "toxic").limit(sample).toPandas()
+        .select(F.xxhash64("doc_id").alias("k"), "text", "toxic").orderBy("k", "text", "toxic").limit(sample)
+        .withColumn("chars", F.sum(F.length("text")).over(Window.orderBy("k", "text", "toxic"))).where(F.col("chars") <= SAMPLE_CHARS).toPandas()
     )
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
