@@ -50,17 +50,22 @@ def _spans(text: Column, kind: int, pattern: str, drop_short: str | None = None)
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
+def _row_key() -> Column:
+    """Rows of the same doc_id and text are one; others that repeat a doc_id, or have none, are not."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
+
+
 def strong_and_weak(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (of doc_id and text), strong and weak spans."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     strong = F.concat(_spans(F.col("text"), 0, _ASSIGN, _ASSIGN_LONG), _spans(F.col("text"), 1, _ACCESS), _spans(F.col("text"), 2, _HEX))
     weak = F.concat(_spans(F.col("text"), 3, _ACCOUNT), _spans(F.col("text"), 4, _BARE), _spans(F.col("text"), 5, _ENDPOINT))
-    return rows.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("row_key"), F.array_sort(strong).alias("strong"), F.array_sort(weak).alias("weak"))
+    return rows.select("doc_id", _row_key().alias("row_key"), F.array_sort(strong).alias("strong"), F.array_sort(weak).alias("weak"))
 
 
 def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base (the strong spans), all_spans (with the weak ones that are linked);
+    """doc_id, row_key, n_assign, n_access, n_hex, base (the strong spans), all_spans (with the weak ones that are linked);
     spans are array<struct<start, kind, end>>, kind numbering KINDS."""
     found = written(strong_and_weak(docs))
     # Weak spans that lie in a strong one add nothing.
@@ -90,7 +95,7 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     count = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return joined.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.col("strong").alias("base"), F.array_sort(F.concat("strong", F.coalesce("linked", none))).alias("all_spans")
+        "doc_id", "row_key", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.col("strong").alias("base"), F.array_sort(F.concat("strong", F.coalesce("linked", none))).alias("all_spans")
     )
 
 
@@ -109,3 +114,11 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
     return F.aggregate(spans, start, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """docs with every reported span of their texts replaced by a mark."""
+    spans = scan(docs).where(F.size("all_spans") > 0).select(F.col("row_key").alias("_key"), F.col("all_spans").alias("_spans")).dropDuplicates(["_key"])
+    joined = docs.withColumn("_own", _row_key()).join(spans, F.col("_own") == F.col("_key"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
+    return joined.withColumn("text", text).select(*docs.columns)
