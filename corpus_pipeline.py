@@ -42,9 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each reported span is replaced by a mark, so that no secret reaches the next stage."""
-    spans = secrets.scan(docs).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_id"), "all_spans").dropDuplicates(["_id"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn("text", F.when(F.col("all_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("all_spans")))).select(*docs.columns)
+    return secrets.redact_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
