@@ -48,10 +48,13 @@ def page_pixels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return at.select("page", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), grey.alias("value")), images.where("width <= 0").select(F.col("origin").alias("path"))
 
 
-def class_folders(spark: SparkSession, path: str, *, skip_underscore: bool = True) -> DataFrame:
-    """path, label (the parent folder); folders that begin with _ are left out unless asked for."""
-    items = _listing(spark, path).where(_is_image(F.col("path"))).select("path", _folder(F.col("path")).alias("label"))
-    return items.where(~F.startswith("label", F.lit("_"))) if skip_underscore else items
+def class_folders(spark: SparkSession, path: str, *hidden: str) -> DataFrame:
+    """path, label (the parent folder). Spark's listing passes over folders that begin with _; those that are to be
+    read all the same are named in `hidden`."""
+    found = _listing(spark, path)
+    for folder in hidden:
+        found = found.unionByName(_listing(spark, folder))
+    return found.where(_is_image(F.col("path"))).select("path", _folder(F.col("path")).alias("label"))
 
 
 def flat_files(spark: SparkSession, path: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +65,7 @@ def flat_files(spark: SparkSession, path: str, labels: DataFrame) -> tuple[DataF
 
 def label_list(spark: SparkSession, path: str) -> DataFrame:
     """label_index (from 0, blank lines not counted), label of a text file with a label a line."""
-    lines = F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), lambda s: F.trim(s)), lambda s: s != "")
     return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("label_index", "label"))
 
 
