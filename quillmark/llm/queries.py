@@ -48,8 +48,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels.where(_fold("doc_id", 5) != 0), "doc_id"))
-    scored = toxicity.score(docs, model)
+    model = toxicity.train(docs, labels.where(_fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -75,5 +75,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+EMBED_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept FROM embeddings e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it. The others need tokenizers, XXH64, a parser of pages, look-arounds or a trained model."""
+    return {"op4_exact_topk": TOPK_SQL.strip(), "op9_embedding_dedup": EMBED_SQL.strip()}

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bound on labelled texts to learn from.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Bound on the characters of those texts together; texts beyond it are not learnt from, none is cut.
 SAMPLE_CHARS = 100_000_000
 BUCKETS = 1 << 17
@@ -37,15 +36,35 @@ CLEAN_WINDOWS = 4
 CLEAN_SHARE = 2.0
 #: Subwords of fewer labelled texts are not learnt: they would only name single texts.
 MIN_TEXTS = 6
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
+#: Texts, and new words, that are worked on together.
+TEXTS_AT_ONCE = 256
+WORDS_AT_ONCE = 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the marked word and of its character n-grams, each once."""
-    marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return np.array(sorted(xxhash.xxh32_intdigest(g) % buckets for g in grams), np.int64)
+def word_grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, places): hashed character n-grams of all marked words at once, and the place of each gram's word. The
+    marked word itself is one more gram."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words])
+    ends = np.cumsum(lengths)
+    place = np.repeat(np.arange(len(words)), lengths)
+    left = ends[place] - np.arange(len(codes))  # characters up to the end of the word
+    mixed = (codes + (left.astype(np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    hashes, owners = [np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), ends - lengths)], [np.arange(len(words))]
+    rolled = codes
+    for n in range(2, max(GRAMS) + 1):
+        rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in GRAMS:
+            whole = np.flatnonzero(left[: len(rolled)] >= n)
+            hashes.append(rolled[whole] + np.uint64(n))
+            owners.append(place[whole])
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(33)).astype(np.int64) % buckets, np.concatenate(owners)
 
 
 def words_of(text: str) -> list[str]:
@@ -56,29 +75,49 @@ class Model:
     """Subword vectors, softmax weights and bias; grams (logit, number of subwords) of a word."""
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: float):
-        self.logits = (vectors @ weights).astype(np.float32)
+        self.logits = vectors @ weights
         self.bias = float(bias)
-        self.memo: dict[str, tuple[float, int]] = {}
-
-    def word(self, word: str) -> tuple[float, int]:
-        got = self.memo.get(word)
-        if got is None:
-            at = subwords(word, len(self.logits))
-            got = float(self.logits[at].sum()), len(at)
-            if len(self.memo) >= CACHE_ENTRIES:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+        self.memo: dict[str, list[tuple[float, float]]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def learn(self, chunks: list[str]) -> None:
+        """Memoises (sum of subword logits, number of subwords) of each word of texts without white space."""
+        lists = [words_of(c) for c in chunks]
+        words = [w for found in lists for w in found]
+        pairs: list[tuple[float, float]] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            buckets, places = word_grams(part, len(self.logits))
+            sums, sizes = np.bincount(places, self.logits[buckets], len(part)), np.bincount(places, minlength=len(part))
+            pairs += zip(sums.tolist(), sizes.tolist(), strict=True)
+        at = 0
+        for chunk, found in zip(chunks, lists, strict=True):
+            self.memo[chunk] = pairs[at : at + len(found)]
+            at += len(found)
+
+    def score_all(self, texts: list[str | None]) -> list[float]:
+        """For each text the probability of its worst window; windows start at each half window."""
+        parts = [(t or "").lower().split() for t in texts]
+        asked = set().union(*parts)
+        new = [c for c in asked if c not in self.memo]
+        if len(self.memo) + len(new) > CACHE_ENTRIES:
+            self.memo.clear()
+            new = list(asked)
+        self.learn(sorted(new))
+        out = []
+        for part in parts:
+            pairs = [pair for chunk in part for pair in self.memo[chunk]]
+            worst = 0.0
+            if pairs:
+                flat = np.array(pairs)
+                worst = float(window_means(flat[:, 0], flat[:, 1]).max())
+            out.append(float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60)))))
+        return out
 
     def score(self, text: str | None) -> float:
-        """Probability of the worst window; windows start at each half window."""
-        words = words_of(text or "")
-        if not words:
-            worst = 0.0
-        else:
-            pairs = np.array(list(map(self.word, words)))
-            worst = float(window_means(pairs[:, 0], pairs[:, 1]).max())
-        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60))))
+        return self.score_all([text])[0]
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -101,10 +140,15 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims))
     weights, bias = rng.normal(0, 1, dims), 0.0
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    grams = [subwords(w, buckets) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams])
-    flat, begin = np.concatenate(grams or [np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum(sizes)))
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    every, flats, counts = list(vocabulary), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(every), WORDS_AT_ONCE):  # in parts: the arrays of all words at once are large
+        hashed, owners = word_grams(every[at : at + WORDS_AT_ONCE], buckets)
+        flats.append(hashed[np.argsort(owners, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owners))
+    flat, sizes = np.concatenate(flats), np.concatenate(counts)
+    del vocabulary, every, flats
+    begin = np.concatenate(([0], np.cumsum(sizes)))
     texts_of = np.zeros(buckets, np.int64)
     for d in docs:
         own = np.unique(d)
@@ -123,7 +167,7 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
             if not len(own):
                 continue
             logits = vectors @ weights
-            place = np.full(len(grams), -1)
+            place = np.full(len(sizes), -1)
             place[own] = np.arange(len(own))
             at = np.concatenate([flat[begin[w] : begin[w + 1]] for w in own])
             word_sum = np.add.reduceat(logits[at], np.concatenate(([0], np.cumsum(sizes[own])[:-1])))
@@ -163,27 +207,34 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
     return Model(vectors, weights, bias)
 
 
-def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Model | None:
-    """labelled: doc_id, text, toxic. Gathers at most `sample` rows, which is the bound on the driver's memory."""
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
+    """docs: doc_id, text; labels: doc_id, toxic. The sample is drawn from ids alone, and only its texts are read:
+    at most `sample` rows are broadcast and come to the driver."""
+    known = labels.where("toxic is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("k")).orderBy("k", "doc_id", "toxic").limit(sample)
     rows = (
-        labelled.where("text is not null and toxic is not null")
-        .select(F.xxhash64("doc_id").alias("k"), "text", "toxic").orderBy("k", "text", "toxic").limit(sample)
-        .withColumn("chars", F.sum(F.length("text")).over(Window.orderBy("k", "text", "toxic"))).where(F.col("chars") <= SAMPLE_CHARS).toPandas()
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("k", "text", "toxic").limit(sample)
+        .withColumn("chars", F.sum(F.length("text")).over(Window.orderBy("k", "text", "toxic"))).where(F.col("chars") <= SAMPLE_CHARS).select("text", "toxic").toPandas()
     )
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    texts, marks = rows["text"].tolist(), rows["toxic"].astype(int).tolist()
+    del rows
+    return fit(texts, marks)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, then score and predicted."""
+def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those of keep), then score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = [model.score(t.as_py()) if model else 0.0 for t in batch["_text"]]
+            texts, scores = batch["_text"].to_pylist(), []
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                part = texts[at : at + TEXTS_AT_ONCE]
+                scores += model.score_all(part) if model else [0.0] * len(part)
             keep = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep.schema.names, "score", "predicted"])
 
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     out = docs.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, out)

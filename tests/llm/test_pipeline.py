@@ -45,3 +45,16 @@ def test_stages_take_empty_tables_and_null_ids(spark, sf):
             table = stage(spark, table, sf)
             table = spark.createDataFrame(table.collect(), table.schema)
         assert table.count() >= least
+
+
+def test_oracles(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.sql(sql).df()
+        columns = sorted(want.columns)
+        got = queries.queries()[name](spark, sf).toPandas()
+        assert sorted(got.columns) == columns
+        assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))

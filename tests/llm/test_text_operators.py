@@ -174,7 +174,7 @@ def test_toxicity_learns_and_shares_subwords(spark):
 def test_toxicity_without_labels(spark):
     assert toxicity.fit([], []) is None and toxicity.fit(["a"], [1]) is None
     labelled = spark.createDataFrame([(1, None, 1), (2, "x", None)], "doc_id long, text string, toxic int")
-    assert toxicity.train(labelled) is None
+    assert toxicity.train(labelled, labelled.select("doc_id", "toxic")) is None
     assert toxicity.score(labelled.select("doc_id", "text"), None).first()["score"] == 0.0
 
 
