@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic."""
     source = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(source.join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.train(source, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     taken = docs.withColumnsRenamed({"predicted": "_predicted", "score": "_score"})
     kept = toxicity.score(taken, model).where("predicted = 0").drop("predicted", "score")
     return kept.withColumnsRenamed({"_predicted": "predicted", "_score": "score"})
