@@ -31,7 +31,7 @@ ROUNDS = 3
 KEY_BITS = 16
 #: Part of the code's bits in which a linked pair may differ: twice the mean at a cosine of 0.93.
 FAR = 0.25
-BLOCK = 1024
+BLOCK = 256
 
 
 def learn_rotations(sample: np.ndarray, rounds: int = ROUNDS, steps: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
