@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import langid, packing, secrets, simhash, toxicity
+from quillmark.llm import langid, near_copies, packing, secrets, toxicity
 from quillmark.llm._common import read_table, shared_dir
 
 
@@ -34,8 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one whose doc_id names the component; of rows that repeat it, one."""
-    heads = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps one document of each group of near copies (similarity of 0.8 or more on five words, links in a row count):
+    the one of the smallest doc_id; of rows that repeat it, one."""
+    heads = near_copies.groups(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
 
