@@ -34,11 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (similarity of 0.8 or more on five words, links in a row count):
-    the one of the smallest doc_id; of rows that repeat it, one."""
-    heads = near_copies.groups(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    """Keeps one row of each group of near copies (similarity of 0.8 or more on five words, links in a row count): the
+    one of the smallest doc_id, without a doc_id only if no other has one; of rows equal in doc_id and text, one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
+    heads = near_copies.groups(docs).groupBy("component").agg(first).select(F.col("first.doc_id").alias("_head"), F.col("first.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", near_copies.text_key())
+    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["_head"]) & (rows["_text_key"] == heads["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

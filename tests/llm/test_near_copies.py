@@ -47,3 +47,12 @@ def test_stage_drops_edited_copies_and_nothing_else(spark, sf, monkeypatch, bloc
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect())
     assert got == sorted(set(components(len(texts), pairs)))
+
+
+def test_stage_goes_by_rows_where_ids_repeat_or_lack(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, a + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    assert len(got) == 3 and (1, a) in got and (1, b) in got
+    assert [d for d, t in got if t in (c, c + " end")] == [None]
