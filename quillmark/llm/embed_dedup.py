@@ -27,7 +27,7 @@ from ._common import edges_to_components, whole_groups, written
 THRESHOLD = 0.93
 #: Bound on the vectors that rotations are learnt from.
 SAMPLE = 8192
-ROUNDS = 3
+ROUNDS = 5
 KEY_BITS = 16
 #: Part of the code's bits in which a linked pair may differ: twice the mean at a cosine of 0.93.
 FAR = 0.25

@@ -154,3 +154,20 @@ def test_top_k_small_and_large_values(spark):
     rows = topk.top_k(table, table.where("vec_id = 0"), k=20).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in rows] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
     assert topk.top_k(table, table.where("vec_id = 5"), k=3).count() == 0 and topk.top_k(table.limit(0), table.limit(0), k=3).count() == 0
+
+
+def test_embedding_recall_near_the_threshold(spark):
+    """Pairs planted by themselves at each cosine, so that no block of copies outweighs them."""
+    rng = np.random.default_rng(9)
+    cosines, n, dims = (0.931, 0.935, 0.94, 0.95), 400, 64
+    x = rng.normal(size=(len(cosines) * n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = np.repeat(cosines, n)[:, None]
+    vectors = np.concatenate((x, c * x + np.sqrt(1 - c**2) * off))
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    linked = {r["vec_id"] for r in embed_dedup.near_duplicates(table).where("n_links > 0").collect()}
+    for k, cosine in enumerate(cosines):
+        assert sum(i in linked for i in range(k * n, (k + 1) * n)) >= 0.92 * n, cosine
