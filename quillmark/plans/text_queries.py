@@ -82,7 +82,8 @@ def comma_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def repeated_words_dropped(spark: SparkSession, d: str) -> DataFrame:
     """T08."""
-    return _per_line(spark, d, text.drop_repeated_words)
+    lines = transcripts.number_lines(b.table(spark, d, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "line_no", text.drop_repeated_words(F.col("line")).alias("s"))
 
 
 CAPITAL_SQL = """parts AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[^.!?]*[.!?]|[^.!?]+$')) AS p, generate_subscripts(regexp_extract_all(line, '[^.!?]*[.!?]|[^.!?]+$'), 1) AS i FROM lines),
@@ -145,22 +146,23 @@ SPOKEN_SQL = (
 BLOCKS_SQL = """blocks AS (SELECT doc_id, line_no, who <> '' AS opens, coalesce(last_value(nullif(who, '') IGNORE NULLS) OVER w, '') AS speaker, sum((who <> '')::BIGINT) OVER w AS block_id, utterance FROM spoken WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
+def _turns(spark: SparkSession, d: str, *, ascii_only: bool = False) -> DataFrame:
+    """Conversations as texts; ascii_only (turns without accents) is for queries that are held against SQL."""
     role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("role")), F.lit("Bailiff:"))
-    turns = b.table(spark, d, "conversations").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]'").select(F.col("conv_id").alias("doc_id"), F.struct("turn", F.concat(role, F.lit(" "), "text").alias("t")).alias("s"))
+    turns = b.table(spark, d, "conversations").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]'" if ascii_only else "true").select(F.col("conv_id").alias("doc_id"), F.struct("turn", F.concat(role, F.lit(" "), "text").alias("t")).alias("s"))
     return turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("text"))
 
 
 @query("SELECT doc_id, line_no, opens, speaker, block_id::BIGINT AS block_id, utterance FROM blocks", TURNS_SQL, SPOKEN_SQL, BLOCKS_SQL)
 def speaker_blocks(spark: SparkSession, d: str) -> DataFrame:
     """T13, W05."""
-    return transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d))).drop("line")
+    return transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d, ascii_only=True))).drop("line")
 
 
 @query("SELECT doc_id, speaker, block_id::BIGINT AS block_id, count(*) AS lines, sum(length(utterance))::BIGINT AS chars FROM blocks GROUP BY ALL", TURNS_SQL, SPOKEN_SQL, BLOCKS_SQL)
 def block_sizes(spark: SparkSession, d: str) -> DataFrame:
     """T17 (the blocks that are rendered)."""
-    blocks = transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d)))
+    blocks = transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d, ascii_only=True)))
     return blocks.groupBy("doc_id", "speaker", "block_id").agg(F.count("*").alias("lines"), F.sum(F.length("utterance")).alias("chars"))
 
 
