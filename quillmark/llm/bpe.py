@@ -2,10 +2,12 @@
 
 encode: canonical composition, white space to one space, lower case by character; words by pattern; then merges from a
 priority queue of (rank, position) over a doubly linked list of symbols, where entries whose symbols have changed are
-skipped. decode: the vocabulary's strings, joined as the file's (absent) decoder says. Words are memoised.
+skipped. decode: the vocabulary's strings, joined as the file's (absent) decoder says. Words are memoised, in a memo that
+is bounded in bytes.
 
-Rows: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows give
-repeated results; other columns are ignored; an empty table gives no rows.
+Rows: a null text counts as empty; an empty text has no ids and decodes to the empty string; a text of any length is
+encoded whole, in time that grows with n log n in its longest word; repeated rows give repeated results; a null doc_id
+is kept; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _Generations
+from .tokens import Generations
 
-CACHE_ENTRIES = 300_000
+#: Bound on the bytes of a generation of memoised words, and of chunks; a worker holds two of each at most.
+MEMO_BYTES = 64 << 20
 #: Control characters that str.split() takes for white space and the Unicode property does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -53,8 +56,9 @@ class WordBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.visible = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.cache = _Generations(self._chunk, CACHE_ENTRIES)
-        self.word_cache = _Generations(self._word, CACHE_ENTRIES)
+        weigh = lambda got: 100 + len(got[0]) + 4 * len(got[1])
+        self.cache = Generations(self._chunk, MEMO_BYTES, weigh)
+        self.word_cache = Generations(self._word, MEMO_BYTES, weigh)
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":

@@ -1,15 +1,21 @@
-"""Byte-level BPE ids of whole texts through the tokenizers library, memoised by word.
+"""Byte-level BPE ids of whole texts through the tokenizers library, a distinct word at a time.
 
-The library spends most of its time on bookkeeping for spans. Pre-tokenisation never joins text across a single
-space between two visible characters, so a text may be cut there and each piece be encoded on its own; pieces recur,
-so their ids are kept as bytes in a bounded two-generation cache. Results equal those of the library's own encode().
+The library spends most of its time on bookkeeping for spans. Pre-tokenisation never joins text across a single space
+between two visible characters, so texts may be cut there. A batch of texts is cut and its pieces are numbered by Arrow;
+only its distinct pieces are looked at in Python, their words' ids come from the library's model and are kept in a
+two-generation memo that is bounded in bytes; numpy lays the ids of all pieces end to end. Results equal those of the
+library's own encode().
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -17,38 +23,45 @@ from tokenizers import Tokenizer
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Signs that stand behind a word as one run; no letter, digit or white space is among them.
 _MARKS = ".,;:!?%&*#$"
-#: Entries of a generation; a worker holds two at most.
-CACHE_ENTRIES = 300_000
+#: Bound on the bytes of a generation of words (a worker holds two at most), and of a generation of other parts.
+WORD_BYTES = 96 << 20
+PART_BYTES = 24 << 20
+#: Characters of texts that are worked on together (a longer text is alone).
+BATCH_CHARS = 32 << 20
+#: Longer keys seldom recur and aren't kept.
+LONGEST_KEY = 40
+#: What an entry takes besides the characters of its key and its value: two objects and a place in the table.
+_ENTRY = 200
 
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Irregular(Exception):
-    """A piece that begins or ends with white space: the text has to be cut with care."""
+class Generations(dict):
+    """Memo of make(key), bounded in bytes: when full it becomes the old generation, from which entries in use are taken
+    over. Long keys are not kept."""
 
-
-class _Generations(dict):
-    """Bounded memo: when full it becomes the old generation, from which entries in use are taken over."""
-
-    def __init__(self, make, size: int):
+    def __init__(self, make, size: int, weigh=len):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.weigh, self.old, self.held = make, size, weigh, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+            if len(key) > LONGEST_KEY:
+                return value
+        if self.held >= self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += _ENTRY + 2 * len(key) + self.weigh(value)
         return value
 
 
 class ByteBpe:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
+    """encode(text) gives the ids as little-endian unsigned 32-bit integers; encode_all(texts) those of many texts."""
 
     _loaded: dict[str, "ByteBpe"] = {}
 
@@ -60,9 +73,10 @@ class ByteBpe:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.visible = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.visible[32]
         self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
-        self.parts = _Generations(self._part, CACHE_ENTRIES)
-        self.pieces = _Generations(self._spaced, CACHE_ENTRIES)
+        self.parts = Generations(self._part, PART_BYTES)
+        self.spaced_words = Generations(self._spaced_word, WORD_BYTES)
 
     @classmethod
     def load(cls, path: str) -> "ByteBpe":
@@ -71,12 +85,13 @@ class ByteBpe:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _ids(self, shown: str) -> bytes:
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(shown)])
+
     def _part(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode("utf-8", "replace").decode("latin-1").translate(self.visible)
-        elif not word.isalpha():
-            word = word.translate(self.visible)
-        return b"".join([self.four[t.id] for t in self.model.tokenize(word)])
+        """A word of the pattern."""
+        return self._ids(word.encode("utf-8", "replace").decode("latin-1").translate(self.visible))
 
     def _piece(self, piece: str) -> bytes:
         """Any piece that stands between cuts, with its leading space if it has one."""
@@ -84,35 +99,79 @@ class ByteBpe:
             return b"".join([self.four[i] for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
         return b"".join(map(self.parts.__getitem__, self.words.findall(piece)))
 
-    def _spaced(self, piece: str) -> bytes:
-        """A piece of visible ends that follows a space."""
+    def _spaced_word(self, word: str) -> bytes:
+        """A word of letters that follows a space."""
+        return self._ids(self.space + word) if word.isascii() else self._part(" " + word)
+
+    def _spaced(self, piece: str) -> bytes | None:
+        """A piece that follows a space, cut at spaces; none if it is empty or white space is at one of its ends."""
         if piece.isalpha():
-            return self._part(" " + piece)
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Irregular
+            return self.spaced_words[piece]
         word = piece.rstrip(_MARKS)
         if word.isalpha():
-            return self.pieces[word] + self.parts[piece[len(word) :]]
+            return self.spaced_words[word] + self.parts[piece[len(word) :]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
         head, line, rest = piece.partition("\n")
         if line and not head[-1].isspace() and not rest[0].isspace() and not any(s in piece for s in self.special):
-            return self.pieces[head] + self.parts["\n"] + self._piece(rest)
+            return self._spaced(head) + self.parts["\n"] + self._piece(rest)
         return self._piece(" " + piece)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            first, *rest = _CUT.split(text)
-        try:
-            return self._piece(first) + b"".join(map(self.pieces.__getitem__, rest))
-        except _Irregular:
-            pass
         first, *rest = _CUT.split(text)
         out = [self._piece(first)]
         for piece in rest:
-            try:
-                out.append(self.pieces[piece])
-            except _Irregular:  # white space at the end of the text
-                out.append(self._piece(" " + piece))
+            got = self._spaced(piece)
+            out.append(self._piece(" " + piece) if got is None else got)  # white space at the end of the text
         return b"".join(out)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) end to end, and how many each has."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        pieces = lists.flatten()
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()  # splitting makes a piece of any text
+        coded = pc.dictionary_encode(pieces)
+        made = list(map(self._spaced, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        codes = coded.indices.to_numpy(zero_copy_only=False).copy()
+        firsts = pieces.take(pa.array(starts)).to_pylist()
+        # The first piece has no space before it; a text with more white space than single spaces stands as one piece.
+        irregular = np.array([m is None for m in made], bool)
+        odd = irregular[codes]
+        odd[starts] = [not f or f[-1].isspace() for f in firsts]
+        whole = np.add.reduceat(odd, starts, dtype=np.int64) > 0
+        codes[starts] = np.arange(n) + len(made)
+        if whole.any():
+            inner = np.repeat(whole, np.diff(np.append(starts, len(codes))))
+            inner[starts] = False
+            codes[inner] = len(made) + n
+        made += [self.encode(texts[i].as_py() or "") if whole[i] else self._piece(f) for i, f in enumerate(firsts)]
+        every = pa.array([*made, b""], pa.large_binary()).take(pa.array(codes))
+        _, ends, data = every.buffers()
+        at = np.frombuffer(ends, np.int64, len(codes) + 1)
+        lengths = np.diff(np.append(at[starts], at[-1])) // 4
+        return np.frombuffer(data, "<u4", int(at[-1]) // 4) if at[-1] else np.zeros(0, "<u4"), lengths
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and lengths of texts, each followed by an end id."""
+    out = np.full(len(ids) + len(lengths), end_id, "<u4")
+    own = np.ones(len(out), bool)
+    own[np.cumsum(lengths + 1) - 1] = False
+    out[own] = ids
+    return out, lengths + 1
+
+
+def pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of the texts of about BATCH_CHARS bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BATCH_CHARS, "right")))
+        yield texts.slice(at, to - at)
+        at = to

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,11 +37,37 @@ def test_byte_bpe_equals_the_library(library):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_cache_generations_keep_results(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+def check_batch(own, library, texts):
+    ids, lengths = own.encode_all(pa.array(texts, pa.string()))
+    at = 0
+    for text, n in zip(texts, lengths.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+        at += n
+    assert at == len(ids)
+
+
+def test_batches_equal_the_library(library):
+    own = tokens.ByteBpe.load(tokens.default_path())
+    for texts in (mixed(3000) + TEXTS, [None], ["", ""], [], ["a" * 200_000, "ab " * 100_000]):
+        check_batch(own, library, texts)
+    sliced = pa.array(TEXTS).slice(3, 4)
+    assert own.encode_all(sliced)[1].tolist() == [len(library.encode(t or "").ids) for t in TEXTS[3:7]]
+
+
+def test_pieces_of_are_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 10)
+    texts = pa.array(["x" * 30, None, "", "abc", "defgh", "ijklm", "n" * 9])
+    parts = [p.to_pylist() for p in tokens.pieces_of(texts)]
+    assert sum(parts, []) == texts.to_pylist() and len(parts) > 3
+
+
+def test_memo_is_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(tokens, "WORD_BYTES", 700)
+    monkeypatch.setattr(tokens, "PART_BYTES", 700)
     own = tokens.ByteBpe(tokens.default_path())
-    for text in mixed(200, 5):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    check_batch(own, library, mixed(200, 5) + ["one two three four five six seven eight " * 3, "z" * 500 + " " + "y" * 500])
+    for memo in (own.parts, own.spaced_words):
+        assert memo.held <= 700 + 1000 and len(memo) < 8 and not any(len(k) > tokens.LONGEST_KEY for k in (*memo, *memo.old))
 
 
 def test_word_bpe_equals_the_library():
@@ -59,13 +86,42 @@ def test_simple8b_round_trip(values):
     assert (simple8b.decode(simple8b.encode(ids), len(ids)) == ids).all()
 
 
+def plain_simple8b(ids):
+    """Word by word: the first selector whose ids all fit."""
+    out, at = [], 0
+    while at < len(ids):
+        for s, (count, bits) in enumerate(zip(simple8b.COUNTS, simple8b.BITS, strict=True)):
+            part = ids[at : at + count]
+            if all(x < 1 << bits for x in part):
+                out.append(s << 60 | sum(x << k * bits for k, x in enumerate(part)))
+                at += count
+                break
+        else:
+            out += [simple8b.ESCAPE << 60, ids[at]]
+            at += 1
+    return out
+
+
+def test_simple8b_equals_plain_coding_and_blocks_stand_alone():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 59, 240, 241, 700):
+        ids = [rng.getrandbits(rng.choice((0, 1, 3, 8, 15, 16, 30, 34, 64))) for _ in range(n)]
+        words, ids_before, words_before = simple8b.encode_blocks(np.array(ids, np.uint64), 50)
+        assert words.tolist() == plain_simple8b(ids)
+        for i, j, v, w in zip(ids_before, ids_before[1:], words_before, words_before[1:], strict=False):
+            assert simple8b.decode(words[v:w], int(j - i)).tolist() == ids[i:j]
+
+
 def test_simple8b_long_runs_are_short():
     assert len(simple8b.encode(np.zeros(2400, np.uint64))) == 10
 
 
 def test_shards_round_trip():
     ids = np.arange(10_000, dtype=np.uint32) * 5 % 50_000
-    assert [x if isinstance(x, list) else x.tolist() for x in token_files.unpack_shard(token_files.pack_shard([None, 3], [4000, 6000], ids))] == [[None, 3], [4000, 6000], ids.tolist()]
+    data = token_files.pack_shard(np.array([token_files.NO_DOC, 3]), np.array([4000, 6000]), ids)
+    assert [x.tolist() for x in token_files.unpack_shard(data)] == [[token_files.NO_DOC, 3], [4000, 6000], ids.tolist()]
+    blocks = [token_files.read_block(data, b) for b in range(3)]
+    assert np.concatenate(blocks).tolist() == ids.tolist() and all(len(b) >= 1800 for b in blocks)
     with pytest.raises(ValueError):
         token_files.unpack_shard(b"none of these")
 
@@ -86,6 +142,11 @@ def test_token_files_of_repeated_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b"), (5, "a")], "doc_id long, text string")
     rows = token_files.read_shards(token_files.write_token_files(docs, f"file://{tmp_path}/t")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 5, 5, 5] and [r["start"] for r in rows] == [0, 2, 4, 6]
+    hot = spark.range(4000).selectExpr("cast(7 as bigint) doc_id", "'same' text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    files = token_files.write_token_files(hot, f"file://{tmp_path}/h")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 1 and token_files.read_shards(files).select("start").distinct().count() == 4000
     assert token_files.read_shards(token_files.write_token_files(docs.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
@@ -112,6 +173,13 @@ def test_packing(spark, library, length):
     assert check_packing(packing.pack(documents(spark, texts), length=length).collect(), want, length) == 0
 
 
+def test_few_tails_are_moved(spark, library):
+    """Of 3,000 documents only the spare tails keep their ids until places are known."""
+    texts = [" ".join(["word"] * (i % 37)) for i in range(3000)]
+    want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert check_packing(packing.pack(documents(spark, texts), length=64).collect(), want, 64) == 0
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(documents(spark).limit(0)).count() == 0
 
