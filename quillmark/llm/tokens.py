@@ -24,10 +24,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Signs that stand behind a word as one run; no letter, digit or white space is among them.
 _MARKS = ".,;:!?%&*#$"
 #: Bound on the bytes of a generation of words (a worker holds two at most), and of a generation of other parts.
-WORD_BYTES = 96 << 20
+WORD_BYTES = 80 << 20
 PART_BYTES = 24 << 20
 #: Characters of texts that are worked on together (a longer text is alone).
-BATCH_CHARS = 32 << 20
+BATCH_CHARS = 16 << 20
 #: Longer keys seldom recur and aren't kept.
 LONGEST_KEY = 40
 #: What an entry takes besides the characters of its key and its value: two objects and a place in the table.
