@@ -39,6 +39,8 @@ BARE = "aB3" * 11
         (f"just {BARE} alone", []),
         ("user=root alone", []),
         ("https://db.example.com:5432 user=root password=hunter22", ["endpoint", "account", "assign"]),
+        ("host=db.example.com. user=root password=hunter22", ["endpoint", "account", "assign"]),
+        ("host=localhost user=root password=hunter22", ["account", "assign"]),
         ("https://db.example.com user=root", []),
         (f"user=root {'x ' * 400} {BARE}", []),
     ],
@@ -78,6 +80,31 @@ def test_redacted_documents(spark):
     assert sorted(r["text"] or "" for r in secrets.redact_documents(docs).collect()) == ["", "[secret]", "none here", "see [secret] there"]
 
 
+@pytest.mark.parametrize("unit", ["host=" + "a." * 500_000, "a" * 1_000_000, "A.a-" * 250_000, "password" + " " * 1_000_000, "user=" * 200_000, "http://" * 140_000, "AKIA" * 250_000, "f0" * 500_000, "é" * 500_000, "token:" * 160_000])
+def test_long_texts_are_scanned(spark, unit):
+    docs = spark.createDataFrame([(1, unit)], "doc_id long, text string")
+    assert [(s["start"], s["kind"], s["end"]) for s in secrets.scan(docs).first()["base"]] == base_spans(unit)
+
+
+def test_many_spans_take_no_square_of_time(spark):
+    import time
+
+    text = "password=abcdefg user=bob é " * 16_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.scan(docs).first()
+    assert row["n_assign"] == 16_000 and len(row["all_spans"]) == 32_000
+    assert [(s["start"], s["kind"], s["end"]) for s in row["base"]] == base_spans(text)
+    assert secrets.redact_documents(docs).first()["text"] == "[secret] [secret] é " * 16_000
+    assert time.time() - began < 60
+
+
+def test_redaction_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, f"user=root {BARE} end", 1, 2, 3, "x"), (1, f"user=root {BARE} end", 1, 2, 3, "y"), (2, "token=abcdef", 4, 5, 6, None)], "doc_id long, text string, _key int, row_key int, strong int, doc string")
+    got = secrets.redact_documents(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.na.fill("").collect())) == [(1, "[secret] [secret] end", 1, 2, 3, "x"), (1, "[secret] [secret] end", 1, 2, 3, "y"), (2, "[secret]", 4, 5, 6, "")]
+
+
 def test_native_plan(spark):
     docs = spark.createDataFrame([(1, "token=abcdef")], "doc_id long, text string")
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
