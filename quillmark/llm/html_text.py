@@ -1,13 +1,22 @@
 """Main text of web pages by composite text density.
 
-For every node: T characters of text, L of them inside links, G tags, of which K links. The density of the node is
-T / G corrected for links: T / G * log(T / L * G / K) / log(log(T L / non-link + L T / all + e)), all over the body;
-a node's density sum is that of its children. The node of greatest density sum is taken, and its threshold is the
-least density on the path from it to the body; the content is the highest node on that path at which nothing below the
-threshold lies above it, without the parts that are boilerplate by their tag, role or class.
-
-Parsing is tolerant: unclosed and misnested tags are closed as browsers close them. Rows: a null or empty page has
-empty text; repeated rows repeat; other columns are ignored; an empty table gives no rows.
+For every node of the body: C characters of text (white space collapsed), L of them inside links, T tags below it, K of
+them links. Its density is the characters a tag, corrected for links: C / T * log(C / L * T / K) to the base
+ln(C / (C - L) * L + share * C + e), where share is the body's L / C and counts of 0 stand as 1; a node without text has
+density 0. A node's sum is that of its children's densities; of a block that holds no other, its own; of words in a
+line (which are no subtree of their own), 0.
+
+The node of the greatest sum is looked for (of equals the outermost; nodes in parts that their tag, role or class names
+as menu, footer, comments and so on are passed over). The threshold is the least density on the path from it to the body.
+From the body down, each node at or above the threshold marks the node of greatest sum below it, if that has at least a
+tenth of the greatest sum of all (a single line of plain text is dense as well); the content is the smallest subtree that holds all marked nodes. Blocks in it that lie under the threshold and hold no marked node go if
+most of their text is links, if they say whose rights are reserved (but for paragraphs in an <article>), or if they are no
+paragraphs, headings, quotations or the like and stand outside of the kept blocks; named parts go last.
+
+Parsing closes unclosed and misnested tags as browsers do, in time that grows with the page: open tags are found by
+name, and what a tag that is never ended costs is bounded. Rows: a null or empty page has empty text; pages of any length
+and depth are read whole; repeated rows repeat; a null page_id or url is kept; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,179 +31,287 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript textarea title template iframe xmp noembed noframes svg math".split())
+#: Nothing in them is markup; all but the last three end the page's text if they are never closed.
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Tags that close an open <p>.
+#: Tags that close an open <p>, and end an unclosed <svg> or <math>.
 _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: For a tag that opens: the open tags it closes, and those at which the search ends.
+#: For a tag that opens: the open tags it closes, and those beyond which none is closed.
 _SIBLINGS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "option": ("option", "select"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "tbody": ("thead tbody tr td th", "table"), "tfoot": ("thead tbody tr td th", "table"), "thead": ("thead tbody tr td th", "table"),
 }
-_DROP_TAGS = frozenset("nav footer aside form button select dialog menu label fieldset object embed canvas audio video map head".split())
+_SIBLINGS = {tag: (closes.split(), ends.split()) for tag, (closes, ends) in _SIBLINGS.items()}
+#: End tags of others do not reach out of these.
+_SCOPES = frozenset("table td th caption".split())
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that an article is made of: they stay however short they are.
+_PROSE = _HEADINGS | frozenset("p pre blockquote li dd dt td th tr tbody table ul ol dl figure figcaption br hr hgroup".split())
+_DROP_TAGS = frozenset("nav footer aside form button select dialog menu label fieldset object embed canvas audio video map head svg template noscript".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer foot header masthead menu menus nav navbar navigation notice notices notification popup modal overlay promo promoted promotion related recommended recommendations share sharing social sidebar sidenav side sponsor sponsored sponsors subscribe subscription newsletter signup login search searchbox toolbar topbar widget widgets skip pagination pager tags tagcloud alert paywall respond replies reply".split()
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
+#: Words of class names that name a part wherever they stand, and those that do only alone or as site-..., page-..., ....
+_DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adsense adslot breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer masthead menu menus nav navbar navigation promo promoted promotion related recommended recommendations sidebar sidenav sponsor sponsored sponsors subscribe subscription newsletter signup pagination pager tagcloud paywall".split())
+_DROP_NAMES = frozenset("banner banners header notice notices notification popup modal overlay share sharing social side login search searchbox toolbar topbar widget widgets skip tags alert respond replies reply".split())
+_PREFIXES = frozenset("site page global top main masthead".split())
+_RIGHTS = re.compile(r"©|\(c\)\s|copyright|all rights reserved", re.I)
+
+_OPENING = re.compile(r"</?[A-Za-z][^\s/>]*+|<!--|<!\[CDATA\[|<[!?/]")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Part of the greatest sum that a marked node needs.
+LEAST_SHARE = 0.1
+#: Attributes longer than this are not looked at for names.
+_LONGEST_ATTRS = 10_000
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "link_chars", "tags", "links", "density", "total")
+    __slots__ = ("attrs", "best", "chars", "children", "density", "depth", "drop", "link_chars", "links", "marked", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
+        self.tag, self.parent, self.attrs = tag, parent, attrs
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
+        self.drop = self.marked = False
+
+    def nodes(self) -> list["Node"]:
+        return [c for c in self.children if isinstance(c, Node)]
 
 
-def _is_boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in _DROP_TAGS or (tag == "header" and not inside_article):
-        return True
-    if not attrs:
+def _named(tag: str, attrs: str) -> bool:
+    """Whether the attributes name a part that is no article."""
+    if not attrs or len(attrs) > _LONGEST_ATTRS:
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in _DROP_ROLES:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        low = value.lower()
+        if name == "role" and low in _DROP_ROLES or name == "style" and _HIDDEN.search(low) or name == "aria-hidden" and low == "true":
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower())
-            if not _DROP_WORDS.isdisjoint(words):
-                return True
-        elif name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply", "related", "promo", "ad"}.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, " ", attrs)))
+        if name in ("class", "id") and tag not in ("html", "body", "main") and tag not in _HEADINGS:
+            for token in _CAMEL.sub("-", value).lower().split():
+                words = [w for w in _SPLIT.split(token) if w]
+                if not _DROP_WORDS.isdisjoint(words):
+                    return True
+                if words and words[-1] in _DROP_NAMES and (len(words) == 1 or _PREFIXES.issuperset(words[:-1])):
+                    return True
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)))
+
+
+class _Tags:
+    """Tags of a page in order: (start, end, name, is an end tag, attributes); comments and the like have no name."""
+
+    def __init__(self, page: str):
+        self.page, self.spare = page, 4 * len(page)
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Where a tag ends whose name ends at `at`, past its quoted values; -1 if it doesn't end."""
+        page, first = self.page, at
+        while self.spare > 0 and (m := _STOP.search(page, at)):
+            at = m.end()
+            if m[0] == ">":
+                self.spare -= at - first
+                return at
+            if self.last[m[0]] < at:  # the quote isn't closed
+                break
+            at = page.index(m[0], at) + 1
+        self.spare -= at - first
+        return page.find(">", first) + 1 or -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        page = self.page
+        while m := _OPENING.search(page, at):
+            start, sign = m.start(), m[0]
+            if sign == "<!--":
+                end = page.find("-->", m.end())
+                return start, end + 3 if end >= 0 else len(page), "", False, ""
+            if sign == "<![CDATA[":
+                end = page.find("]]>", m.end())
+                return start, end + 3 if end >= 0 else len(page), "", False, page[m.end() : end if end >= 0 else len(page)]
+            if self.last[">"] < m.end():
+                return (start, len(page), "", False, "") if sign in ("<!", "<?", "</") else None
+            if sign in ("<!", "<?", "</"):
+                return start, page.index(">", start) + 1, "", False, ""
+            end = self.end(m.end())
+            if end > 0:
+                closing = sign[1] == "/"
+                return start, end, sign[1 + closing :].lower(), closing, page[m.end() : end - 1]
+            at = m.end()
+        return None
 
 
 def parse(page: str) -> Node:
     """A tree of nodes and strings (character references decoded) below a node `#root`."""
     root = node = Node("#root", None)
-    at, n = 0, len(page)
+    tags, at, body = _Tags(page), 0, None
+    opened: dict[str, list[Node]] = {}
+
+    def depth(names) -> int:
+        return max((opened[t][-1].depth for t in names if opened.get(t)), default=0)
+
+    def close(to: Node) -> None:
+        """Closes all open nodes down to and with `to`."""
+        nonlocal node
+        while node is not to:
+            opened[node.tag].pop()
+            node = node.parent
+        opened[node.tag].pop()
+        node = node.parent
 
     def text(piece: str) -> None:
         if piece:
             node.children.append(html.unescape(piece) if "&" in piece else piece)
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>"))
+    while found := tags.next(at):
+        start, end, tag, closing, attrs = found
+        text(page[at:start])
+        at = end
+        if not tag:
+            if attrs:
+                node.children.append(attrs)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in ("html", "body") and up.tag in ("table", "td", "th", "article", "body") and tag not in _BLOCK:
-                    up = root  # an inline end tag doesn't reach out of these
-                    break
-                up = up.parent
-            if up is not root and up.tag not in ("body", "html"):
-                node = up.parent
+        if closing:
+            if tag in ("html", "body") or not opened.get(tag):
+                continue
+            target = opened[tag][-1]
+            if tag in _TABLE or target.depth > depth(_SCOPES):
+                close(target)
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else n
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = (page.find(">", m.end()) + 1 or len(page)) if m else len(page)
             continue
-        if tag == "body" and any(isinstance(c, Node) and c.tag == "body" for c in root.children) or tag == "html":
+        if tag == "html" or tag == "body" and body:
             continue
-        if tag == "body":
-            node = root
+        if tag == "body" or opened.get("head") and tag not in ("meta", "link", "base", "noscript", "template"):
+            while node is not root:
+                close(node)
         if tag in _CLOSES_P:
-            up = node
-            while up is not root and up.tag not in ("p", "td", "th", "button", "article", "body", "div", "li"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            for foreign in ("svg", "math"):
+                if opened.get(foreign) and opened[foreign][0].depth > depth(_SCOPES):
+                    close(opened[foreign][0])
+            if opened.get("p") and opened["p"][-1].depth > depth(_SCOPES):
+                close(opened["p"][-1])
         if tag in _SIBLINGS:
             closes, ends = _SIBLINGS[tag]
-            up, last = node, None
-            while up is not root and up.tag not in ends:
-                last = up if up.tag in closes else last
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        if tag == "body" or tag not in ("head",) and node.tag == "head":
-            node = root if tag == "body" else (root if tag not in ("meta", "link", "base") else node)
-        inside = False
-        if tag == "header":
-            up = node
-            while up is not root and not inside:
-                inside, up = up.tag in ("article", "main"), up.parent
-        child = Node(tag, node, _is_boilerplate(tag, m[3], inside))
+            border = depth(ends)
+            inner = [opened[t][-1] for t in closes if opened.get(t) and opened[t][-1].depth > border]
+            if inner:
+                close(min(inner, key=lambda x: x.depth))
+        child = Node(tag, node, attrs)
         node.children.append(child)
-        if tag not in _VOID and not m[3].endswith("/"):
+        body = child if tag == "body" else body
+        if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
+            opened.setdefault(tag, []).append(child)
             node = child
-        elif tag not in _VOID and m[3].endswith("/") and tag not in ("br", "hr"):
-            node = child if tag in _BLOCK else node
+    text(page[at:])
     return root
 
 
-def _walk(root: Node) -> list[Node]:
-    """Kept nodes, parents first; no recursion, as pages may nest without bound."""
+def walk(root: Node) -> list[Node]:
+    """All nodes, parents first; no recursion, as pages may nest without bound."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.drop)
+        stack.extend(reversed(node.nodes()))
     return out
 
 
-def _weigh(nodes: list[Node]) -> None:
+def weigh(nodes: list[Node]) -> None:
+    """Density and density sum of each node. nodes: a body and all below it, parents first."""
     for node in reversed(nodes):
         node.chars = node.link_chars = node.tags = node.links = 0
-        node.total = 0.0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(_SPACE.sub(" ", c).strip())
-            elif not c.drop:
+            else:
                 node.chars += c.chars
                 node.link_chars += c.link_chars
                 node.tags += c.tags + 1
                 node.links += c.links + (c.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
-    body = nodes[0]
-    share = body.link_chars / max(body.chars, 1)
+    share = nodes[0].link_chars / max(nodes[0].chars, 1)
     for node in reversed(nodes):
+        node.density = 0.0
         if node.chars:
-            t, l, g, k = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.links, 1)
-            base = math.log(t / max(t - node.link_chars, 1) * node.link_chars + share * t + math.e)
-            node.density = t / g * math.log(max(t / l * g / k, 1.0) + 1) / math.log(base + 1)
-        else:
-            node.density = 0.0
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop) + (node.density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0)
-
-
-def choose(root: Node) -> Node:
-    """The subtree of greatest density sum, raised along its path to the body while densities stay at the threshold."""
-    body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
-    nodes = _walk(body)
-    _weigh(nodes)
-    best = max(nodes, key=lambda x: x.total)  # the first, so the outermost, of equals
-    threshold, up = best.density, best
+            c, l, t, k = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.links, 1)
+            base = math.log(c / max(c - node.link_chars, 1) * l + share * c + math.e)
+            node.density = c / t * math.log(max(c / l * t / k, 1.0)) / math.log(base)
+        inner = node.nodes()
+        holds_block = any(c.tag in _BLOCK and c.tag not in _VOID for c in inner)
+        node.total = sum(c.density for c in inner) if holds_block else node.density if node.tag in _BLOCK else 0.0
+
+
+def _drop_named(nodes: list[Node]) -> None:
+    """Marks the parts that are named as no article; a header is one unless it heads an article or section."""
+    inside = {nodes[0]: False}
+    for node in nodes:
+        held = node is not nodes[0] and (inside[node.parent] or node.parent.tag in ("article", "main", "section"))
+        inside[node] = held
+        node.drop = node is not nodes[0] and (node.parent.drop or node.tag in _DROP_TAGS or node.tag == "header" and not held or _named(node.tag, node.attrs))
+
+
+def choose(root: Node) -> tuple[Node, float]:
+    """The content's subtree and the threshold; its marked nodes are marked."""
+    body = next((n for n in walk(root) if n.tag == "body"), root) if root.tag == "#root" else root
+    nodes = walk(body)
+    weigh(nodes)
+    _drop_named(nodes)
+    for node in reversed(nodes):  # the node of greatest sum in each subtree, the outermost of equals
+        node.best = node
+        for c in node.nodes():
+            if not c.drop and c.best.total > node.best.total:
+                node.best = c.best
+    threshold, up = body.best.density, body.best
     while up is not body:
         up = up.parent
         threshold = min(threshold, up.density)
-    up = best
-    while up is not body:
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold and not node.drop:
+            node.best.marked |= node.best.total >= LEAST_SHARE * body.best.total
+            if node.best is not node:
+                stack.extend(node.nodes())
+    content = None
+    for node in nodes:
+        if node.marked:
+            if content is None:
+                content = node
+                continue
+            other = node
+            while other is not content:
+                if other.depth >= content.depth:
+                    other = other.parent
+                else:
+                    content = content.parent
+    return content or body, threshold
+
+
+def prune(content: Node, threshold: float) -> None:
+    """Drops the blocks under the threshold that belong to no article."""
+    nodes, up = walk(content), content
+    while up.parent is not None and up.tag != "article":
         up = up.parent
-        if up.tag in ("article", "main") or up.density > threshold:
-            best = up
-            if up.tag in ("article", "main"):
-                break
-    return best
+    kept = _PROSE if up.tag == "article" else frozenset()  # an article may say whose rights are reserved
+    holds = dict.fromkeys(nodes, False)
+    for node in reversed(nodes):
+        holds[node] = node.marked or any(holds[c] for c in node.nodes())
+    for node in nodes:
+        blocks = [c for c in node.nodes() if c.tag in _BLOCK and not c.drop]
+        sure = [c.density >= threshold or holds[c] or c.tag in _PROSE for c in blocks]
+        first, last = (sure.index(True), len(sure) - sure[::-1].index(True)) if True in sure else (0, len(sure))
+        for i, c in enumerate(blocks):
+            if c.density >= threshold or holds[c] or not c.chars:
+                continue
+            text = " ".join(blocks_of(c)) if c.chars < 300 and not c.nodes() else ""
+            c.drop = 2 * c.link_chars > c.chars and c.links > 1 or c.tag not in kept and bool(_RIGHTS.search(text)) or not sure[i] and not first <= i < last
 
 
 def blocks_of(node: Node) -> list[str]:
@@ -222,7 +339,11 @@ def blocks_of(node: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(blocks_of(choose(parse(page)))) if page else ""
+    if not page:
+        return ""
+    content, threshold = choose(parse(page))
+    prune(content, threshold)
+    return " ".join(blocks_of(content))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -126,13 +126,104 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+UNMARKED = [
+    # No tag or name helps: link bar, text and a line on rights in one wrapper.
+    ("<body><div><div><a href=1>Home</a> <a href=2>News</a> <a href=3>About</a></div><h1>T</h1><p>" + "long words here " * 30 + "</p><p>short.</p><p>" + "more words " * 40 + "</p><div>© 2024 All rights reserved.</div></div></body>", "T " + ("long words here " * 30).strip() + " short. " + ("more words " * 40).strip()),
+    # Sections side by side, a list of links below.
+    ("<body><div><div><p>" + "alpha " * 60 + "</p><p>" + "beta " * 60 + "</p></div><div><p>" + "gamma " * 50 + "</p><p>" + "delta " * 50 + "</p></div></div><ul>" + "<li><a href=1>more</a>" * 20 + "</ul></body>", " ".join((w + " ") * n for w, n in (("alpha", 60), ("beta", 60), ("gamma", 50), ("delta", 50))).replace("  ", " ").strip()),
+    # A class that only sounds like a header's, mathematics in a line, an unclosed svg.
+    ("<body><div class='post'><h2 class='section-header'>Head</h2><div class='post-header'><p>By a writer</p></div><p>" + "one " * 50 + "<math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p><svg><path d=1><p>" + "three " * 50 + "</p></div></body>", "Head By a writer " + "one " * 50 + "x=2 two " + ("three " * 50).strip()),
+    ("<body><article><p>" + "x " * 50 + "</p><p>All rights reserved.</p></article><div>All rights reserved.</div></body>", ("x " * 50) + "All rights reserved."),
+]
+
+
+def test_unmarked_pages():
+    for page, want in UNMARKED:
+        assert html_text.main_text(page) == want
+
+
+def plain_density(node, share):
+    """The formula on a node, by walking its whole subtree again."""
+    import math
+
+    below = html_text.walk(node)[1:]
+    texts = lambda n: sum(len(" ".join(c.split())) for x in html_text.walk(n) for c in x.children if isinstance(c, str))
+    links = [n for n in html_text.walk(node) if n.tag == "a" and not any(up.tag == "a" for up in path(n, node)[1:])]
+    chars, link_chars = texts(node), sum(map(texts, links))
+    if not chars:
+        return 0.0
+    tags, k, line = len(below) or 1, sum(n.tag == "a" for n in below) or 1, link_chars or 1
+    base = math.log(chars / ((chars - link_chars) or 1) * line + share * chars + math.e)
+    return chars / tags * math.log(max(chars * tags / (line * k), 1)) / math.log(base)
+
+
+def path(node, top):
+    out = [node]
+    while out[-1] is not top:
+        out.append(out[-1].parent)
+    return out
+
+
+def random_page(rng, depth=0):
+    if depth == 5 or rng.random() < 0.2:
+        return rng.choice(["", "word ", "some longer words ", "text " * 40])
+    tag = rng.choice(["div", "p", "a", "b", "section", "ul", "span", "h2"])
+    return f"<{tag}>" + "".join(random_page(rng, depth + 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+
+def test_densities_and_choice_equal_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(150):
+        root = html_text.parse("<body>" + "".join(random_page(rng) for _ in range(4)) + "</body>")
+        content, threshold = html_text.choose(root)
+        body = root.nodes()[0]
+        nodes = html_text.walk(body)
+        share = body.link_chars / max(body.chars, 1)
+        block = lambda n: n.tag in ("body", "div", "p", "section", "ul", "h2")
+        for n in nodes:
+            assert n.density == pytest.approx(plain_density(n, share))
+            inner = n.nodes()
+            want = sum(c.density for c in inner) if any(map(block, inner)) else n.density if block(n) else 0
+            assert n.total == pytest.approx(want)
+        best = max(nodes, key=lambda n: n.total)
+        assert threshold == min(n.density for n in path(best, body))
+        marked, stack = set(), [body]
+        while stack:
+            n = stack.pop()
+            if n.density >= threshold:
+                if (top := max(html_text.walk(n), key=lambda x: x.total)).total >= html_text.LEAST_SHARE * best.total:
+                    marked.add(top)
+                stack += n.nodes()
+        assert best in marked and {n for n in nodes if n.marked} <= marked
+        assert all(content in path(n, body) for n in nodes if n.marked)
+        assert all(any(m in path(n, body) for m in nodes if m.marked) for n in marked)
+
+
+def test_long_and_broken_pages():
+    import time
+
+    n = 60_000
+    pages = ["<a " * n, "<span>" * n + "</b>" * n, "<i>" * n + "<td>" * n, '<a href="x>' * n + "t", "<a b='\">" * n, "<" * n, "&" * n, "<div>" * n + "deep", "<ul>" + "<li>" * n, "<p>" + "<i>" * n + "<hr>" * n, "<!-- " * n, "<svg>" * n + "<p>t", "<table><tr><td>" * n + "x", "<p " + "a=b " * n + ">x", "<i><td>" + "<b>" * n + "</i>" * n, "<article><p>" + "long words " * n + "</p></article>", "<script>" * n, "<p>a<br>" * n]
+    for page in pages:
+        began = time.time()
+        text = html_text.main_text(page)
+        assert time.time() - began < 15 and isinstance(text, str), page[:20]
+    assert html_text.main_text(pages[-3]) == ("long words " * n).strip() and html_text.main_text(pages[7]) == "deep"
+
+
 def test_given_pages_keep_the_article(spark, sf):
+    """The whole article and nothing else, and in most pages the densities alone choose the article's node."""
     import html
 
+    chosen = []
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         article = re.search("<article>(.*)</article>", r["html"], re.S)[1]
         want = " ".join(html.unescape(re.sub("</?(h1|p|br)>", " ", article).replace("<b>", "")).split())
         assert html_text.main_text(r["html"]) == want
+        chosen.append(html_text.choose(html_text.parse(re.sub("(</?)article>", r"\1div>", r["html"]).replace(" class=ad", "").replace('class="ad"', "").replace("nav>", "div>").replace("footer>", "div>")))[0].nodes()[0].tag)
+    assert chosen.count("h1") >= 0.6 * len(chosen)
 
 
 def test_language_equals_brute_force(spark):
