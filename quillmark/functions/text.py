@@ -63,7 +63,10 @@ COMMA_RULES = (
     (False, r"\btestimony\s+photographs\s+statement\s+and police report\b", "testimony, photographs, statement, and police report"),
     (False, r"\bphotographs\s+statement\s+and police report\b", "photographs, statement, and police report"),
 )
-CLAUSE_QUESTIONS = QUESTION_STARTERS[:17]
+CLAUSE_QUESTIONS = (
+    "who", "what", "when", "where", "why", "how", "do", "does", "did", "is", "are", "was", "were", "can", "could",
+    "would", "should",
+)
 LINE_WIDTH = 76
 # -----------------------------------------------------------------------------------------------------------------
 
@@ -95,7 +98,7 @@ def normalize_spacing(text: Column) -> Column:
     """One space between words, none before ,.;:!? and one behind unless a space, quote or bracket follows; runs of
     marks that are left together are cut to one."""
     spaced = trim_spaces(F.regexp_replace(text, r"(?U)\s+", " "))
-    marks = _replace(spaced, (r"(?U)\s+([,.;:!?])", "$1"), (r"""(?U)([,.;:!?])([^\s"')\]])""", "$1 $2"), (r"([!?]){2,}", "$1"), (r"\.{2,}", "."))
+    marks = _replace(spaced, (r"(?U)\s+([,.;:!?])", "$1"), (r"""(?U)([,.;:!?])([^\s"')\]])""", "$1 $2"), (r"[!?]+([!?])", "$1"), (r"\.{2,}", "."))
     return trim_spaces(marks)
 
 
@@ -116,10 +119,19 @@ def insert_commas(text: Column) -> Column:
     return _replace(text, *((("(?U)" if case else "(?iU)") + p, r) for case, p, r in COMMA_RULES))
 
 
-def drop_repeated_words(text: Column, passes: int = 3) -> Column:
-    """Adjacent repeats of a word become its first occurrence, but for the words that may repeat."""
-    pattern = rf"(?iU)\b(?!(?:{'|'.join(REPEATS_ALLOWED)})\b)([A-Za-z]+(?:'[A-Za-z]+)?)\b(?:\s+\b\1\b)+"
-    return _replace(text, *[(pattern, "$1")] * passes)
+def drop_repeated_words(text: Column) -> Column:
+    """Adjacent repeats of a word become its first occurrence, but for the words that may repeat, again and again until
+    nothing changes. Repeats are matched possessively, so a long run of them needs no stack; a pass that changes a text
+    takes a word away, so there are fewer passes than words, and passes after the last change do nothing."""
+    word, again = r"([A-Za-z]+(?:'[A-Za-z]+)?)\b", r"(?:\s++\b{}\b)++"
+    pattern = rf"(?iU)\b(({'|'.join(REPEATS_ALLOWED)})\b{again.format(r'\2')})|\b{word}{again.format(r'\3')}"
+
+    def once(state: Column, _: Column) -> Column:
+        shorter = let(F.regexp_replace(state["text"], pattern, "$1$3"), lambda t: F.struct(t.alias("text"), F.coalesce(t == state["text"], F.lit(True)).alias("done")))
+        return F.when(state["done"], state).otherwise(shorter)
+
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(F.split(text, " "))), start, once, lambda state: state["text"])
 
 
 def capitalize_sentences(text: Column) -> Column:
@@ -141,7 +153,6 @@ def first_word(text: Column) -> Column:
 def end_sentence(text: Column) -> Column:
     """A text without .!? at its end gets ? if its first word starts questions, else a full stop."""
 
-
     def end(bare: Column) -> Column:
         mark = F.when(first_word(bare).isin(*QUESTION_STARTERS), "?").otherwise(".")
         return F.when((bare == "") | bare.rlike(r"[.!?]\z"), bare).otherwise(F.concat(bare, mark))
@@ -152,7 +163,6 @@ def end_sentence(text: Column) -> Column:
 def fix_questions(text: Column) -> Column:
     """Texts that ask -- by their first word, an oath or a clause -- end in a question mark."""
 
-
     def fix(bare: Column) -> Column:
         clause = bare.rlike(rf"(?iU),\s*({'|'.join(CLAUSE_QUESTIONS)})\b.+$")
         asks = first_word(bare).isin(*QUESTION_STARTERS) | bare.rlike(r"(?iU)\bdo you swear\b") | clause
@@ -205,13 +215,14 @@ def wrap_words(text: Column, width: int = LINE_WIDTH) -> Column:
     """array<string>: words filled greedily into lines of a width; longer words stand alone, none are broken."""
     words = F.filter(F.split(text, r"[\t\n\x0B\f\r ]+"), lambda w: w != "")
 
-    def add(lines: Column, word: Column) -> Column:
-        joined = F.concat(F.try_element_at(lines, F.lit(-1)), F.lit(" "), word)
-        fits = F.coalesce(F.length(joined) <= width, F.lit(False))
-        return F.when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(word)))
+    def add(state: Column, word: Column) -> Column:
+        fits = F.length(state["line"]) + F.length(word) < width
+        longer = F.struct(state["lines"].alias("lines"), F.concat(state["line"], F.lit(" "), word).alias("line"))
+        closed = F.struct(F.when(state["line"].isNull(), state["lines"]).otherwise(F.array_append(state["lines"], state["line"])).alias("lines"), word.alias("line"))
+        return F.when(F.coalesce(fits, F.lit(False)), longer).otherwise(closed)
 
-    lines = F.aggregate(words, F.array().cast("array<string>"), add)
-    return let(lines, lambda made: F.when(F.size(made) > 0, made).otherwise(F.array(text)))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"))
+    return F.aggregate(words, start, add, lambda s: F.when(s["line"].isNull(), F.array(text)).otherwise(F.array_append(s["lines"], s["line"])))
 
 
 def utterance_lines(text: Column, speaker: Column, width: int = LINE_WIDTH) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_words
+from .evaluation import number_rows
 
 # Fixed values ---------------------------------------------------------------------------------------------------
 REPEATS = {"clean": 1, "handwritten": 5, "demo": 20, "rpi": 25, "v53": 250}
@@ -85,8 +86,10 @@ def phrase_labels(lines: DataFrame, labels: DataFrame, keys: list[str], column:
     """keys, label_no, label: a line's words as labels, at each place the longest phrase (words joined by _) of the
     vocabulary, else the word. Phrases meet the vocabulary in a join; the choice is a fold over the line."""
     words = lines.select(*keys, clean_words(F.col(column)).alias("words"))
-    grams = words.select(*keys, F.posexplode("words").alias("i", "w"), "words").select(*keys, "i", "words", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("i")))).alias("n"))
-    grams = grams.select(*keys, "i", "n", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), "_").alias("label"))
+    last = F.size("words")
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), last - i)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), "_").alias("label")))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), at))
+    grams = words.where(last > 0).select(*keys, F.explode(every).alias("g")).select(*keys, "g.*")
     hits = grams.join(labels.select("label"), "label", "left_semi").groupBy(*keys, "i").agg(F.max("n").alias("n"))
     spans = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("at"))
     joined = words.join(spans, keys, "left")
@@ -171,9 +174,10 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def shuffled(items: DataFrame, seed: int = 42) -> DataFrame:
-    """A reproducible random order."""
-    return items.orderBy(F.xxhash64("path", "copy_no", F.lit(seed)), "path", "copy_no")
+def shuffled(items: DataFrame, seed: int = 42, order_key: Column | None = None) -> DataFrame:
+    """Adds place: the row's number (from 1) in a reproducible random order."""
+    key = F.xxhash64("path", "copy_no", F.lit(seed)) if order_key is None else order_key
+    return number_rows(items.withColumn("_key", key), ["_key", "path", "copy_no"], "place").drop("_key")
 
 
 def source_counts(items: DataFrame) -> DataFrame:

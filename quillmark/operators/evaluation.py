@@ -21,7 +21,7 @@ def report(predictions: DataFrame) -> DataFrame:
     """Adds row_no (from 1, in order of lower(image_file)), top1_result, top5_result (Yes or No) and remarks.
     predictions: image_file, true_label, predicted_label, top5 array<string>, error, known.
 
-    Rows are numbered by ranges: each range of names counts its own, and the few range totals are added up.
+    Rows are numbered by ranges of names: see number_rows.
     """
     rows = predictions.withColumn("_key", F.lower("image_file"))
     yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "Yes").otherwise("No")
@@ -33,14 +33,25 @@ def report(predictions: DataFrame) -> DataFrame:
     return number_rows(made, ["_key", "image_file"]).drop("_key")
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "row_no", digits: int = 2) -> DataFrame:
-    """Numbers rows from 1 in a total order without gathering them in one task: rows of a common beginning of the
-    first order column are numbered among themselves, and the totals of the beginnings before are added."""
-    head = F.substring(order[0], 1, digits)
-    counts = rows.groupBy(head.alias("_h")).agg(F.count("*").alias("_c"))
-    starts = counts.select("_h", (F.sum("_c").over(Window.orderBy("_h")) - F.col("_c")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_h").orderBy(*order))
-    return rows.withColumn("_h", head).join(starts, "_h").withColumn(name, (own + F.col("_start")).cast("long")).drop("_h", "_start")
+def number_rows(rows: DataFrame, order: list[str], name: str = "row_no", ranges: int = 64) -> DataFrame:
+    """Numbers rows from 1 in a total order without gathering them in one task: the order is cut into ranges at rows of
+    a small sample (at most 50 a range), rows are numbered within their range, and the totals of the ranges before are
+    added. Names that begin alike are spread like any others."""
+    place = F.struct(*order)
+    sample = sorted_sample(rows.select(*order), 50 * ranges)
+    borders = [F.struct(*map(F.lit, b)) for b in sample[len(sample) // ranges :: max(1, len(sample) // ranges)]]
+    range_of = F.size(F.filter(F.array(*borders), lambda b: b <= place)) if borders else F.lit(0)
+    marked = rows.withColumn("_range", range_of)
+    counts = marked.groupBy("_range").agg(F.count("*").alias("_c"))
+    starts = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return marked.withColumn("_own", own).join(starts, "_range").withColumn(name, (F.col("_own") + F.col("_start")).cast("long")).drop("_range", "_start", "_own")
+
+
+def sorted_sample(rows: DataFrame, n: int) -> list[tuple]:
+    """At most n distinct rows without nulls, those of the smallest hash, in order."""
+    few = rows.na.drop().withColumn("_hash", F.xxhash64(*rows.columns)).orderBy("_hash", *rows.columns).limit(n)
+    return sorted({tuple(r)[:-1] for r in few.collect()})
 
 
 def with_unknown(evaluated: DataFrame, unknown: DataFrame) -> DataFrame:

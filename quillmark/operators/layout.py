@@ -104,13 +104,27 @@ def band_boxes(bands: DataFrame, ink: DataFrame, width: int, height: int, pad_x:
 
 
 def peaks(profile_: DataFrame, threshold: Column | float) -> DataFrame:
-    """page, y, v: local maxima of at least the threshold; a level top counts once, at its middle. Ends don't count."""
+    """page, y, v: rows of at least the threshold that are no lower than their neighbours, so shoulders count too; of a
+    level run its middle, counted from the first such row. The first and the last row of a page are none."""
     order = Window.partitionBy("page").orderBy("y")
-    runs = profile_.withColumn("_new", F.coalesce((F.col("v") != F.lag("v").over(order)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
-    flat = runs.groupBy("page", "_run").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.first("v").alias("v"))
+    page = Window.partitionBy("page")
+    runs = profile_.withColumn("_new", F.coalesce((F.col("v") != F.lag("v").over(order)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order)).withColumn("_top", F.min("y").over(page)).withColumn("_end", F.max("y").over(page))
+    flat = runs.groupBy("page", "_run").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.first("v").alias("v"), F.first("_top").alias("_top"), F.first("_end").alias("_end"))
     by_run = Window.partitionBy("page").orderBy("_run")
-    before, after = F.lag("v").over(by_run), F.lead("v").over(by_run)
-    return flat.withColumn("_b", before).withColumn("_a", after).where((F.col("v") >= threshold) & (F.col("v") > F.col("_b")) & (F.col("v") > F.col("_a"))).select("page", F.floor((F.col("a") + F.col("b")) / 2).alias("y"), "v")
+    a, b = F.col("a"), F.col("b")
+    falls = (F.col("v") >= F.lead("v").over(by_run)) | (b == F.col("_end"))
+    at_first = (a > F.col("_top")) & (F.col("v") > F.lag("v").over(by_run)) & ((b > a) | falls)
+    at_second = (b > a) & ((b > a + 1) | falls)
+    start = F.when(at_first, a).when(at_second, a + 1)
+    return flat.withColumn("_s", start).where((F.col("v") >= threshold) & (F.col("_s") < F.col("_end"))).select("page", F.floor((F.col("_s") + b) / 2).alias("y"), "v")
+
+
+def suppress_peaks(peaks_: DataFrame, min_distance: int) -> DataFrame:
+    """Peaks of a page that are at least min_distance from every higher one that stays; of equals the first goes first."""
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("n"), "y", "v")))
+    keep = lambda kept, p: F.when(F.forall(kept, lambda k: F.abs(k["y"] - p["y"]) >= min_distance), F.array_append(kept, p)).otherwise(kept)
+    rows = peaks_.groupBy("page").agg(best_first.alias("p"))
+    return rows.select("page", F.explode(F.aggregate("p", F.slice("p", 1, 0), keep)).alias("k")).select("page", "k.y", "k.v")
 
 
 def valleys(profile_: DataFrame, peaks_: DataFrame) -> DataFrame:

@@ -85,17 +85,25 @@ words AS (SELECT v.vec_id, v.vec_id // 50 AS page, (v.vec_id // 5) % 10 + 1 AS l
 
 
 # Text: documents and conversations -------------------------------------------------------------------------------
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents without accents: word borders of both engines agree on them."""
-    return table(spark, sf_dir, "documents").where("lang = 'en' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'").select("doc_id", "text")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.number_lines(english(spark, sf_dir))
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.number_lines(texts(spark, sf_dir))
 
 
-ENGLISH_SQL = """english AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-raw_lines AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10)) AS parts FROM english),
+def guarded(expression: str) -> str:
+    """SQL: letters and digits beyond ASCII between underscores, as word borders of the oracle's engine know ASCII only."""
+    return rf"regexp_replace(regexp_replace({expression}, '([^\x00-\x7F])', '_\1_', 'g'), '_([^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])_', '\1', 'g')"
+
+
+def unguarded(expression: str) -> str:
+    return rf"regexp_replace({expression}, '_([^\x00-\x7F])_', '\1', 'g')"
+
+
+TEXTS_SQL = """texts AS (SELECT doc_id, text FROM documents),
+raw_lines AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10)) AS parts FROM texts),
 cut AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS n FROM raw_lines),
 trimmed AS (SELECT doc_id, n, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM cut),
 lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS line_no, line FROM trimmed WHERE line <> '' AND NOT regexp_matches(line, '(?i)^\\s*page\\s+([a-z]+|\\d+)\\s*$'))"""

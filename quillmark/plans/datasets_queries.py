@@ -9,7 +9,7 @@ from ..operators import datasets, evaluation
 from . import bindings as b
 from .registry import query
 
-E, V, I = b.ENGLISH_SQL, b.VOCABULARY_SQL, b.ITEMS_SQL
+E, V, I = b.TEXTS_SQL, b.VOCABULARY_SQL, b.ITEMS_SQL
 KEYS = ["doc_id", "line_no"]
 
 
@@ -64,14 +64,14 @@ tokens AS (SELECT doc_id, line_no, unnest(out) AS label, generate_subscripts(out
 )
 def phrase_labels(spark: SparkSession, d: str) -> DataFrame:
     """T26."""
-    labels = datasets.phrase_labels(b.english_lines(spark, d), b.vocabulary(spark, d), KEYS, "line")
+    labels = datasets.phrase_labels(b.text_lines(spark, d), b.vocabulary(spark, d), KEYS, "line")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("label_no", "label"))), lambda s: s["label"])
     return labels.groupBy(*KEYS).agg(F.count("*").alias("labels"), F.count_if(F.contains("label", F.lit("_"))).alias("phrases"), F.array_join(ordered, " ").alias("text"))
 
 
 #: Expected labels are the cleaned words of a line; crops are simulated, one short in every seventh line; a word is in
 #: the vocabulary if it has an even length.
-ALIGN_SQL = """expected AS (SELECT doc_id, line_no, unnest(w) AS label, generate_subscripts(w, 1) AS label_no FROM lw WHERE doc_id % 3 = 0),
+ALIGN_SQL = """expected AS (SELECT doc_id, line_no, unnest(w) AS label, generate_subscripts(w, 1) AS label_no FROM lw),
 crops AS (SELECT doc_id, line_no, label_no * 2 AS word_index FROM expected QUALIFY line_no % 7 <> 0 OR label_no < max(label_no) OVER (PARTITION BY doc_id, line_no)),
 ok_words AS (SELECT DISTINCT label FROM expected WHERE length(label) < 13),
 want AS (SELECT doc_id, line_no, count(*) AS n_expected, bool_or(label NOT IN (FROM ok_words)) AS unknown FROM expected GROUP BY ALL), have AS (SELECT doc_id, line_no, count(*) AS n_crops FROM crops GROUP BY ALL),
@@ -81,7 +81,7 @@ status AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id, coalesce(w.line_no, h.
 
 def _alignment(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = datasets.clean_words(F.col("line"))
-    expected = b.english_lines(spark, d).where("doc_id % 3 = 0").select(*KEYS, F.posexplode(words).alias("i", "label")).withColumn("label_no", F.col("i") + 1).drop("i")
+    expected = b.text_lines(spark, d).select(*KEYS, F.posexplode(words).alias("i", "label")).withColumn("label_no", F.col("i") + 1).drop("i")
     last = F.max("label_no").over(Window.partitionBy(*KEYS))
     crops = expected.withColumn("m", last).where("line_no % 7 <> 0 OR label_no < m").select(*KEYS, (F.col("label_no") * 2).alias("word_index"))
     return expected, crops, expected.where(F.length("label") < 13).select("label").distinct()
@@ -202,10 +202,11 @@ def oversampled(spark: SparkSession, d: str) -> DataFrame:
     return datasets.source_counts(datasets.oversample(b.items(spark, d)))
 
 
-@query()
+@query("""SELECT path, copy_no, row_number() OVER (ORDER BY md5(path || '-' || copy_no), path, copy_no) AS place
+  FROM (SELECT path, unnest(range(1, CASE source WHEN 'clean' THEN 1 WHEN 'handwritten' THEN 5 WHEN 'demo' THEN 20 WHEN 'rpi' THEN 25 WHEN 'v53' THEN 250 ELSE 0 END + 1)) AS copy_no FROM items)""", I)
 def shuffled_items(spark: SparkSession, d: str) -> DataFrame:
-    """O07."""
-    return datasets.shuffled(datasets.oversample(b.items(spark, d), {"clean": 1, "handwritten": 2})).select("path", "copy_no")
+    """O07 (with a hash that both engines have)."""
+    return datasets.shuffled(datasets.oversample(b.items(spark, d)), order_key=F.md5(F.concat_ws("-", "path", "copy_no"))).select("path", "copy_no", "place")
 
 
 @query("SELECT path, label, coalesce(m, 0) + row_number() OVER (PARTITION BY label ORDER BY path) AS sequence_no FROM (FROM items WHERE p_size % 2 = 0) LEFT JOIN (SELECT label, count(*) AS m FROM items WHERE p_size % 2 = 1 GROUP BY 1) USING (label)", I)
@@ -219,4 +220,4 @@ def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT path, row_number() OVER (ORDER BY path) AS row_no FROM items", I)
 def numbered_files(spark: SparkSession, d: str) -> DataFrame:
     """W18, S01, O06 (files numbered in the order of their paths)."""
-    return evaluation.number_rows(b.items(spark, d).select("path"), ["path"], digits=7)
+    return evaluation.number_rows(b.items(spark, d).select("path"), ["path"])

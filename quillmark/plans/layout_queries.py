@@ -106,8 +106,9 @@ def event_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 PEAKS_SQL = """runs AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY y) AS run FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY page ORDER BY y) THEN 0 ELSE 1 END AS n FROM profile)),
-flat AS (SELECT page, run, min(y) AS a, max(y) AS b, any_value(v) AS v FROM runs GROUP BY page, run),
-peaks AS (SELECT page, (a + b) // 2 AS y, v FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM flat WINDOW w AS (PARTITION BY page ORDER BY run)) WHERE v >= 2 AND v > p AND v > q),
+near AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM runs WINDOW w AS (PARTITION BY page ORDER BY y)),
+first_of_run AS (SELECT page, run, min(y) AS s FROM near WHERE v >= 2 AND v >= l AND v >= r GROUP BY ALL),
+peaks AS (SELECT n.page, (min(s) + max(n.y)) // 2 AS y, any_value(n.v) AS v FROM near n JOIN first_of_run f ON n.page = f.page AND n.run = f.run GROUP BY n.page, n.run),
 pairs AS (SELECT page, y AS first_peak, lead(y) OVER (PARTITION BY page ORDER BY y) AS second_peak FROM peaks)"""
 
 
@@ -117,6 +118,15 @@ def profile_peaks(spark: SparkSession, d: str) -> DataFrame:
     return layout.peaks(_profile(spark, d), 2)
 
 
+@query(
+    """SELECT page, unnest(list_reduce(list_prepend([]::STRUCT(y BIGINT, v BIGINT)[], list_transform(list(struct_pack(y := y::BIGINT, v := v::BIGINT) ORDER BY v DESC, y), lambda p: [p])),
+      lambda kept, p: CASE WHEN len(list_filter(kept, lambda k: abs(k.y - p[1].y) < 3)) = 0 THEN list_concat(kept, p) ELSE kept END), recursive := true) FROM peaks GROUP BY page""", R, PEAKS_SQL,
+)
+def suppressed_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """W14 (of peaks that are less than three rows apart the highest)."""
+    return layout.suppress_peaks(layout.peaks(_profile(spark, d), 2), 3)
+
+
 @query("SELECT p.page, first_peak, second_peak, arg_min(f.y, f.v * 100 + f.y) AS valley FROM pairs p JOIN profile f ON f.page = p.page AND f.y BETWEEN first_peak AND second_peak WHERE second_peak IS NOT NULL GROUP BY ALL", R, PEAKS_SQL)
 def profile_valleys(spark: SparkSession, d: str) -> DataFrame:
     """W14."""

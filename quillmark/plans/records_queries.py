@@ -62,10 +62,10 @@ def live_pages(spark: SparkSession, d: str) -> DataFrame:
     return records.pages_of_live_batches(b.pages(spark, d), b.batches(spark, d)).select("page_id", "batch_id", "page_number", "confidence")
 
 
-@query("SELECT page_id, p.batch_id, p.is_deleted, b.is_deleted AS batch_is_deleted FROM pg p JOIN batches b USING (batch_id) WHERE confidence > 90", B, P)
+@query("SELECT page_id, p.batch_id, p.is_deleted, b.is_deleted AS batch_is_deleted FROM pg p JOIN batches b USING (batch_id)", B, P)
 def pages_with_batch_state(spark: SparkSession, d: str) -> DataFrame:
     """J02."""
-    return records.pages_with_batch_state(b.pages(spark, d).where("confidence > 90"), b.batches(spark, d)).select("page_id", "batch_id", "is_deleted", "batch_is_deleted")
+    return records.pages_with_batch_state(b.pages(spark, d), b.batches(spark, d)).select("page_id", "batch_id", "is_deleted", "batch_is_deleted")
 
 
 @query("SELECT m.batch_id, criminal_case_no, hearing_period, title FROM meta m JOIN batches b USING (batch_id) WHERE NOT b.is_deleted", B, M)

@@ -12,11 +12,15 @@ from ..operators import transcripts
 from . import bindings as b
 from .registry import query
 
-E = b.ENGLISH_SQL
+E = b.TEXTS_SQL
 
 
 def _rx(expression: str, *rules: tuple[str, str]) -> str:
     """Nested regexp_replace calls; Java's $1 is \\1 in RE2."""
+    return b.unguarded(_replaced(b.guarded(expression), *rules))
+
+
+def _replaced(expression: str, *rules: tuple[str, str]) -> str:
     for pattern, to in rules:
         to = to.replace("$1", "\\1").replace("$2", "\\2").replace("'", "''")
         expression = f"regexp_replace({expression}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
@@ -24,21 +28,21 @@ def _rx(expression: str, *rules: tuple[str, str]) -> str:
 
 
 def _spacing(e: str) -> str:
-    spaced = _rx(e, (r"\s+", " "), (r"^\s+|\s+$", ""))
-    return _rx(spaced, (r"\s+([,.;:!?])", "$1"), (r"""([,.;:!?])([^\s"')\]])""", "$1 $2"), (r"([!?]){2,}", "$1"), (r"\.{2,}", "."), (r"^\s+|\s+$", ""))
+    spaced = _replaced(e, (r"\s+", " "), (r"^\s+|\s+$", ""))
+    return _replaced(spaced, (r"\s+([,.;:!?])", "$1"), (r"""([,.;:!?])([^\s"')\]])""", "$1 $2"), (r"[!?]+([!?])", "$1"), (r"\.{2,}", "."), (r"^\s+|\s+$", ""))
 
 
 NORMAL_SQL = f"normal AS (SELECT doc_id, line_no, line, {_spacing('line')} AS s FROM lines)"
 
 
 def _per_line(spark: SparkSession, d: str, f: Callable[[Column], Column]) -> DataFrame:
-    return b.english_lines(spark, d).select("doc_id", "line_no", f(F.col("line")).alias("s"))
+    return b.text_lines(spark, d).select("doc_id", "line_no", f(F.col("line")).alias("s"))
 
 
 @query("SELECT doc_id, line_no, line FROM lines", E)
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     """T01, T02."""
-    return b.english_lines(spark, d)
+    return b.text_lines(spark, d)
 
 
 @query("SELECT doc_id, line_no, s FROM normal", E, NORMAL_SQL)
@@ -87,7 +91,7 @@ def repeated_words_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 
 CAPITAL_SQL = """parts AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[^.!?]*[.!?]|[^.!?]+$')) AS p, generate_subscripts(regexp_extract_all(line, '[^.!?]*[.!?]|[^.!?]+$'), 1) AS i FROM lines),
-ups AS (SELECT doc_id, line_no, i, length(regexp_extract(p, '^([^A-Za-z]*)', 1)) AS k, p FROM parts)"""
+ups AS (SELECT doc_id, line_no, i, length(regexp_extract(p, '^(\\P{L}*)', 1)) AS k, p FROM parts)"""
 
 
 @query("SELECT doc_id, line_no, string_agg(p[1:k] || upper(p[k+1:k+1]) || p[k+2:], '' ORDER BY i) AS s FROM ups GROUP BY ALL", E, CAPITAL_SQL)
@@ -107,7 +111,7 @@ def ended_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _per_line(spark, d, lambda c: text.end_sentence(F.regexp_replace(c, r"[.]\z", "")))
 
 
-ASKS_SQL = f"{FIRST_SQL} IN ({STARTERS}) OR regexp_matches(line, '(?i)\\bdo you swear\\b') OR regexp_matches(line, '(?i),\\s*({'|'.join(text.CLAUSE_QUESTIONS)})\\b.+$')"
+ASKS_SQL = f"{FIRST_SQL} IN ({STARTERS}) OR regexp_matches({b.guarded('line')}, '(?i)\\bdo you swear\\b') OR regexp_matches({b.guarded('line')}, '(?i),\\s*({'|'.join(text.CLAUSE_QUESTIONS)})\\b.+$')"
 ASKED_SQL = f"asked AS (SELECT doc_id, line_no, CASE WHEN {ASKS_SQL} THEN regexp_replace(line, '[.!?]+$', '') || '?' ELSE line END AS s FROM lines)"
 
 
@@ -126,43 +130,43 @@ ADDRESS_RULES = ((r"\bYour Honor,?\.$", "Your Honor."), (r"\b(Yes|No), sir\?$",
 def direct_address(spark: SparkSession, d: str) -> DataFrame:
     """T12."""
     ends = F.when(F.col("line_no") % 3 == 0, " Your Honor,.").when(F.col("line_no") % 3 == 1, " Yes, sir?").otherwise(" No, Your Honor?")
-    return b.english_lines(spark, d).select("doc_id", "line_no", text.fix_direct_address(F.concat("line", ends)).alias("s"))
+    return b.text_lines(spark, d).select("doc_id", "line_no", text.fix_direct_address(F.concat("line", ends)).alias("s"))
 
 
 # Speakers: conversations -----------------------------------------------------------------------------------------
 ROLES = {"user": "WITNESS", "assistant": "PROSECUTOR", "system": "- Court:"}
-TURNS_SQL = """turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'WITNESS' WHEN 'assistant' THEN 'PROSECUTOR' WHEN 'system' THEN '- Court:' ELSE 'Bailiff:' END || ' ' || text AS t FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+TURNS_SQL = """turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'WITNESS' WHEN 'assistant' THEN 'PROSECUTOR' WHEN 'system' THEN '- Court:' ELSE 'Bailiff:' END || ' ' || text AS t FROM conversations),
 docs AS (SELECT conv_id AS doc_id, string_agg(t, chr(10) ORDER BY turn) AS text FROM turns GROUP BY conv_id),
 cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs),
 lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS line_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM cut WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> '' AND NOT regexp_matches(raw, '(?i)^\\s*page\\s+([a-z]+|\\d+)\\s*$'))"""
 _ALIASES = [(s, a) for s, aliases in text.SPEAKERS for a in aliases]
 SPOKEN_SQL = (
-    f"clean AS (SELECT doc_id, line_no, line, regexp_replace({_spacing('line')}, '^\\s*[-+=>]+\\s*', '') AS c FROM lines),\nspoken AS (SELECT doc_id, line_no, line, CASE "
-    + " ".join(f"WHEN regexp_matches(c, '(?i)^{a}\\b') THEN '{s}'" for s, a in _ALIASES)
+    f"clean AS (SELECT doc_id, line_no, line, {b.guarded('c')} AS g, c FROM (SELECT doc_id, line_no, line, regexp_replace({_spacing('line')}, '^\\s*[-+=>]+\\s*', '') AS c FROM lines)),\nspoken AS (SELECT doc_id, line_no, line, CASE "
+    + " ".join(f"WHEN regexp_matches(g, '(?i)^{a}\\b') THEN '{s}'" for s, a in _ALIASES)
     + " WHEN regexp_matches(c, '^([A-Za-z ]{2,32})\\s*:\\s*(.*)$') THEN upper(trim(regexp_extract(c, '^([A-Za-z ]{2,32})\\s*:\\s*(.*)$', 1))) ELSE '' END AS who, CASE "
-    + " ".join(f"WHEN regexp_matches(c, '(?i)^{a}\\b') THEN trim(regexp_replace(c, '(?i)^{a}\\b\\s*:?\\s*', ''), ' :-')" for s, a in _ALIASES)
+    + " ".join(f"WHEN regexp_matches(g, '(?i)^{a}\\b') THEN trim(regexp_replace(c, '(?i)^{a}\\b\\s*:?\\s*', ''), ' :-')" for s, a in _ALIASES)
     + " WHEN regexp_matches(c, '^([A-Za-z ]{2,32})\\s*:\\s*(.*)$') THEN trim(regexp_extract(c, '^([A-Za-z ]{2,32})\\s*:\\s*(.*)$', 2)) ELSE line END AS utterance FROM clean)"
 )
 BLOCKS_SQL = """blocks AS (SELECT doc_id, line_no, who <> '' AS opens, coalesce(last_value(nullif(who, '') IGNORE NULLS) OVER w, '') AS speaker, sum((who <> '')::BIGINT) OVER w AS block_id, utterance FROM spoken WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 
 
-def _turns(spark: SparkSession, d: str, *, ascii_only: bool = False) -> DataFrame:
-    """Conversations as texts; ascii_only (turns without accents) is for queries that are held against SQL."""
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as texts."""
     role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("role")), F.lit("Bailiff:"))
-    turns = b.table(spark, d, "conversations").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]'" if ascii_only else "true").select(F.col("conv_id").alias("doc_id"), F.struct("turn", F.concat(role, F.lit(" "), "text").alias("t")).alias("s"))
+    turns = b.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.struct("turn", F.concat(role, F.lit(" "), "text").alias("t")).alias("s"))
     return turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("text"))
 
 
 @query("SELECT doc_id, line_no, opens, speaker, block_id::BIGINT AS block_id, utterance FROM blocks", TURNS_SQL, SPOKEN_SQL, BLOCKS_SQL)
 def speaker_blocks(spark: SparkSession, d: str) -> DataFrame:
     """T13, W05."""
-    return transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d, ascii_only=True))).drop("line")
+    return transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d))).drop("line")
 
 
 @query("SELECT doc_id, speaker, block_id::BIGINT AS block_id, count(*) AS lines, sum(length(utterance))::BIGINT AS chars FROM blocks GROUP BY ALL", TURNS_SQL, SPOKEN_SQL, BLOCKS_SQL)
 def block_sizes(spark: SparkSession, d: str) -> DataFrame:
     """T17 (the blocks that are rendered)."""
-    blocks = transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d, ascii_only=True)))
+    blocks = transcripts.speaker_blocks(transcripts.number_lines(_turns(spark, d)))
     return blocks.groupBy("doc_id", "speaker", "block_id").agg(F.count("*").alias("lines"), F.sum(F.length("utterance")).alias("chars"))
 
 
@@ -194,7 +198,7 @@ def wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
 )
 def paginated_lines(spark: SparkSession, d: str) -> DataFrame:
     """W17."""
-    return transcripts.paginate(b.english_lines(spark, d), "doc_id").select("doc_id", "line_no", F.col("page_no").cast("long").alias("page_no"), F.col("row_on_page").cast("long").alias("row_on_page"), "total_pages")
+    return transcripts.paginate(b.text_lines(spark, d), "doc_id").select("doc_id", "line_no", F.col("page_no").cast("long").alias("page_no"), F.col("row_on_page").cast("long").alias("row_on_page"), "total_pages")
 
 
 def _case_fields(docs: DataFrame) -> DataFrame:
@@ -209,10 +213,10 @@ def exported_pages(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.export_lines(transcripts.structure_transcripts(docs), _case_fields(docs), "doc_id")
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, round(greatest(3.0, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) / 150.0::DOUBLE * 60), 4) AS seconds FROM english", E)
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, round(greatest(3.0, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) / 150.0::DOUBLE * 60), 4) AS seconds FROM texts", E)
 def speaking_time(spark: SparkSession, d: str) -> DataFrame:
     """F17."""
-    return b.english(spark, d).select("doc_id", transcripts.word_count(F.col("text")).cast("long").alias("words"), F.round(transcripts.speaking_seconds(F.col("text")), 4).alias("seconds"))
+    return b.texts(spark, d).select("doc_id", transcripts.word_count(F.col("text")).cast("long").alias("words"), F.round(transcripts.speaking_seconds(F.col("text")), 4).alias("seconds"))
 
 
 @query("SELECT doc_id, line_no, array_to_string(w, ' ') AS s FROM lw", E, b.VOCABULARY_SQL)

@@ -143,3 +143,51 @@ def test_accuracy_of_nothing(spark):
 def test_empty_page_scores(spark):
     words = spark.createDataFrame([], "page int, line_index int, confidence double")
     assert recognition.page_scores(words, spark.createDataFrame([(4,)], "page int")).first().asDict() == {"page": 4, "confidence": 0.0, "rows_detected": 0, "words_detected": 0, "low_confidence_words": 0}
+
+
+def test_numbers_spread_names_that_begin_alike(spark):
+    from quillmark.operators import evaluation
+
+    names = spark.range(3000).selectExpr("concat('img_', lpad(id, 9, '0')) AS name", "id")
+    rows = evaluation.number_rows(names, ["name"])
+    assert rows.where("row_no <> id + 1").count() == 0
+    sample = evaluation.sorted_sample(names.select("name"), 3200)
+    assert len(sample) == 3000
+    ranges = {}
+    for r in rows.collect():
+        ranges[r["row_no"] * 64 // 3001] = ranges.get(r["row_no"] * 64 // 3001, 0) + 1
+    plan = rows._jdf.queryExecution().toString()
+    assert "_range" in plan and max(ranges.values()) < 60
+    assert evaluation.number_rows(names.limit(0), ["name"]).count() == 0
+    doubled = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "name string, k int")
+    assert sorted(r["row_no"] for r in evaluation.number_rows(doubled, ["name", "k"]).collect()) == [1, 2, 3, 4]
+
+
+def test_peaks_and_shoulders(spark):
+    from quillmark.operators import layout
+
+    def plain(v, threshold):
+        found, y = [], 1
+        while y < len(v) - 1:
+            if v[y] < threshold or v[y] < v[y - 1] or v[y] < v[y + 1]:
+                y += 1
+                continue
+            end = y
+            while end + 1 < len(v) and v[end + 1] == v[y]:
+                end += 1
+            found.append((y + end) // 2)
+            y = end + 1
+        return found
+
+    import random
+
+    rng = random.Random(8)
+    profiles = [[1, 3, 3, 5, 1], [1, 5, 3, 3, 1], [2, 2], [3], [3, 3, 3], [1, 2, 2]] + [[rng.randint(0, 4) for _ in range(rng.randint(1, 12))] for _ in range(200)]
+    rows = spark.createDataFrame([(i, y, v) for i, p in enumerate(profiles) for y, v in enumerate(p)], "page int, y int, v int")
+    got = {}
+    for r in layout.peaks(rows, 2).collect():
+        got.setdefault(r["page"], []).append(r["y"])
+    assert {i: sorted(p) for i, p in got.items()} == {i: w for i, p in enumerate(profiles) if (w := plain(p, 2))}
+    assert got[0] == [1, 3] or sorted(got[0]) == [1, 3]
+    high = spark.createDataFrame([(1, 2, 5), (1, 4, 7), (1, 6, 7), (1, 20, 1)], "page int, y int, v int")
+    assert sorted(r["y"] for r in layout.suppress_peaks(high, 3).collect()) == [4, 20]

@@ -30,6 +30,55 @@ def test_repeated_words(spark):
     assert apply(spark, text.drop_repeated_words, *got) == got
 
 
+def plain_repeats(value):
+    """Repeats word by word with Python's engine, until nothing changes."""
+    import re
+
+    pattern = re.compile(r"\b([A-Za-z]+(?:'[A-Za-z]+)?)\b(?:\s+\b\1\b)+", re.I)
+    while (new := pattern.sub(lambda m: m[0] if m[1].lower() in ("no", "yes", "very") else m[1], value)) != value:
+        value = new
+    return value
+
+
+def test_repeated_words_equal_plain_repeats(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [" ".join(rng.choice(["a", "A", "a'b", "b", "no", "no's", "No", "yes", "é", "été", "aé"]) for _ in range(rng.randint(0, 9))) for _ in range(600)]
+    values += ["a a'b a'b a'b a b a'b", "no's no's", "no no no's no's", "very very VERY", "ab " * 20_000, "ab cd " * 20_000, "no " * 20_000, "éa éa", "x" * 300_000]
+    assert apply(spark, text.drop_repeated_words, *values) == [plain_repeats(v) for v in values]
+
+
+@pytest.mark.parametrize("unit", ["ab ", "!?", "i dont ", "my name is ", "a,", "yes sir ", "é ", "mr. ", "January x "])
+def test_rules_take_long_lines(spark, unit):
+    line = unit * (400_000 // len(unit))
+    rules = [text.normalize_spacing, text.expand_contractions, text.fix_titles, text.fix_legal_phrases, text.drop_repeated_words, text.capitalize_sentences, text.end_sentence, text.fix_questions, text.fix_direct_address]
+    for rule in rules:
+        assert len(apply(spark, rule, line)) == 1
+
+
+@pytest.mark.parametrize(
+    ("rule", "before", "after"),
+    [
+        (text.expand_contractions, "Im sure it wasnt mine, alot", "I'm sure it wasn't mine, a lot"),
+        (text.expand_contractions, "écant cante i é i", "écant cante I é I"),
+        (text.fix_titles, "mr smith and MRS. jones saw dr lee before the court", "Mr. smith and Mrs. jones saw Dr. lee before the Court"),
+        (text.fix_legal_phrases, "your honor on friday the people of the philippines", "Your Honor on Friday the People of the Philippines"),
+        (text.fix_legal_phrases, "raise your right hand do you swear", "raise your right hand. Do you swear"),
+        (text.insert_commas, "yes sir i did", "yes, sir, i did"),
+        (text.insert_commas, "no Your Honor", "no, Your Honor"),
+        (text.insert_commas, "please state your name age and residence", "please state your name, age, and residence"),
+        (text.insert_commas, "correct but late", "correct, but late"),
+        (text.end_sentence, "why me", "why me?"),
+        (text.end_sentence, "été", "été."),
+        (text.fix_questions, "Yes, who saw it.", "Yes, who saw it?"),
+        (text.fix_direct_address, "No, Your Honor?", "No, Your Honor."),
+    ],
+)
+def test_rules_by_hand(spark, rule, before, after):
+    assert apply(spark, rule, before) == [after]
+
+
 def test_capitals(spark):
     got = apply(spark, text.capitalize_sentences, "hello. (is it) ok? 3 yes", "", "...a", "élan! ß")
     assert got[:3] == ["Hello. (Is it) ok? 3 Yes", "", "...A"]
