@@ -7,9 +7,11 @@ Of the pairs that meet, those whose codes are near enough are reranked by cosine
 below the threshold is ever linked; recall is measured in the tests against brute force.
 
 Copies are folded to one row a vector. A pair is counted in the first table where it meets; links leave a task as
-counts and as a spanning forest, never as pairs. Buckets of over BLOCK vectors are dealt out as pairs of blocks.
+counts and as a spanning forest, never as pairs. The vectors of a bucket are packed into blocks of at most BLOCK, one row
+each, which are written once; a bucket of k blocks gives k (k + 1) / 2 pairs of block numbers, and only those are dealt
+out. A bucket of n vectors is so read about n / (2 BLOCK) times, which is the least its n * n / 2 comparisons ask for.
 
-Rows: a null label or vec_id, or a vector that is null, zero or has null or non-finite components, links with nothing:
+Rows: a vec_id that repeats keeps a row each, which link like other rows when their vectors do; a null label or vec_id, or a vector that is null, zero or has null or non-finite components, links with nothing:
 n_links 0, its own component, kept. Vectors of different lengths never link. An empty table gives no rows.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import edges_to_components, whole_groups, written
+from ._common import edges_to_components, written
 
 THRESHOLD = 0.93
 #: Bound on the vectors that rotations are learnt from.
@@ -31,7 +33,8 @@ ROUNDS = 5
 KEY_BITS = 16
 #: Part of the code's bits in which a linked pair may differ: twice the mean at a cosine of 0.93.
 FAR = 0.25
-BLOCK = 256
+#: Vectors of a bucket that are packed together and compared at once.
+BLOCK = 1024
 
 
 def learn_rotations(sample: np.ndarray, rounds: int = ROUNDS, steps: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -136,42 +139,42 @@ def links(coded: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     index = coded.select("rep", "label", "dims", F.posexplode("keys").alias("t", "key"))
     bucket = ["label", "dims", "t", "key"]
     sizes = index.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    listed = index.join(sizes, bucket).withColumn("k", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    dealt = listed.select(*bucket, "rep", "block", F.explode(pair).alias("p")).select(F.xxhash64(*bucket).alias("g"), *bucket, "p.x", "p.y", "rep", "block")
-    whole = dealt.join(coded.select("rep", "n", "keys", "code", "unit"), "rep")
-    keys = ["g", "label", "dims", "t", "key", "x", "y"]
+    listed = index.join(sizes, bucket).select(F.xxhash64(*bucket).alias("g"), F.xxhash64(F.lit(3), *reversed(bucket)).alias("g2"), "t", "rep", F.ceil(F.col("size") / BLOCK).alias("k"))
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")))
+    member = F.struct("rep", "n", "keys", "code", "unit")
+    blocks = written(
+        listed.join(coded.select("rep", "n", "keys", "code", "unit"), "rep").groupBy("g", "g2", "t", "k", "block").agg(F.collect_list(member).alias("rows"))
+    )
+    # Pairs of block numbers; those of a bucket of one block are compared where they lie.
+    alone = blocks.where("k = 1").select("t", F.col("rows").alias("a"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("b"))
+    several = blocks.where("k > 1")
+    x, y = (several.select("g", "g2", F.col("block").alias(c), F.col("rows").alias(r)) for c, r in (("x", "a"), ("y", "b")))
+    pairs = several.select("g", "g2", "t", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("k") - 1)).alias("y"))
+    # A block that stands against itself has no second side.
+    same = pairs.where("x = y").join(x, ["g", "g2", "x"]).select("t", "a", F.lit(None).cast(blocks.schema["rows"].dataType).alias("b"))
+    across = pairs.where("x < y").join(x, ["g", "g2", "x"]).join(y, ["g", "g2", "y"]).select("t", "a", "b")
+    across = across.repartition(F.xxhash64("a.rep", "b.rep"))  # by pair, so that one bucket's pairs spread over all tasks
+
+    def side(rows: pa.StructArray) -> dict:
+        one = {name: rows.field(name) for name in ("rep", "n", "keys", "code", "unit")}
+        fixed = lambda c, kind: np.frombuffer(b"".join(one[c].to_pylist()), kind).reshape(len(rows), -1)
+        return {"rep": one["rep"].to_numpy(), "n": one["n"].to_numpy(), "keys": one["keys"].flatten().to_numpy().reshape(len(rows), -1), "code": fixed("code", np.uint8), "unit": fixed("unit", np.float64)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, tuple(keys)):
-            rep, found, other = [], [], []
-            for lo, hi in zip(group["starts"].tolist(), group["ends"].tolist(), strict=True):
-                x, y, t = group["x"][lo], group["y"][lo], int(group["t"][lo])
-                if hi - lo < 2:
-                    continue
-                s = slice(lo, hi)
-                rows = {"rep": group["rep"][s], "n": group["n"][s], "keys": np.stack(group["keys"][s]), "code": np.stack([np.frombuffer(c, np.uint8) for c in group["code"][s]]), "unit": np.stack([np.frombuffer(u) for u in group["unit"][s]])}
-                if x == y:
-                    sides = [rows]
-                    count, _, edges = _bucket_links(rows, None, t, threshold)
-                    counts = [count]
-                else:
-                    first = group["block"][s] == x
-                    sides = [{k: v[first] for k, v in rows.items()}, {k: v[~first] for k, v in rows.items()}]
-                    if not len(sides[0]["rep"]) or not len(sides[1]["rep"]):
-                        continue
-                    *counts, edges = _bucket_links(*sides, t, threshold)
-                for side, count in zip(sides, counts, strict=True):
+        for batch in batches:
+            for t, a, b in zip(batch["t"].to_pylist(), batch["a"], batch["b"], strict=True):
+                sides = [side(s.values) for s in (a, b) if s.is_valid]
+                *counts, edges = _bucket_links(sides[0], sides[1] if len(sides) > 1 else None, t, threshold)
+                rep, found, other = [e[0] for e in edges], [0] * len(edges), [e[1] for e in edges]
+                for rows, count in zip(sides, counts, strict=False):
                     at = np.flatnonzero(count)
-                    rep += side["rep"][at].tolist()
+                    rep += rows["rep"][at].tolist()
                     found += count[at].tolist()
                     other += [None] * len(at)
-                rep += [e[0] for e in edges]
-                other += [e[1] for e in edges]
-                found += [0] * len(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(found, pa.int64()), pa.array(other, pa.int64())], ["rep", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(found, pa.int64()), pa.array(other, pa.int64())], ["rep", "links", "other"])
 
-    return whole.select(*keys, "rep", "block", "n", "keys", "code", "unit").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, links long, other long")
+    out = "rep long, links long, other long"
+    return alone.mapInArrow(run, out).unionByName(same.mapInArrow(run, out)).unionByName(across.mapInArrow(run, out))
 
 
 def near_duplicates(table: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
