@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,17 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIR: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a job of one machine (a local master,
+    as in tests) gets a folder of its own; on a cluster there is none that all could see."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
-    return _LOCAL_DIR[0]
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
@@ -65,13 +76,31 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield out(held, np.zeros(1, np.int64), held.num_rows)
 
 
+#: Rows of a key that stay together in a spread join at least, and bound on the keys that are dealt out.
+SPREAD = 256
+HOT_KEYS = 2000
+
+
+def spread_join(rows: DataFrame, key: str, groups: DataFrame, size: str) -> DataFrame:
+    """Inner join of rows with the one row that each key has in groups, which says in `size` how many rows have the key.
+    Keys of more than a 2000th of all rows, of which there can't be more than HOT_KEYS, are broadcast and dealt out to
+    parts; their row in groups is repeated for each part. The column `size` is dropped."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(SPREAD, -(-total // HOT_KEYS))
+    parts = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit)).otherwise(F.lit(1).cast("long"))
+    hot = groups.where(F.col(size) > limit).select(F.col(key), parts.alias("parts_"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part_", F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts_", F.lit(1)))).drop("parts_")
+    return dealt.join(groups.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(size), [key, "part_"]).drop("part_")
+
+
 def edges_to_components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     edges: two long columns a, b (a <> b). Returns node, component: for each node of an edge the smallest
-    reachable node. Every step is a partial minimum and an equi join, so a hub with very many neighbours is
-    never gathered in one group; each round is written to the shared folder.
+    reachable node. Every step is a partial minimum and an equi join, so a hub with very many neighbours is never
+    gathered in one group; each round is written to the shared folder.
     """
+
     def pairs(df: DataFrame) -> DataFrame:
         """Directed both ways."""
         return df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))

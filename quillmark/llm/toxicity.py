@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import unused
+
 #: Bound on labelled texts to learn from.
 SAMPLE = 6000
 #: Bound on the characters of those texts together; texts beyond it are not learnt from, none is cut.
@@ -36,7 +38,9 @@ CLEAN_WINDOWS = 4
 CLEAN_SHARE = 2.0
 #: Subwords of fewer labelled texts are not learnt: they would only name single texts.
 MIN_TEXTS = 6
+#: Bounds on the memo of chunks: entries, and characters of a chunk that is kept.
 CACHE_ENTRIES = 300_000
+LONGEST_CHUNK = 40
 #: Texts, and new words, that are worked on together.
 TEXTS_AT_ONCE = 256
 WORDS_AT_ONCE = 50_000
@@ -82,8 +86,8 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def learn(self, chunks: list[str]) -> None:
-        """Memoises (sum of subword logits, number of subwords) of each word of texts without white space."""
+    def pairs(self, chunks: list[str]) -> list[list[tuple[float, float]]]:
+        """(sum of subword logits, number of subwords) of each word of texts without white space."""
         lists = [words_of(c) for c in chunks]
         words = [w for found in lists for w in found]
         pairs: list[tuple[float, float]] = []
@@ -92,28 +96,27 @@ class Model:
             buckets, places = word_grams(part, len(self.logits))
             sums, sizes = np.bincount(places, self.logits[buckets], len(part)), np.bincount(places, minlength=len(part))
             pairs += zip(sums.tolist(), sizes.tolist(), strict=True)
-        at = 0
-        for chunk, found in zip(chunks, lists, strict=True):
-            self.memo[chunk] = pairs[at : at + len(found)]
-            at += len(found)
+        ends = np.cumsum([len(found) for found in lists]).tolist()
+        return [pairs[end - len(found) : end] for end, found in zip(ends, lists, strict=True)]
 
     def score_all(self, texts: list[str | None]) -> list[float]:
         """For each text the probability of its worst window; windows start at each half window."""
         parts = [(t or "").lower().split() for t in texts]
-        asked = set().union(*parts)
-        new = [c for c in asked if c not in self.memo]
+        new = [c for c in set().union(*parts) if c not in self.memo]
         if len(self.memo) + len(new) > CACHE_ENTRIES:
             self.memo.clear()
-            new = list(asked)
-        self.learn(sorted(new))
+            new = list(set().union(*parts))
+        new.sort()
+        held = dict(zip(new, self.pairs(new), strict=True))
         out = []
         for part in parts:
-            pairs = [pair for chunk in part for pair in self.memo[chunk]]
+            pairs = [pair for chunk in part for pair in (held[chunk] if chunk in held else self.memo[chunk])]
             worst = 0.0
             if pairs:
                 flat = np.array(pairs)
                 worst = float(window_means(flat[:, 0], flat[:, 1]).max())
             out.append(float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60)))))
+        self.memo.update((c, p) for c, p in held.items() if len(c) <= LONGEST_CHUNK)
         return out
 
     def score(self, text: str | None) -> float:
@@ -131,6 +134,20 @@ def window_means(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (a[ends] - a[starts]) / np.maximum(b[ends] - b[starts], 1)
 
 
+def gradients(ids: list[np.ndarray], target: np.ndarray, weight: np.ndarray, vectors: np.ndarray, weights: np.ndarray, bias: float):
+    """Of the weighted logistic loss of windows, given as lists of buckets: the buckets that occur and the gradient of
+    each one's vector (summed over the windows), and those of weights and bias (the mean over the windows)."""
+    n = np.array([len(x) for x in ids])
+    rows, cols = np.repeat(np.arange(len(ids)), n), np.concatenate(ids)
+    mean = np.add.reduceat(vectors[cols], np.concatenate(([0], np.cumsum(n)[:-1]))) / n[:, None]
+    p = 1 / (1 + np.exp(-np.clip(mean @ weights + bias, -60, 60)))
+    error = (p - target) * weight
+    touched, where = np.unique(cols, return_inverse=True)
+    gradient = np.zeros((len(touched), vectors.shape[1]))
+    np.add.at(gradient, where, (error / n)[rows][:, None] * weights)
+    return touched, gradient, error @ mean / len(ids), error.sum() / len(ids)
+
+
 def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: int = DIMS, epochs: int = 8, rate: float = 0.3, seed: int = 7) -> Model | None:
     """Joint training of vectors and softmax by Adagrad over the chosen windows."""
     y = np.array(labels, float)
@@ -187,18 +204,9 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dims: in
                     target.append(y[i])
                     weight.append(balance[i] / (len(chosen) if y[i] else CLEAN_SHARE))
             ids = [np.concatenate([flat[begin[w] : begin[w + 1]] for w in p]) for p in picked]
-            n = np.array([len(x) for x in ids])
-            rows, cols = np.repeat(np.arange(len(ids)), n), np.concatenate(ids)
-            mean = np.add.reduceat(vectors[cols], np.concatenate(([0], np.cumsum(n)[:-1]))) / n[:, None]
-            p = 1 / (1 + np.exp(-np.clip(mean @ weights + bias, -60, 60)))
-            error = (p - np.array(target)) * np.array(weight)
-            step = (error / n)[rows][:, None] * weights
-            touched, where = np.unique(cols, return_inverse=True)
-            gradient = np.zeros((len(touched), dims))
-            np.add.at(gradient, where, step)
+            touched, gradient, grad_w, grad_b = gradients(ids, np.array(target), np.array(weight), vectors, weights, bias)
             gradient[rare[touched]] = 0
             seen_v[touched] += (gradient**2).mean(axis=1)
-            grad_w, grad_b = error @ mean / len(ids), error.sum() / len(ids)
             vectors[touched] -= rate * gradient / np.sqrt(seen_v[touched])[:, None]
             seen_w += grad_w**2
             seen_b += grad_b**2
@@ -224,17 +232,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
 def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those of keep), then score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_name = unused(docs, "text_to_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, scores = batch["_text"].to_pylist(), []
+            texts, scores = batch[text_name].to_pylist(), []
             for at in range(0, len(texts), TEXTS_AT_ONCE):
                 part = texts[at : at + TEXTS_AT_ONCE]
                 scores += model.score_all(part) if model else [0.0] * len(part)
-            keep = batch.drop_columns(["_text"])
+            keep = batch.drop_columns([text_name])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep.schema.names, "score", "predicted"])
 
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    columns = [docs[f"`{c}`"] for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     out = docs.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*columns, F.col("text").alias(text_name)).mapInArrow(run, out)

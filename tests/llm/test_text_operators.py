@@ -235,7 +235,7 @@ def test_language_equals_brute_force(spark):
     counts = {lang: np.full(512, 0.5) for lang in ("de", "en", "fr")}
     for _, text, lang in rows:
         if text and lang:
-            for h in langid._hashes(text, langid.ORDERS, 512):
+            for _, h in langid.ngram_rows([text], langid.ORDERS, 512):
                 np.add.at(counts[lang], h, 1)
     assert langs == ["de", "en", "fr"] and np.allclose(np.exp(prior), [0.5, 0.25, 0.25])
     assert np.allclose(logp, np.log(np.stack([c / c.sum() for c in counts.values()], axis=1)))
@@ -250,12 +250,51 @@ def test_language_without_training_rows(spark):
     assert langid.predict(docs, langid.train(docs)).first()["lang_pred"] == "und"
 
 
-def test_language_block_borders(monkeypatch):
+def entries(texts):
     import numpy as np
 
-    whole = np.sort(np.concatenate(list(langid._hashes("abcdefghij" * 30, langid.ORDERS, 512))))
+    found = [(int(r), int(h)) for rows, hashes in langid.ngram_rows(texts, langid.ORDERS, 512) for r, h in zip(rows, hashes, strict=True)]
+    return sorted(found), np
+
+
+def test_language_block_borders(monkeypatch):
+    texts = ["abcdefghij" * 30, "", "x", "yz", "été" * 9, "abcdefghij" * 30]
+    whole, _ = entries(texts)
+    assert whole == sorted((i, h) for i, t in enumerate(texts) for _, h in entries([t])[0])
+    assert len([e for e in whole if e[0] == 0]) == sum(300 - n + 1 for n in langid.ORDERS)
     monkeypatch.setattr(langid, "BLOCK", 7)
-    assert (np.sort(np.concatenate(list(langid._hashes("abcdefghij" * 30, langid.ORDERS, 512)))) == whole).all()
+    assert entries(texts)[0] == whole
+
+
+def test_batch_product_equals_text_by_text(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 60))) for _ in range(50)]
+    labelled = spark.createDataFrame([(i, t, rng.choice(["x", "y", "z"])) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    langs, prior, logp = langid.train(labelled, buckets=512)
+    got = {r["doc_id"]: r for r in langid.predict(labelled.select("doc_id", "text"), (langs, prior, logp)).collect()}
+    for i, text in enumerate(texts):
+        if any(c.isalpha() for c in text):
+            total = prior + sum(logp[h] for _, h in entries([text])[0])
+            assert got[i]["lang_pred"] == langs[int(total.argmax())]
+
+
+def test_languages_share_a_bounded_matrix(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 4096)
+    monkeypatch.setattr(langid, "LEAST_BUCKETS", 512)
+    docs = lambda n: spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(n)], "doc_id long, text string, lang string")
+    assert langid.train(docs(5))[2].shape == (512, 5)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs(9))
+
+
+def test_names_may_clash(spark):
+    rows = spark.createDataFrame([("the cat", 1, 2, 3, 4)], "text string, _text int, text_to_score int, score int, predicted int")
+    got = langid.predict(rows, (["en", "de"], *(langid.np.log([0.5, 0.5]), langid.np.zeros((512, 2))))).first()
+    assert got["_text"] == 1 and got["text_to_score"] == 2 and got["lang_pred"] == "en"
+    got = toxicity.score(rows, None).first()
+    assert got["_text"] == 1 and got["text_to_score"] == 2 and got["score"] == 0.0
 
 
 def test_held_out_language(spark, sf):
@@ -289,6 +328,53 @@ def test_toxicity_learns_and_shares_subwords(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_gradients_equal_a_plain_loop():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors, weights, bias = rng.normal(size=(40, 3)), rng.normal(size=3), 0.3
+    ids = [rng.integers(0, 40, rng.integers(1, 9)) for _ in range(12)]
+    target, weight = rng.integers(0, 2, 12).astype(float), rng.random(12)
+
+    def loss(v, w, b):
+        total = 0.0
+        for window, y, k in zip(ids, target, weight, strict=True):
+            p = 1 / (1 + math.exp(-(sum(v[i] for i in window) / len(window) @ w + b)))
+            total -= k * (y * math.log(p) + (1 - y) * math.log(1 - p))
+        return total
+
+    touched, gradient, grad_w, grad_b = toxicity.gradients(ids, target, weight, vectors, weights, bias)
+    assert touched.tolist() == sorted(set(np.concatenate(ids).tolist()))
+    step = 1e-6
+    for row, bucket in enumerate(touched):
+        for d in range(3):
+            moved = vectors.copy()
+            moved[bucket, d] += step
+            assert gradient[row, d] == pytest.approx((loss(moved, weights, bias) - loss(vectors, weights, bias)) / step, abs=1e-4)
+    for d in range(3):
+        assert grad_w[d] * 12 == pytest.approx((loss(vectors, weights + step * np.eye(3)[d], bias) - loss(vectors, weights, bias)) / step, abs=1e-4)
+    assert grad_b * 12 == pytest.approx((loss(vectors, weights, bias + step) - loss(vectors, weights, bias)) / step, abs=1e-4)
+
+
+def test_scores_equal_brute_force(spark):
+    """Every window of three words by itself: its subwords' logits averaged, the worst through the softmax."""
+    import math
+
+    model = toxicity.fit(["a bad word here", "a good word there", "bad bad", "fine day"] * 6, [1, 0, 1, 0] * 6)
+    texts = ["a bad day", "", None, "good", "Bad, WORD! there-here fine day of good words", "x" * 100 + " bad", "!!"]
+    for text, got in zip(texts, model.score_all(texts), strict=True):
+        words = toxicity.words_of(text or "")
+        means = []
+        for start in range(0, max(1, len(words) - 1)):
+            window = words[start : start + 3]
+            logits = [model.logits[b] for w in window for b in toxicity.word_grams([w], len(model.logits))[0]]
+            means.append(sum(logits) / max(1, len(logits)))
+        assert got == pytest.approx(1 / (1 + math.exp(-((max(means) if words else 0.0) + model.bias))))
+    assert not any(len(c) > toxicity.LONGEST_CHUNK for c in model.memo)
+
+
 def test_toxicity_without_labels(spark):
     assert toxicity.fit([], []) is None and toxicity.fit(["a"], [1]) is None
     labelled = spark.createDataFrame([(1, None, 1), (2, "x", None)], "doc_id long, text string, toxic int")
