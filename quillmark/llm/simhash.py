@@ -12,7 +12,11 @@ bounded size, which spread over tasks; nothing is capped.
 
 Rows: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; fewer words than
 a shingle has are one shingle; a doc_id that repeats keeps a row each; null doc_ids take part but never name a
-component unless alone. An empty table gives no rows; columns besides doc_id and text are ignored.
+component unless alone. Texts of any length are read whole. An empty table gives no rows; columns besides doc_id and text
+are ignored.
+
+Scale: a list grows as N / 2^24 of N distinct fingerprints and the compared pairs as N^2 / 2^24, which is fine to about
+10^9 distinct fingerprints; beyond that, lists of four positions in a longer fingerprint would be due.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import edges_to_components, whole_groups, written
+from ._common import edges_to_components, spread_join, whole_groups, written
 
 SHINGLE = 4
 SEED = 42
@@ -154,6 +158,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     joined = edges_to_components(links(folded.select("fp"), max_bits=max_bits))
     # A component is named by its smallest doc_id, found per fingerprint first.
     grouped = folded.join(joined, folded["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = grouped.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(named, "c").select("fp", "component_id")
+    grouped = written(grouped)
+    named = grouped.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    by_fp = spread_join(grouped, "c", named, "size").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from quillmark.llm import embed_dedup, simhash, topk
-from quillmark.llm._common import edges_to_components
+from quillmark.llm._common import edges_to_components, spread_join
 
 
 def components(n, pairs):
@@ -171,3 +171,28 @@ def test_embedding_recall_near_the_threshold(spark):
     linked = {r["vec_id"] for r in embed_dedup.near_duplicates(table).where("n_links > 0").collect()}
     for k, cosine in enumerate(cosines):
         assert sum(i in linked for i in range(k * n, (k + 1) * n)) >= 0.92 * n, cosine
+
+
+def test_spread_join_equals_join(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS v")
+    groups = rows.groupBy("k").agg({"v": "min"}).toDF("k", "least").join(rows.groupBy("k").count().toDF("k", "size"), "k")
+    got = spread_join(rows, "k", groups, "size")
+    want = rows.join(groups.drop("size"), "k")
+    assert sorted(map(tuple, got.select("k", "v", "least").collect())) == sorted(map(tuple, want.select("k", "v", "least").collect()))
+    assert spread_join(rows.limit(0), "k", groups.limit(0), "size").count() == 0
+
+
+def test_columns_are_dropped_before_the_last_block():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(64, 64))
+    c = np.floor(64 * (centres[rng.integers(0, 64, 12_000)] + 0.15 * rng.normal(size=(12_000, 64))) / 8)
+    ids, trace = np.arange(len(c)), []
+    own = ids % 20 == 0
+    scores, found = topk.branch_and_bound(ids[own], c[own], ids, c, 20, trace)
+    every = -(-own.sum() // topk.GROUP) * len(c)
+    assert sum(left[-1] if len(left) == 4 else 0 for left in trace) < 0.3 * every
+    full = c[own] @ c.T
+    full[np.arange(own.sum()), ids[own]] = -np.inf
+    for i in range(own.sum()):
+        best = sorted(zip(-full[i], ids, strict=True))[:20]
+        assert scores[i].tolist() == [-s for s, _ in best] and found[i].tolist() == [j for _, j in best]
