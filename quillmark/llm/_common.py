@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch's texts that are worked on together.
+AT_ONCE = 8 << 20
+
+
+def pieces_of(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """Slices of the texts of about `size` bytes each; a longer text is alone. Memory for them is given back after each."""
+    size = AT_ONCE if size is None else size
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
+        at = to
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
     """Columns of whole groups of a partition that is sorted by keys, with their `starts` and `ends`; a group that
     runs on into the next batch is carried over, so memory holds a batch and a group."""
@@ -56,7 +74,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         columns = {c: table[c].to_numpy()[:n] for c in table.column_names}
         return columns | {"starts": starts, "ends": np.append(starts[1:], n)}
 
-    for batch in batches:
+    def parts() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * AT_ONCE // max(1, batch.nbytes))
+            yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+    for batch in parts():
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import unused
+from ._common import pieces_of, unused
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -36,6 +36,7 @@ def _parts(texts: list[str], overlap: int) -> Iterator[tuple[list[str], list[int
     n-grams that begin in its next part."""
     held, owners, size = [], [], 0
     for i, text in enumerate(texts):
+        text = text.lower()
         for at in range(0, max(len(text), 1), BLOCK):
             piece = text[at : at + BLOCK + overlap]
             held.append(piece)
@@ -52,7 +53,7 @@ def ngram_rows(texts: list[str], orders: tuple[int, ...], buckets: int) -> Itera
     """(texts, buckets): for every n-gram of the texts, in lower case, the number of its text (ascending within a part and
     an order) and its bucket."""
     widest = max(orders)
-    for pieces, owners in _parts([t.lower() for t in texts], widest - 1):
+    for pieces, owners in _parts(texts, widest - 1):
         codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         lengths = np.array([len(p) for p in pieces])
         owner = np.repeat(np.array(owners, np.int32), lengths)
@@ -94,19 +95,22 @@ def ngram_counts(docs: DataFrame, *, orders=ORDERS, buckets: int = BUCKETS) -> D
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
         for batch in batches:
-            texts: dict[str, list[str]] = {}
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, own in texts.items():
-                if lang not in sums:
-                    if len(sums) >= 256:  # keeps a worker's memory bounded whatever the column holds
-                        yield emit()
-                        sums.clear()
-                        rows.clear()
-                    sums[lang], rows[lang] = np.zeros(buckets, np.int64), 0
-                rows[lang] += len(own)
-                for _, h in ngram_rows(own, orders, buckets):
-                    sums[lang] += np.bincount(h, minlength=buckets)
+            done, langs_of = 0, batch["lang"].to_pylist()
+            for part in pieces_of(batch["text"]):
+                texts: dict[str, list[str]] = {}
+                for text in part.to_pylist():
+                    texts.setdefault(langs_of[done], []).append(text)
+                    done += 1
+                for lang, own in texts.items():
+                    if lang not in sums:
+                        if len(sums) >= 256:  # keeps a worker's memory bounded whatever the column holds
+                            yield emit()
+                            sums.clear()
+                            rows.clear()
+                        sums[lang], rows[lang] = np.zeros(buckets, np.int64), 0
+                    rows[lang] += len(own)
+                    for _, h in ngram_rows(own, orders, buckets):
+                        sums[lang] += np.bincount(h, minlength=buckets)
         yield emit()
 
     known = docs.where("text is not null and lang is not null").select("lang", "text")
@@ -143,17 +147,21 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, logp = shared.value
         for batch in batches:
-            texts = batch[text_name].to_pylist()
-            known = [i for i, t in enumerate(texts) if langs and t and any(map(str.isalpha, t))]
-            best, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            if known:
+            best, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+            before = 0
+            for part in pieces_of(batch[text_name]):
+                texts, first_row = part.to_pylist(), before
+                before += len(texts)
+                known = [i for i, t in enumerate(texts) if langs and t and any(map(str.isalpha, t))]
+                if not known:
+                    continue
                 total = np.tile(prior, (len(known), 1))
                 for rows, columns in ngram_rows([texts[i] for i in known], orders, len(logp)):
                     sparse_product(rows, columns, logp, total)
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 first = np.argmax(odds, axis=1)
                 for i, k, p in zip(known, first.tolist(), (odds.max(axis=1) / odds.sum(axis=1)).tolist(), strict=True):
-                    best[i], scores[i] = langs[k], p
+                    best[first_row + i], scores[first_row + i] = langs[k], p
             keep = batch.drop_columns([text_name]) if batch.num_columns > 1 else batch.select([])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(best, pa.string()), pa.array(scores, pa.float64())], [*keep.schema.names, "lang_pred", "score"])
 

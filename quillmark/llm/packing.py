@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import written
+from ._common import pieces_of, written
 
 LENGTH = 1024
 
@@ -93,7 +93,7 @@ def _cut_ids(docs: DataFrame, length: int, end_id: int, path: str) -> DataFrame:
         ranks, full = [0] * length, 0
         for batch in batches:
             docs, first = batch["doc_id"], 0
-            for texts in tokens.pieces_of(batch["text"]):
+            for texts in pieces_of(batch["text"], tokens.BATCH_CHARS):
                 ids, lengths = tokens.with_end(*encoder.encode_all(texts), end_id)
                 data, at, rows = memoryview(ids).cast("B"), 0, []
                 for n in lengths.tolist():

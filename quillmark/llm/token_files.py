@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b, tokens
+from ._common import pieces_of
 
 MAGIC = b"QM8B"
 BLOCK = 4096
@@ -81,7 +82,7 @@ def shards(docs: DataFrame, *, end_id: int = 2, tokenizer: str | None = None) ->
         for batch in batches:
             names = pc.fill_null(batch["doc_id"], NO_DOC).to_numpy(zero_copy_only=False)
             first = 0
-            for texts in tokens.pieces_of(batch["text"]):
+            for texts in pieces_of(batch["text"], tokens.BATCH_CHARS):
                 ids, lengths = tokens.with_end(*encoder.encode_all(texts), end_id)
                 ends, done = np.cumsum(lengths), 0
                 while done < len(lengths):

@@ -10,7 +10,6 @@ library's own encode().
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -24,10 +23,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Signs that stand behind a word as one run; no letter, digit or white space is among them.
 _MARKS = ".,;:!?%&*#$"
 #: Bound on the bytes of a generation of words (a worker holds two at most), and of a generation of other parts.
-WORD_BYTES = 80 << 20
-PART_BYTES = 24 << 20
+WORD_BYTES = 56 << 20
+PART_BYTES = 12 << 20
 #: Characters of texts that are worked on together (a longer text is alone).
-BATCH_CHARS = 16 << 20
+BATCH_CHARS = 8 << 20
 #: Longer keys seldom recur and aren't kept.
 LONGEST_KEY = 40
 #: What an entry takes besides the characters of its key and its value: two objects and a place in the table.
@@ -164,14 +163,3 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     own[np.cumsum(lengths + 1) - 1] = False
     out[own] = ids
     return out, lengths + 1
-
-
-def pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of the texts of about BATCH_CHARS bytes each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + BATCH_CHARS, "right")))
-        yield texts.slice(at, to - at)
-        at = to

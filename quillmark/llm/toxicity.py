@@ -39,7 +39,7 @@ CLEAN_SHARE = 2.0
 #: Subwords of fewer labelled texts are not learnt: they would only name single texts.
 MIN_TEXTS = 6
 #: Bounds on the memo of chunks: entries, and characters of a chunk that is kept.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 LONGEST_CHUNK = 40
 #: Texts, and new words, that are worked on together.
 TEXTS_AT_ONCE = 256
@@ -237,9 +237,9 @@ def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, scores = batch[text_name].to_pylist(), []
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                part = texts[at : at + TEXTS_AT_ONCE]
+            scores: list[float] = []
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch[text_name].slice(at, TEXTS_AT_ONCE).to_pylist()
                 scores += model.score_all(part) if model else [0.0] * len(part)
             keep = batch.drop_columns([text_name])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep.schema.names, "score", "predicted"])

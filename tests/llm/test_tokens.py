@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillmark.llm import bpe, packing, simple8b, token_files, tokens
+from quillmark.llm._common import pieces_of
 
 PIECES = [" ", "  ", "\n", "\t", " \n", "a", "it's", "don't", "Été", "日本", "12", "!!", "<|endoftext|>", "\x1c", "\x85", "é", "foo", '"', "😀", "​", "İ", "ΣΟΣ", "́", "²"]
 TEXTS = [None, "", " ", "\n\n", "plain words, here.", "plain words, here.", "x" * 5000, "word " * 9000, "tail space ", " lead", "two  spaces\n\nand lines", "<|endoftext|> in text"]
@@ -54,10 +55,9 @@ def test_batches_equal_the_library(library):
     assert own.encode_all(sliced)[1].tolist() == [len(library.encode(t or "").ids) for t in TEXTS[3:7]]
 
 
-def test_pieces_of_are_whole_texts(monkeypatch):
-    monkeypatch.setattr(tokens, "BATCH_CHARS", 10)
+def test_pieces_of_are_whole_texts():
     texts = pa.array(["x" * 30, None, "", "abc", "defgh", "ijklm", "n" * 9])
-    parts = [p.to_pylist() for p in tokens.pieces_of(texts)]
+    parts = [p.to_pylist() for p in pieces_of(texts, 10)]
     assert sum(parts, []) == texts.to_pylist() and len(parts) > 3
 
 
