@@ -165,6 +165,16 @@ def add_pages(pages: DataFrame, new: DataFrame, batches: DataFrame) -> DataFrame
     return pages.unionByName(added, allowMissingColumns=True)
 
 
+def save_recognised(batches: DataFrame, pages: DataFrame, recognised: DataFrame, *, default_title: str = "Untitled transcript") -> tuple[DataFrame, DataFrame]:
+    """(batches, pages) with recognised pages (batch_id, title, created_at and the columns of pages) saved end to end: a
+    batch for each batch_id, its pages, and its roll-up. A blank title becomes the default one."""
+    title = F.coalesce(F.nullif(trim_spaces(F.max("title")), F.lit("")), F.lit(default_title))
+    new = recognised.groupBy("batch_id").agg(title.alias("title"), F.max("created_at").alias("created_at"), F.count("*").cast("string").alias("total_pages"))
+    made = create_batches(batches.limit(0), new)
+    added = add_pages(pages.limit(0), recognised.drop("title", "created_at"), made)
+    return batches.unionByName(roll_up(made, added), allowMissingColumns=True), pages.unionByName(added, allowMissingColumns=True)
+
+
 def edit_pages(pages: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: page_id, new_text (the last by edited_at wins)."""
     last = changes.groupBy("page_id").agg(F.max_by("new_text", "edited_at").alias("_new"))

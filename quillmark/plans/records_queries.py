@@ -23,6 +23,19 @@ def batch_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return records.roll_up(records.live(b.batches(spark, d)), b.pages(spark, d)).select("batch_id", "title", "total_pages", "confidence_avg", "transcript_text", "upload_status")
 
 
+@query(
+    """SELECT b.batch_id, CASE WHEN b.id % 4 = 0 THEN 'Untitled transcript' ELSE any_value(b.title) END AS title, count(*) AS total_pages, round(avg(coalesce(confidence, 0)), 2) AS confidence_avg,
+    string_agg(trim(raw_text), chr(10) || chr(10) ORDER BY page_number, page_id) AS transcript_text, 'processed' AS upload_status FROM batches b JOIN pg USING (batch_id) WHERE NOT b.is_deleted GROUP BY b.batch_id, b.id""", B, P,
+)
+def saved_recognised(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of live orders as newly recognised ones, beside the deleted ones that are stored."""
+    batches, pages = b.batches(spark, d), b.pages(spark, d)
+    title = F.when(F.col("id") % 4 == 0, " ").otherwise(F.col("title"))
+    new = pages.drop("edited_text", "is_deleted").join(records.live(batches).select("batch_id", title.alias("title"), "created_at"), "batch_id")
+    after, _ = records.save_recognised(records.deleted(batches), pages.limit(0), new)
+    return records.live(after).select("batch_id", "title", "total_pages", "confidence_avg", "transcript_text", "upload_status")
+
+
 @query("SELECT batch_id, title, created_at FROM batches WHERE is_deleted", B)
 def deleted_batches(spark: SparkSession, d: str) -> DataFrame:
     """F01, O02, S09."""
