@@ -104,11 +104,11 @@ SPREAD = 256
 HOT_KEYS = 2000
 
 
-def spread_join(rows: DataFrame, key: str, groups: DataFrame, size: str) -> DataFrame:
+def spread_join(rows: DataFrame, key: str, groups: DataFrame, size: str, total: int | None = None) -> DataFrame:
     """Inner join of rows with the one row that each key has in groups, which says in `size` how many rows have the key.
     Keys of more than a 2000th of all rows, of which there can't be more than HOT_KEYS, are broadcast and dealt out to
-    parts; their row in groups is repeated for each part. The column `size` is dropped."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    parts; their row in groups is repeated for each part. The column `size` is dropped. total: all rows, if known."""
+    total = groups.agg(F.sum(size)).first()[0] or 0 if total is None else total
     limit = max(SPREAD, -(-total // HOT_KEYS))
     parts = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit)).otherwise(F.lit(1).cast("long"))
     hot = groups.where(F.col(size) > limit).select(F.col(key), parts.alias("parts_"))
@@ -120,31 +120,35 @@ def edges_to_components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     edges: two long columns a, b (a <> b). Returns node, component: for each node of an edge the smallest
-    reachable node. Every step is a partial minimum and an equi join, so a hub with very many neighbours is never
-    gathered in one group; each round is written to the shared folder.
+    reachable node. Every step is a partial minimum and an equi join that deals out the neighbours of a hub, so a hub
+    with very many neighbours is never gathered in one task; each round is written to the shared folder.
     """
 
     def pairs(df: DataFrame) -> DataFrame:
         """Directed both ways."""
         return df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def star(directed: DataFrame, keep_larger: bool) -> DataFrame:
+    def star(directed: DataFrame, rows: int, keep_larger: bool) -> DataFrame:
         """Neighbours a of hub b; each is linked to the smallest of the hub and its neighbours."""
-        least = directed.groupBy(F.col("b").alias("hub")).agg(F.least(F.min("a"), F.col("hub")).alias("least"))
-        joined = directed.join(least, directed["b"] == least["hub"])
+        least = directed.groupBy("b").agg(F.least(F.min("a"), F.col("b")).alias("least"), F.count("*").alias("n"))
+        joined = spread_join(directed, "b", least, "n", rows)
         if keep_larger:
             linked = joined.where("a > b").select("a", F.col("least").alias("b"))
         else:
-            linked = joined.select("a", F.col("least").alias("b")).union(least.select(F.col("hub"), F.col("least")))
+            linked = joined.select("a", F.col("least").alias("b")).union(least.select("b", "least"))
         return linked.where("a <> b").distinct()
 
+    def measured(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = measured(current)
     while True:
-        large = star(pairs(current), keep_larger=True)
+        rows = 2 * before[0]  # a star has at most as many links as it was made of
+        large = star(pairs(current), rows, keep_larger=True)
         down = large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        nxt = written(star(down, keep_larger=False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        nxt = written(star(down, rows, keep_larger=False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        now = measured(nxt)
         if now == before:
             break
         before, current = now, nxt
