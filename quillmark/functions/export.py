@@ -111,6 +111,7 @@ def _role(field: str, role: str) -> tuple[Column, Column, Column]:
 
 def front_page() -> Column:
     """array<string> from the columns of CASE_FIELDS (dates and times as they are to be shown)."""
+    # The wording and widths below.
     held = lambda field, width: blank_or_value(F.col(field), width)
     complainant, accused = F.concat(held("complainant", 30), F.lit(",")), F.concat(held("accused", 30), F.lit(","))
     column_width = F.greatest(F.length(complainant), F.length(accused), F.lit(34))
@@ -141,6 +142,7 @@ def page_header(page_no: Column, total: Column) -> Column:
 
 
 def certification_page() -> Column:
+    # The wording and widths below.
     certifier = blank_or_value(F.coalesce(F.nullif(F.col("certifier_name"), F.lit("")), F.col("court_stenographer")), 20)
     none = F.lit("")
     return F.array(

@@ -68,6 +68,19 @@ CLAUSE_QUESTIONS = (
     "would", "should",
 )
 LINE_WIDTH = 76
+SPACE_BEFORE_MARK = r"(?U)\s+([,.;:!?])"
+NO_SPACE_AFTER_MARK = r"""(?U)([,.;:!?])([^\s"')\]])"""
+MARK_RUNS = r"[!?]+([!?])"
+PAGE_MARKER = r"(?iU)^\s*page\s+([a-z]+|\d+)\s*\z"
+FIRST_WORD = r"""^["'(\[]*([A-Za-z]+)"""
+REPEATED_WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
+OATH = r"(?iU)\bdo you swear\b"
+DIRECT_ADDRESS = (
+    (r"(?U)\bYour Honor,?\.\z", "Your Honor."),
+    (r"(?U)\b(Yes|No), sir\?\z", "$1, sir."),
+    (r"(?U)\b(Yes|No), Your Honor\?\z", "$1, Your Honor."),
+)
+INTERPRETER_DATE = r"(?U)^(January)\s+([xX]{1,2}|\d{1,2})\s+([xX]{4}|\d{4})\s+(.+)\z"
 # -----------------------------------------------------------------------------------------------------------------
 
 
@@ -91,14 +104,14 @@ def trim_spaces(text: Column) -> Column:
 
 
 def is_page_marker(line: Column) -> Column:
-    return line.rlike(r"(?iU)^\s*page\s+([a-z]+|\d+)\s*\z")
+    return line.rlike(PAGE_MARKER)
 
 
 def normalize_spacing(text: Column) -> Column:
     """One space between words, none before ,.;:!? and one behind unless a space, quote or bracket follows; runs of
     marks that are left together are cut to one."""
     spaced = trim_spaces(F.regexp_replace(text, r"(?U)\s+", " "))
-    marks = _replace(spaced, (r"(?U)\s+([,.;:!?])", "$1"), (r"""(?U)([,.;:!?])([^\s"')\]])""", "$1 $2"), (r"[!?]+([!?])", "$1"), (r"\.{2,}", "."))
+    marks = _replace(spaced, (SPACE_BEFORE_MARK, "$1"), (NO_SPACE_AFTER_MARK, "$1 $2"), (MARK_RUNS, "$1"), (r"\.{2,}", "."))
     return trim_spaces(marks)
 
 
@@ -123,7 +136,7 @@ def drop_repeated_words(text: Column) -> Column:
     """Adjacent repeats of a word become its first occurrence, but for the words that may repeat, again and again until
     nothing changes. Repeats are matched possessively, so a long run of them needs no stack; a pass that changes a text
     takes a word away, so there are fewer passes than words, and passes after the last change do nothing."""
-    word, again = r"([A-Za-z]+(?:'[A-Za-z]+)?)\b", r"(?:\s++\b{}\b)++"
+    word, again = rf"({REPEATED_WORD})\b", r"(?:\s++\b{}\b)++"
     pattern = rf"(?iU)\b(({'|'.join(REPEATS_ALLOWED)})\b{again.format(r'\2')})|\b{word}{again.format(r'\3')}"
 
     def once(state: Column, _: Column) -> Column:
@@ -147,7 +160,7 @@ def capitalize_sentences(text: Column) -> Column:
 
 
 def first_word(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"""^["'(\[]*([A-Za-z]+)""", 1))
+    return F.lower(F.regexp_extract(text, FIRST_WORD, 1))
 
 
 def end_sentence(text: Column) -> Column:
@@ -165,14 +178,14 @@ def fix_questions(text: Column) -> Column:
 
     def fix(bare: Column) -> Column:
         clause = bare.rlike(rf"(?iU),\s*({'|'.join(CLAUSE_QUESTIONS)})\b.+$")
-        asks = first_word(bare).isin(*QUESTION_STARTERS) | bare.rlike(r"(?iU)\bdo you swear\b") | clause
+        asks = first_word(bare).isin(*QUESTION_STARTERS) | bare.rlike(OATH) | clause
         return F.when((bare != "") & asks, F.concat(F.regexp_replace(bare, r"[.!?]+\z", ""), F.lit("?"))).otherwise(bare)
 
     return let(F.regexp_replace(text, r"(?U)\s+\z", ""), fix)
 
 
 def fix_direct_address(text: Column) -> Column:
-    return _replace(text, (r"(?U)\bYour Honor,?\.\z", "Your Honor."), (r"(?U)\b(Yes|No), sir\?\z", "$1, sir."), (r"(?U)\b(Yes|No), Your Honor\?\z", "$1, Your Honor."))
+    return _replace(text, *DIRECT_ADDRESS)
 
 
 def speaker_and_utterance(line: Column) -> Column:
@@ -201,12 +214,10 @@ def format_utterance(text: Column) -> Column:
 
 def split_interpreter_date(text: Column, speaker: Column) -> Column:
     """array<string>: an interpreter's January date and what follows it, or the text alone."""
-    pattern = r"(?U)^(January)\s+([xX]{1,2}|\d{1,2})\s+([xX]{4}|\d{4})\s+(.+)\z"
-
     def split(t: Column) -> Column:
-        date = F.concat(F.regexp_extract(t, pattern, 1), F.lit(" "), F.upper(F.regexp_extract(t, pattern, 2)), F.lit(", "), F.upper(F.regexp_extract(t, pattern, 3)))
-        rest = capitalize_sentences(trim_spaces(F.regexp_extract(t, pattern, 4)))
-        return F.when((speaker == "COURT INTERPRETER") & t.rlike(pattern), F.array(date, rest)).otherwise(F.array(t))
+        date = F.concat(F.regexp_extract(t, INTERPRETER_DATE, 1), F.lit(" "), F.upper(F.regexp_extract(t, INTERPRETER_DATE, 2)), F.lit(", "), F.upper(F.regexp_extract(t, INTERPRETER_DATE, 3)))
+        rest = capitalize_sentences(trim_spaces(F.regexp_extract(t, INTERPRETER_DATE, 4)))
+        return F.when((speaker == "COURT INTERPRETER") & t.rlike(INTERPRETER_DATE), F.array(date, rest)).otherwise(F.array(t))
 
     return let(text, split)
 

@@ -154,6 +154,7 @@ def is_centered_header(width: int, height: int) -> Column:
 def is_plausible_line(width: int, height: int, *, rule: str = "peaks", min_width: int | None = None, min_height: int | None = None) -> Column:
     """Whether a box (with its `ink`) is a line. rule: 'peaks', 'projection' or 'components', which differ in how
     much ink they ask for."""
+    # The limits below and the defaults above.
     floor, share, density, sparse, wide, wide_sparse = {"peaks": (18, 0.015, 0.0035, 900, 0.008, 1300), "projection": (18, 0.018, 0.0, 0, 0.0, 0), "components": (28, 0.025, 0.0045, 1200, 0.009, 1500)}[rule]
     min_width = max(35, int(width * 0.025)) if min_width is None else min_width
     min_height = max(8, int(height * 0.006)) if min_height is None else min_height
@@ -173,6 +174,8 @@ def is_edge_artifact(width: int, height: int) -> Column:
 
 def drop_isolated_headers(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Without the leading boxes of a page that stand alone above the next one; the last box always stays."""
+    # The limits below and the defaults above.
+    # The limits below and the defaults above.
     order = Window.partitionBy("page").orderBy("y", "x")
     gap, middle = F.lead("y").over(order) - (F.col("y") + F.col("h") - 1), F.col("x") + F.col("w") / 2.0
     alone = (F.col("y") < height * 0.24) & middle.between(width * 0.25, width * 0.75) & (F.col("w") < width * 0.58) & (F.col("h") < height * 0.065) & (F.col("_gap") > max(34, int(height * 0.025)))
@@ -206,6 +209,7 @@ def separate_overlaps(boxes: DataFrame) -> DataFrame:
 def orientation(boxes: DataFrame, shape: DataFrame, tall: float = 0.18, touch: float = 0.35) -> DataFrame:
     """page, rotation, score, sideways. boxes: page, rotation, x, y, w, h; shape: page, rotation, width, height, also
     for rotations without boxes."""
+    # The limits below and the defaults above.
     aspect = F.col("w") / F.greatest(F.lit(1), F.col("h"))
     good = (aspect >= 2.8) & (F.col("w") >= F.col("width") * 0.08)
     suspicious = (F.col("x") <= 2) & (F.col("h") >= F.col("height") * tall) & (F.col("w") >= F.col("width") * 0.22)
@@ -246,6 +250,7 @@ def component_medians(components: DataFrame, *keys: str) -> DataFrame:
 
 def dilation_width(median_width: Column, line_width: Column, line_height: Column, by_height: float = 0.34, by_width: float = 0.03) -> Column:
     """How far the strokes of a word are spread; median_width null means no component."""
+    # The limits below and the defaults above.
     width = F.bround(F.greatest(F.lit(7.0), F.least(F.lit(34.0), line_height * by_height, line_width * by_width, median_width * 1.35))).cast("int")
     return F.when(median_width.isNull(), F.greatest(F.lit(7), (line_height * by_height).cast("int"))).otherwise(F.greatest(F.lit(3), width))
 

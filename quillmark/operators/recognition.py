@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 # Fixed values ---------------------------------------------------------------------------------------------------
 WORD_REVIEW = 55.0
 CLOSE_GAP = 8.0
@@ -67,6 +70,7 @@ def top_display(top: Column) -> Column:
 
 def crop_noise(prefix: str = "") -> Column:
     """Why a crop is no word, or ''. Columns: ink_area, ink_w, ink_h, box_w, box_h, components (of usable size)."""
+    # The limits and messages below.
     c = lambda n: F.col(prefix + n)
     density = c("ink_area") / F.greatest(F.lit(1), c("ink_w") * c("ink_h"))
     tiny = (c("ink_w") <= 12) & (c("ink_h") <= 12) & (c("ink_area") <= 70)
@@ -120,6 +124,7 @@ def context_score(candidate: Column, previous: Column) -> Column:
     """How well a candidate suits the word before it (null or '' if there is none)."""
     word, before = F.lower(display_label(candidate)), F.lower(display_label(F.coalesce(previous, F.lit(""))))
     points = lambda when, n: F.when(when, n).otherwise(0)
+    # The points and words below.
     return (
         points(word.isin(*COMMON_WORDS), 4) + points(word.isin(*COURT_WORDS), 6) + points((F.length(word) == 1) & ~word.isin("a", "i"), -5)
         + points(before.isin("the", "a", "an") & word.isin(*COURT_WORDS), 3) + points(before.isin("mr", "mrs", "ms", "dr"), 2)
@@ -150,25 +155,28 @@ Scorer = Callable[[pd.DataFrame], "pd.Series"]
 
 
 def score(items: DataFrame, load: Callable[[], Scorer], *, key: str, features: list[str]) -> DataFrame:
-    """key, scores array<double>, error: a scorer loaded once a task and fed Arrow batches. If a batch fails its rows
-    are scored one by one, and a row that fails has the message in `error` and no scores; the job goes on."""
+    """key, scores array<double>, error: a scorer loaded once a task and fed Arrow batches. If a batch fails its
+    halves are scored apart, and so on; a row that fails alone has the message in `error` and no scores; the job goes on."""
     schema = f"{items.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, scores array<double>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
-        for batch in batches:
+
+        def attempt(rows: pd.DataFrame) -> list[tuple]:
             try:
-                scores, errors = list(scorer(batch[features])), [None] * len(batch)
-            except Exception:  # noqa: BLE001  isolated below
-                scores, errors = [], []
-                for i in range(len(batch)):
-                    try:
-                        scores.append(list(scorer(batch[features].iloc[i : i + 1]))[0])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001  becomes the row's error
-                        scores.append(None)
-                        errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pd.DataFrame({key: batch[key], "scores": scores, "error": errors})
+                scores = list(scorer(rows))
+                if len(scores) != len(rows):
+                    raise ValueError(f"{len(scores)} scores of {len(rows)} rows")
+                return [(s, None) for s in scores]
+            except Exception as e:  # noqa: BLE001  becomes the row's error
+                if len(rows) == 1:
+                    return [(None, f"{type(e).__name__}: {e}"[:500])]
+                half = len(rows) // 2
+                return attempt(rows.iloc[:half]) + attempt(rows.iloc[half:])
+
+        for batch in batches:
+            pairs = attempt(batch[features]) if len(batch) else []
+            yield pd.DataFrame({key: batch[key], "scores": [s for s, _ in pairs], "error": [e for _, e in pairs]})
 
     return items.select(key, *features).mapInPandas(run, schema)
 
@@ -198,10 +206,31 @@ class PrototypeModel:
 
 
 def fit_prototypes(train: DataFrame, label: str = "label", vector: str = "embedding") -> PrototypeModel:
-    """The model of mean vectors. Only the prototypes come to the driver, and only if their number is in bounds."""
-    classes = prototypes(train, label, vector)
+    """The model of mean vectors."""
+    return _collected(prototypes(train, label, vector).withColumnRenamed(label, "label"), F.col("label"))
+
+
+def first_saved_model(spark: SparkSession, candidates: Sequence[tuple[str, str]]) -> PrototypeModel:
+    """The first model, in the order given, of which both the table (label, prototype) and the label list exist. Classes
+    have the list's order; labels without a prototype are an error, prototypes without a label are left out."""
+    for table, labels in candidates:
+        try:
+            classes, listed = spark.read.parquet(table), files.label_list(spark, labels)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        missing = listed.join(classes, "label", "left_anti").select("label").head(5)
+        if missing:
+            raise ValueError(f"labels without a prototype in {table}: {[r['label'] for r in missing]}")
+        return _collected(classes.join(listed, "label"), F.col("label_index"))
+    raise FileNotFoundError(f"no model with its labels among {[table for table, _ in candidates]}")
+
+
+def _collected(classes: DataFrame, order: Column) -> PrototypeModel:
+    """Only the prototypes come to the driver, and only if their number is in bounds."""
     size = classes.agg(F.coalesce(F.sum(F.size("prototype")), F.lit(0))).first()[0]
     if size > MAX_PROTOTYPE_VALUES:
         raise ValueError(f"{size} prototype values are more than {MAX_PROTOTYPE_VALUES}")
-    rows = sorted(classes.collect(), key=lambda r: r[label])
-    return PrototypeModel([r[label] for r in rows], np.array([r["prototype"] for r in rows], float))
+    rows = classes.orderBy(order).collect()
+    return PrototypeModel([r["label"] for r in rows], np.array([r["prototype"] for r in rows], float))

@@ -122,7 +122,11 @@ def renumber(pages: DataFrame) -> DataFrame:
 
 def number_appended(new_pages: DataFrame, pages: DataFrame) -> DataFrame:
     """New pages numbered behind the live pages of their batch, in order of arrival."""
-    have = live(pages).groupBy("batch_id").agg(F.count("*").alias("have"))
+    return number_behind(new_pages, live(pages).groupBy("batch_id").agg(F.count("*").alias("have")))
+
+
+def number_behind(new_pages: DataFrame, have: DataFrame) -> DataFrame:
+    """New pages numbered in order of arrival behind the `have` pages that each batch_id has."""
     order = F.row_number().over(Window.partitionBy("batch_id").orderBy("arrival"))
     return new_pages.join(have, "batch_id", "left").withColumn("page_number", (F.coalesce("have", F.lit(0)) + order).cast("int")).drop("have")
 

@@ -1,7 +1,9 @@
 """Pages that arrive in files: numbering and storing each batch of them, and running counters.
 
 The store is a folder of versions; a micro-batch writes the pages of its batches as version <batch id>, so a restart
-that repeats a micro-batch overwrites what it wrote and changes nothing. There is one writer.
+that repeats a micro-batch overwrites what it wrote and changes nothing. There is one writer. Beside the store stand the
+numbers of pages by batch; keys that were seen are the stream's state (for very many of them set the session's state store
+provider to RocksDB). So a micro-batch reads no page that is stored.
 """
 
 from __future__ import annotations
@@ -35,14 +37,19 @@ def number_arrivals(new: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 def store_arrivals(arrivals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Starts the writer and lets it take all that is there."""
+    counts = store.rstrip("/") + "-counts"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{store}/version={i}" for i in range(batch_id)]
-        stored = spark.read.parquet(*earlier) if earlier else None
-        number_arrivals(batch, stored).write.mode("overwrite").parquet(f"{store}/version={batch_id}")
-
-    return arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, version = batch.sparkSession, f"version={batch_id}"
+        if batch_id:
+            have = spark.read.schema("batch_id string, have long").parquet(f"{counts}/version={batch_id - 1}")
+        else:
+            have = spark.createDataFrame([], "batch_id string, have long")
+        records.number_behind(batch, have).write.mode("overwrite").parquet(f"{store}/{version}")
+        added = spark.read.parquet(f"{store}/{version}").groupBy("batch_id").agg(F.count("*").alias("have"))
+        have.unionByName(added).groupBy("batch_id").agg(F.sum("have").alias("have")).write.mode("overwrite").parquet(f"{counts}/{version}")
+
+    return arrivals.dropDuplicates(["batch_id", "source_key"]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counters(arrivals: DataFrame) -> DataFrame:

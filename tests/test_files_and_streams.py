@@ -116,6 +116,8 @@ def test_streams_equal_the_batch(spark, sf, tmp_path):
     assert sizes.where("n <> m OR n <> d").count() == 0
     arrivals.store_arrivals(source, f"{tmp_path}/store", f"{tmp_path}/c1").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/store").count() == events.count()
+    counts = spark.read.parquet(f"{tmp_path}/store-counts/version=2")
+    assert counts.agg(F.sum("have")).first()[0] == events.count()
     arrivals.store_counters(source, f"{tmp_path}/counters", f"{tmp_path}/c2").awaitTermination()
     rounded = lambda df: {(r["batch_id"], r["pages"], round(r["confidence_sum"], 4), r["low_words"]) for r in df.collect()}
     assert rounded(arrivals.latest_counters(spark, f"{tmp_path}/counters")) == rounded(arrivals.running_counters(arrivals.as_pages(events)))
@@ -127,3 +129,29 @@ def test_prototype_bound(spark, monkeypatch):
     monkeypatch.setattr(recognition, "MAX_PROTOTYPE_VALUES", 1)
     with pytest.raises(ValueError, match="prototype values"):
         recognition.fit_prototypes(spark.createDataFrame([("a", [1.0, 2.0])], "label string, embedding array<double>"))
+
+
+def test_first_saved_model(spark, tmp_path):
+    import pytest
+
+    train = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label string, embedding array<double>")
+    recognition.prototypes(train).write.parquet(f"{tmp_path}/model")
+    make(tmp_path, "labels.txt", content=b"b\na\n")
+    make(tmp_path, "more.txt", content=b"b\na\nz\n")
+    gone, whole = (f"{tmp_path}/model", f"{tmp_path}/gone.txt"), (f"{tmp_path}/model", f"{tmp_path}/labels.txt")
+    model = recognition.first_saved_model(spark, [gone, (f"{tmp_path}/none", f"{tmp_path}/labels.txt"), whole])
+    assert model.names == ["b", "a"] and model.matrix.tolist() == [[0.0, 1.0], [1.0, 0.0]]
+    with pytest.raises(FileNotFoundError):
+        recognition.first_saved_model(spark, [gone])
+    with pytest.raises(ValueError, match="'z'"):
+        recognition.first_saved_model(spark, [(f"{tmp_path}/model", f"{tmp_path}/more.txt")])
+
+
+def test_bad_rows_are_found_by_halves(spark):
+    def scorer(rows):
+        if (rows["x"] == 7).any():
+            raise ValueError("seven")
+        return rows["x"].map(lambda x: [float(x)])
+
+    out = {r["id"]: (r["scores"], r["error"]) for r in recognition.score(spark.range(20).withColumn("x", F.col("id")), lambda: scorer, key="id", features=["x"]).collect()}
+    assert out == {i: ([float(i)], None) if i != 7 else (None, "ValueError: seven") for i in range(20)}
