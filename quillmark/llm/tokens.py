@@ -59,6 +59,13 @@ class Generations(dict):
         return value
 
 
+def visible_bytes() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ByteBpe:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers; encode_all(texts) those of many texts."""
 
@@ -69,9 +76,7 @@ class ByteBpe:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(public_tokenizers.PATTERN)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.visible = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.visible = visible_bytes()
         self.space = self.visible[32]
         self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.parts = Generations(self._part, PART_BYTES)
