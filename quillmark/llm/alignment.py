@@ -3,13 +3,13 @@
 A text is tokenised in full by both: a space and the text by a byte-level BPE (A), the text by a sentencepiece model
 whose dummy prefix is that space (B). Byte offsets where tokens of both end are shared ends; those before a token that
 starts with a space in both are anchors, which split a document into windows of ids, about a word each. A window's
-groups (cuts at its shared ends) and links (A-B pairs of tokens whose bytes overlap) depend on its ids alone, so they are
-memoised by them, in a memo bounded in bytes.
+groups (cuts at its shared ends) and links (A-B pairs of tokens whose bytes overlap) depend on its ids alone: within a
+slice of some SLICE_BYTES of text each distinct window, told by its ids, is aligned once and the result taken for all.
 
 Links are counted over all documents in two passes. Tasks work on parts of some PART_BYTES of text. A part writes a row a
-document, with the windows it holds, and one row with the part's distinct id pairs, each with its number of documents
+document, with the pairs it holds, and one row with the part's distinct id pairs, each with its number of documents
 there: so a pair is shuffled once a part, however many documents hold it, and no pair is hot. The pairs' counts over the
-corpus come back to their parts, where they are summed over each window and then over each document's windows.
+corpus come back to their parts, where they are summed over each document's pairs.
 
 Rows: texts that are null, empty, or whose tokens' bytes differ from the space and the text in A or B have no tokens
 (zeros and ''). Strings that name special tokens are plain text. Texts of any length are aligned whole, each alone if it
@@ -36,15 +36,14 @@ from . import tokens
 from ._common import pieces_of, written
 
 #: Bytes of texts whose pairs are counted together before they are shuffled.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: Bytes of texts that are tokenised together (a longer text is alone).
 SLICE_BYTES = 4 << 20
-#: Bounds on the bytes of a generation of memoised words of B, and of windows; a worker holds two of each at most.
+#: Bound on the bytes of a generation of memoised words of B; a worker holds two at most.
 PIECE_BYTES = 32 << 20
-WINDOW_BYTES = 40 << 20
 MARK = "▁"
-_DOCS = "part string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, windows binary, times binary"
-_PARTS = "pairs array<long>, held array<long>, n_window_links binary, links binary"
+_DOCS = "part string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, linked binary, times binary"
+_PARTS = "pairs array<long>, held array<long>"
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -137,15 +136,23 @@ def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(values, "<u4"))])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that start at `starts`, run after run."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class Aligner:
     _loaded: dict[tuple[str, str], "Aligner"] = {}
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = PlainBpe.load(path_a), Pieces.load(path_b)
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
-        self.sizes_a, self.sizes_b = (pc.binary_length(t).to_numpy() for t in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = (pc.binary_length(t).to_numpy().astype(np.int64) for t in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in table.to_pylist()], bool) for table in (self.bytes_a, self.bytes_b))
-        self.windows = tokens.Generations(self._window, WINDOW_BYTES, lambda w: 300 + 3 * len(w[1]) + len(w[2]))
+        # An id as text with what follows it: within A's or B's ids, behind the last of A's, behind the last of a group.
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.decimals = pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(most)], pa.large_binary())
+        self.most = most
         self.makers = [(self.a.spaced, lambda t: self.a.encode(" " + t)), (self.b.spaced, lambda t: self.b.encode([t])[0])]
 
     @classmethod
@@ -154,23 +161,25 @@ class Aligner:
             cls._loaded[path_a, path_b] = cls(path_a, path_b)
         return cls._loaded[path_a, path_b]
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[int, bytes, bytes]:
-        """Number of groups, the groups as text (each followed by ;), and the linked pairs (a << 32 | b) of a window."""
-        a, b = (np.frombuffer(k, "<u4").astype(np.int64) for k in key)
+    def windows(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of windows that lie end to end, with the numbers of their tokens: the linked pairs (a << 32 | b) of all and how
+        many each window has, how many groups each has, and their text (each group followed by ;)."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        # A token links to those from the first that ends behind its start to the first that reaches its end.
-        first = np.searchsorted(ends_b, ends_a - self.sizes_a[a], "right")
-        last = np.searchsorted(ends_b, ends_a, "left")
-        n = last - first + 1
-        linked = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
-        pairs = np.repeat(a, n) << 32 | b[linked]
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        text, at = [], (0, 0)
-        for end in shared.tolist():
-            to = int(np.searchsorted(ends_a, end)) + 1, int(np.searchsorted(ends_b, end)) + 1
-            text.append(",".join(map(str, a[at[0] : to[0]].tolist())) + "|" + ",".join(map(str, b[at[1] : to[1]].tolist())) + ";")
-            at = to
-        return len(text), "".join(text).encode(), pairs.astype("<i8").tobytes()
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        # Whichever token ends first (or both) is done with, as when two sorted lists are merged: a link for each
+        # distinct end of either, from the token of A to the token of B that reach it.
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        pairs, n_links = a[at_a] << 32 | b[at_b], np.bincount(of_a[at_a], minlength=len(n_a))
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        shown = np.concatenate((a + self.most * last_a, b + 2 * self.most * last_b))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        text = self.decimals.take(pa.array(shown[order]))
+        borders = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[np.concatenate(([0], np.cumsum(n_a + n_b)))]
+        rows = pa.Array.from_buffers(pa.large_binary(), len(n_a), [None, pa.py_buffer(np.ascontiguousarray(borders)), text.buffers()[2]])
+        return pairs, n_links, np.bincount(of_b[last_b], minlength=len(n_a)), rows
 
     def tokenised(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Which texts have tokens, and their ids and lengths by A and by B (of those texts alone)."""
@@ -193,78 +202,58 @@ class Aligner:
 
 
 class Part:
-    """What the documents of a part share: windows, pairs and the number of documents that hold each pair."""
+    """What the documents of a part share: their pairs and the number of documents that hold each."""
 
     def __init__(self, aligner: Aligner, name: str):
         self.aligner, self.name, self.size = aligner, name, 0
-        self.windows: dict[tuple[bytes, bytes], int] = {}
         self.pairs: dict[int, int] = {}
         self.held = np.zeros(1024, np.int64)
-        self.n_links, self.links = array("I"), array("I")
-
-    def _number(self, key: tuple[bytes, bytes], pairs: bytes) -> int:
-        found = self.windows.get(key)
-        if found is None:
-            found = self.windows[key] = len(self.windows)
-            number = self.pairs
-            own = [number.setdefault(p, len(number)) for p in np.frombuffer(pairs, "<i8").tolist()]
-            self.n_links.append(len(own))
-            self.links.extend(own)
-        return found
 
     def add(self, texts: pa.Array) -> dict[str, list | np.ndarray]:
         """The columns of a slice's documents."""
         al, n = self.aligner, len(texts)
         good, (ids_a, ids_b), (n_a, n_b) = al.tokenised(texts)
-        out = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [v] * n for c, v in (("groups_sha256", ""), ("windows", b""), ("times", b""))}
+        out = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")} | {c: [v] * n for c, v in (("groups_sha256", ""), ("linked", b""), ("times", b""))}
         if not good.any():
             return out
         ends_a, ends_b = np.cumsum(al.sizes_a[ids_a]), np.cumsum(al.sizes_b[ids_b])
         at_a, at_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
         at_a[ends_a], at_b[ends_b] = True, True
         # Both next tokens start at a shared end; every document starts with a space, so its border is an anchor.
-        anchors = at_b[ends_a] & np.append(al.spaced_a[ids_a[1:]], True)
-        anchors_b = at_a[ends_b] & np.append(al.spaced_b[ids_b[1:]], True)
-        to_a, to_b = np.flatnonzero(anchors) + 1, np.flatnonzero(anchors_b) + 1
-        coded = [pc.dictionary_encode(_cut(ids, to)) for ids, to in ((ids_a, to_a), (ids_b, to_b))]
-        codes = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
+        to_a = np.flatnonzero(at_b[ends_a] & np.append(al.spaced_a[ids_a[1:]], True)) + 1
+        to_b = np.flatnonzero(at_a[ends_b] & np.append(al.spaced_b[ids_b[1:]], True)) + 1
+        # Windows are told apart by their ids; each distinct one is aligned once.
+        codes = [pc.dictionary_encode(_cut(ids, to)).indices.to_numpy(zero_copy_only=False).astype(np.int64) for ids, to in ((ids_a, to_a), (ids_b, to_b))]
         _, where, window = np.unique(codes[0] << 32 | codes[1], return_index=True, return_inverse=True)
-        keys = list(zip(*(c.dictionary.take(pa.array(code[where])).to_pylist() for c, code in zip(coded, codes, strict=True)), strict=True))
-        made = [al.windows[key] for key in keys]
-        groups, shown, pairs = zip(*made, strict=True)
-        number = np.array([self._number(k, p) for k, p in zip(keys, pairs, strict=True)], np.int64)
-        links = np.array([len(p) // 8 for p in pairs], np.int64)
+        sizes_a, sizes_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        own_a, own_b = sizes_a[where], sizes_b[where]
+        pairs, n_links, n_groups, shown = al.windows(ids_a[_ranges(to_a[where] - own_a, own_a)], own_a, ids_b[_ranges(to_b[where] - own_b, own_b)], own_b)
 
         doc = np.flatnonzero(good)
         of = np.searchsorted(np.cumsum(n_a), to_a - 1, "right")  # a window's document, among those with tokens
         out["n_a"][doc], out["n_b"][doc] = n_a, n_b
-        out["n_groups"][doc] = np.bincount(of, np.array(groups)[window], len(doc)).astype(np.int64)
-        out["n_links"][doc] = np.bincount(of, links[window], len(doc)).astype(np.int64)
-        text = pa.array(shown, pa.large_binary()).take(pa.array(window))
+        links = n_links[window]
         borders = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(doc)))))
+        out["n_groups"][doc], out["n_links"][doc] = (np.add.reduceat(x, borders[:-1]) for x in (n_groups[window], links))
+        text = shown.take(pa.array(window))
         at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[borders].tolist()
         data = memoryview(text.buffers()[2])
 
-        held, times = np.unique(of << 32 | number[window], return_counts=True)
-        of_held, number_held = held >> 32, held & 0xFFFFFFFF
-        cuts = np.searchsorted(of_held, np.arange(len(doc) + 1)).tolist()
+        # Each document's distinct pairs, and how often it has each.
+        distinct, number = np.unique(pairs, return_inverse=True)
+        known = self.pairs
+        of_part = np.array([known.setdefault(p, len(known)) for p in distinct.tolist()], np.int64)
+        linked = of_part[number][_ranges((np.cumsum(n_links) - n_links)[window], links)]
+        held, times = np.unique(np.repeat(of, links) << 32 | linked, return_counts=True)
+        linked, cuts = held & 0xFFFFFFFF, np.searchsorted(held >> 32, np.arange(len(doc) + 1)).tolist()
+        linked_bytes, times_bytes = linked.astype("<u4"), times.astype("<u4")
         for k, i in enumerate(doc.tolist()):
             out["groups_sha256"][i] = hashlib.sha256(data[at[k] : at[k + 1] - 1]).hexdigest()
-            out["windows"][i] = number_held[cuts[k] : cuts[k + 1]].astype("<u4").tobytes()
-            out["times"][i] = times[cuts[k] : cuts[k + 1]].astype("<u4").tobytes()
-
-        # Pairs that a document holds, each once, whatever windows they are in.
-        local = np.full(len(self.windows), -1)
-        local[number] = np.arange(len(number))
-        own = np.frombuffer(b"".join(pairs), "<i8")
-        own = np.fromiter(map(self.pairs.__getitem__, own.tolist()), np.int64, len(own))
-        begins, w = np.cumsum(links) - links, local[number_held]
-        size = links[w]
-        flat = own[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begins[w], size)]
-        distinct = np.unique(np.repeat(of_held, size) << 32 | flat) & 0xFFFFFFFF
-        if len(self.held) < len(self.pairs):
-            self.held = np.concatenate((self.held, np.zeros(len(self.pairs), np.int64)))
-        self.held += np.bincount(distinct, minlength=len(self.held))
+            out["linked"][i] = linked_bytes[cuts[k] : cuts[k + 1]].tobytes()
+            out["times"][i] = times_bytes[cuts[k] : cuts[k + 1]].tobytes()
+        if len(self.held) < len(known):
+            self.held = np.concatenate((self.held, np.zeros(len(known), np.int64)))
+        self.held += np.bincount(linked, minlength=len(self.held))
         return out
 
 
@@ -283,7 +272,7 @@ def _written_parts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def closed(part: Part) -> pa.RecordBatch:
             pairs = np.fromiter(part.pairs, np.int64, len(part.pairs))
-            return rows(1, part=[part.name], pairs=[pairs], held=[part.held[: len(pairs)]], n_window_links=[part.n_links.tobytes()], links=[part.links.tobytes()])
+            return rows(1, part=[part.name], pairs=[pairs], held=[part.held[: len(pairs)]])
 
         for batch in batches:
             first = 0
@@ -328,20 +317,16 @@ def align(docs: DataFrame, *, tokenizer: str | None = None, pieces: str | None =
     schema = pa.schema([(c, pa.string() if t == "string" else pa.int64()) for c, t in (f.split() for f in _OUT.split(", "))])
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: the rows of a part, right: the counts of its pairs."""
+        """left: the documents of a part, right: the counts of its pairs."""
         if not left.num_rows:
             return schema.empty_table()
-        is_part = pc.is_valid(left["pairs"])
-        (head,) = left.filter(is_part).select(["n_window_links", "links"]).to_pylist()
         count, best = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
         at = right["at"].to_numpy()
         count[at], best[at] = right["count"].to_numpy(), right["best"].to_numpy()
-        links, n_links = (np.frombuffer(head[c], "<u4").astype(np.int64) for c in ("links", "n_window_links"))
-        by_window = {"count_sum": _sums(count[links], n_links), "n_best": _sums(best[links], n_links)}
-        rows = left.filter(pc.invert(is_part))
-        windows, sizes = _numbers(rows["windows"])
-        times, _ = _numbers(rows["times"])
-        made = {c: pa.array(_sums(v[windows] * times, sizes)) for c, v in by_window.items()}
-        return pa.table([made.get(f.name, rows[f.name] if f.name in rows.column_names else None) for f in schema], schema=schema)
-
-    return parts.groupBy("part").cogroup(looked_up.groupBy("of")).applyInArrow(gather, _OUT)
+        linked, sizes = _numbers(left["linked"])
+        times, _ = _numbers(left["times"])
+        made = {"count_sum": _sums(count[linked] * times, sizes), "n_best": _sums(best[linked] * times, sizes)}
+        return pa.table([made.get(f.name, left[f.name] if f.name in left.column_names else None) for f in schema], schema=schema)
+
+    documents = parts.where("pairs is null").drop("pairs", "held")
+    return documents.groupBy("part").cogroup(looked_up.groupBy("of")).applyInArrow(gather, _OUT)
