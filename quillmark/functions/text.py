@@ -243,6 +243,7 @@ def utterance_lines(text: Column, speaker: Column, width: int = LINE_WIDTH) -> C
 
 
 def clean_words(text: Column) -> Column:
-    """array<string>: words in lower case of [A-Za-z0-9_'], with apostrophes at their ends stripped."""
-    kept = F.lower(F.regexp_replace(F.regexp_replace(text, ":", " "), r"[^A-Za-z0-9_'\s]", ""))
-    return F.filter(F.transform(F.split(kept, r"\s+"), lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")
+    """array<string>: words in lower case of [A-Za-z0-9_'], with apostrophes at their ends stripped; any other characters
+    part words."""
+    spaced = F.lower(F.regexp_replace(text, "[^A-Za-z0-9_']+", " "))
+    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")

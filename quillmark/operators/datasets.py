@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_words
-from .evaluation import number_rows
+from .evaluation import number_rows, number_within
 
 # Fixed values ---------------------------------------------------------------------------------------------------
 REPEATS = {"clean": 1, "handwritten": 5, "demo": 20, "rpi": 25, "v53": 250}
@@ -82,27 +82,78 @@ def order_vocabulary(base: DataFrame, found: DataFrame, *, allow_new: bool = Tru
 
 
 # Alignment -------------------------------------------------------------------------------------------------------
-def phrase_labels(lines: DataFrame, labels: DataFrame, keys: list[str], column: str = "text", longest: int = MAX_PHRASE) -> DataFrame:
+#: Bound on the bytes of a vocabulary's phrases that are looked up where the words are.
+PHRASE_BYTES = 16 << 20
+
+
+def _hashed(strings: DataFrame, column: str, n: int) -> Column:
+    """The strings as one array of n buckets, by hash; the row of a whole small table."""
+    of = F.pmod(F.xxhash64(column), F.lit(n))
+    filled = strings.select(of.alias("bucket"), column).unionByName(strings.sparkSession.range(n).select(F.col("id").alias("bucket"), F.lit(None).cast("string").alias(column)))
+    lists = filled.groupBy("bucket").agg(F.collect_set(column).alias("strings"))
+    return lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "strings"))), lambda b: b["strings"]).alias("buckets")).scalar()
+
+
+def _held(buckets: Column, n: int, string: Column) -> Column:
+    return F.array_contains(F.get(buckets, F.pmod(F.xxhash64(string), F.lit(n)).cast("int")), string)
+
+
+def phrase_labels(lines: DataFrame, labels: DataFrame, keys: list[str], column: str = "text", longest: int = MAX_PHRASE, most_bytes: int = PHRASE_BYTES) -> DataFrame:
     """keys, label_no, label: a line's words as labels, at each place the longest phrase (words joined by _) of the
-    vocabulary, else the word. Phrases meet the vocabulary in a join; the choice is a fold over the line."""
+    vocabulary, else the word. A word alone is its own label whether the vocabulary has it or not, so only the labels of
+    several words matter. Up to most_bytes of those travel with the tasks as hashed buckets, and no word is shuffled: a
+    word that starts no phrase is passed over, one that does is tried with its followers. A larger vocabulary meets the
+    phrases of the lines in a join."""
     words = lines.select(*keys, clean_words(F.col(column)).alias("words"))
-    last = F.size("words")
-    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), last - i)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), "_").alias("label")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), at))
-    grams = words.where(last > 0).select(*keys, F.explode(every).alias("g")).select(*keys, "g.*")
-    hits = grams.join(labels.select("label"), "label", "left_semi").groupBy(*keys, "i").agg(F.max("n").alias("n"))
-    spans = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("at"))
-    joined = words.join(spans, keys, "left")
+    phrases = labels.where(F.contains("label", F.lit("_"))).select("label").distinct()
+    count, size = phrases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("label")), F.lit(0))).first()
+    spans = _looked_up_spans(words, phrases, count, longest) if size <= most_bytes else _joined_spans(words, phrases, keys, longest)
 
     def step(state: Column, i: Column) -> Column:
-        n = F.coalesce(F.try_element_at("at", i), F.lit(1))
+        n = F.get("spans", i)
         fresh = F.array_append(state["out"], F.array_join(F.slice("words", i + 1, n), "_"))
         return F.when(i < state["next"], state).otherwise(F.struct((i + n).alias("next"), fresh.alias("out")))
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    chosen = F.aggregate(places, start, step, lambda s: s["out"])
-    return joined.select(*keys, F.posexplode(chosen).alias("label_no", "label")).withColumn("label_no", F.col("label_no") + 1)
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), start, step, lambda s: s["out"])
+    chosen = F.when(F.exists("spans", lambda n: n > 1), folded).otherwise(F.col("words"))
+    return spans.select(*keys, F.posexplode(chosen).alias("label_no", "label")).withColumn("label_no", F.col("label_no") + 1)
+
+
+def _phrase_at(i: Column, n: Column | int) -> Column:
+    return F.array_join(F.slice("words", i + 1, n), "_")
+
+
+def _looked_up_spans(words: DataFrame, phrases: DataFrame, count: int, longest: int) -> DataFrame:
+    """words with spans: how many words the label at each place takes."""
+    if not count or longest < 2:
+        return words.withColumn("spans", F.transform("words", lambda _: F.lit(1)))
+    n = 1 << max(4, count.bit_length())
+    parts = F.split("label", "_")
+    # Words may hold _ themselves, so each beginning of a phrase may be its first word.
+    heads = phrases.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "_"))).alias("head")).distinct()
+    whole, first = _hashed(phrases, "label", n), _hashed(heads, "head", n)
+    marked = words.withColumns({"_whole": whole, "_first": first})
+
+    def span(word: Column, i: Column) -> Column:
+        tried = F.lit(1)
+        for k in range(2, longest + 1):
+            found = (i + k <= F.size("words")) & _held(F.col("_whole"), n, _phrase_at(i, k))
+            tried = F.when(found, k).otherwise(tried)
+        return F.when(_held(F.col("_first"), n, word), tried).otherwise(1)
+
+    return marked.withColumn("spans", F.transform("words", span)).drop("_whole", "_first")
+
+
+def _joined_spans(words: DataFrame, phrases: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """The same by a join of all phrases of the lines with the vocabulary."""
+    last = F.size("words")
+    at = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i)), lambda k: F.struct(i.alias("i"), k.alias("n"), _phrase_at(i, k).alias("label")))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last - 2), at))
+    grams = words.where(last > 1).select(*keys, F.explode(every).alias("g")).select(*keys, "g.*")
+    hits = grams.join(phrases, "label", "left_semi").groupBy(*keys, "i").agg(F.max("n").alias("n"))
+    spots = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("at"))
+    return words.join(spots, keys, "left").withColumn("spans", F.transform("words", lambda _, i: F.coalesce(F.try_element_at("at", i), F.lit(1)))).drop("at")
 
 
 def check_lines(expected: DataFrame, crops: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,7 +242,16 @@ def split_summary(items: DataFrame) -> DataFrame:
 
 
 def sequence_numbers(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds sequence_no: items of a label numbered on from the greatest that exists (label, sequence_no)."""
+    """Adds sequence_no: items of a label, in the order of their paths, numbered on from the greatest that exists (label,
+    sequence_no). However many items a label has, they are not gathered in one task."""
     have = existing.groupBy("label").agg(F.max("sequence_no").alias("_have"))
-    order = F.row_number().over(Window.partitionBy("label").orderBy("path"))
-    return items.join(have, "label", "left").withColumn("sequence_no", F.coalesce("_have", F.lit(0)) + order).drop("_have")
+    numbered = number_within(items, ["label"], ["path"], "sequence_no")
+    return numbered.join(F.broadcast(have) if _is_small(have) else have, "label", "left").withColumn("sequence_no", F.coalesce("_have", F.lit(0)) + F.col("sequence_no")).drop("_have")
+
+
+#: Bound on the labels whose greatest numbers are broadcast.
+MOST_LABELS = 200_000
+
+
+def _is_small(labels: DataFrame) -> bool:
+    return labels.limit(MOST_LABELS + 1).count() <= MOST_LABELS

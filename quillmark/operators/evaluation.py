@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 #: Fixed value: probabilities are clipped here before the logarithm.
 EPSILON = 1e-7
+#: Parts that the rows of a key with more than a range of rows are dealt to in a join.
+SPREAD = 64
 
 
 def remarks(true: Column, predicted: Column, error: Column | None = None, known: Column | None = None) -> Column:
@@ -33,25 +37,50 @@ def report(predictions: DataFrame) -> DataFrame:
     return number_rows(made, ["_key", "image_file"]).drop("_key")
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "row_no", ranges: int = 64) -> DataFrame:
-    """Numbers rows from 1 in a total order without gathering them in one task: the order is cut into ranges at rows of
-    a small sample (at most 50 a range), rows are numbered within their range, and the totals of the ranges before are
-    added. Names that begin alike are spread like any others."""
-    place = F.struct(*order)
-    sample = sorted_sample(rows.select(*order), 50 * ranges)
-    borders = [F.struct(*map(F.lit, b)) for b in sample[len(sample) // ranges :: max(1, len(sample) // ranges)]]
-    range_of = F.size(F.filter(F.array(*borders), lambda b: b <= place)) if borders else F.lit(0)
-    marked = rows.withColumn("_range", range_of)
-    counts = marked.groupBy("_range").agg(F.count("*").alias("_c"))
-    starts = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_start"))  # a row a range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return marked.withColumn("_own", own).join(starts, "_range").withColumn(name, (F.col("_own") + F.col("_start")).cast("long")).drop("_range", "_start", "_own")
+#: Rows of a range when rows are numbered, unless said otherwise.
+ROWS_A_RANGE = 1_000_000
+_PLACES = (1 << 33) - 1
+
 
+def in_ranges(rows: DataFrame, order: list[str], rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """The rows sorted into ranges of about rows_a_range rows each, with _place: the range's number (from 0) in its upper
+    bits, from the 33rd, and the row's place there (from 0) in the lower ones. Equal rows of the order are told apart by a
+    hash of the whole row and by where they were, so a key of very many rows is cut into ranges like any other. The rows
+    are written once, as borders come from samples that another evaluation would not draw again."""
+    n = max(1, -(-rows.count() // rows_a_range))
+    hashed = [c for c, t in rows.dtypes if "map<" not in t]
+    tied = rows.withColumns({"_tie": F.xxhash64(*hashed), "_was": F.monotonically_increasing_id()})
+    by = [*order, "_tie", "_was"]
+    dealt = tied.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    return kept(dealt.drop("_tie", "_was"), "ranges")
 
-def sorted_sample(rows: DataFrame, n: int) -> list[tuple]:
-    """At most n distinct rows without nulls, those of the smallest hash, in order."""
-    few = rows.na.drop().withColumn("_hash", F.xxhash64(*rows.columns)).orderBy("_hash", *rows.columns).limit(n)
-    return sorted({tuple(r)[:-1] for r in few.collect()})
+
+def number_rows(rows: DataFrame, order: list[str], name: str = "row_no", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Numbers rows from 1 in a total order without gathering them in one task: rows are sorted in ranges, as many as
+    their number asks for, and the totals of the ranges before are added. Rows that are equal in the order are numbered in
+    the order of a hash of the row."""
+    placed = in_ranges(rows, order, rows_a_range)
+    span = F.shiftright("_place", 33)
+    counts = placed.groupBy(span.alias("_range")).agg(F.count("*").alias("_c"))
+    starts = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_start"))  # a row a range
+    own = F.col("_place").bitwiseAND(F.lit(_PLACES)) + 1
+    return placed.withColumn("_range", span).join(F.broadcast(starts), "_range").withColumn(name, own + F.col("_start")).drop("_range", "_start", "_place")
+
+
+def number_within(rows: DataFrame, keys: list[str], order: list[str], name: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Numbers the rows of each key from 1. Rows are numbered over all keys first, so no key is gathered in one task; the
+    first number of each key is then taken off."""
+    every = number_rows(rows, [*keys, *order], "_all", rows_a_range)
+    # What rows of a key bring along is one row a range: the smallest number is found there first.
+    firsts = every.groupBy(*keys).agg((F.min("_all") - 1).alias("_before"), F.count("*").alias("_size"))
+    hot = firsts.where(F.col("_size") > rows_a_range)
+    spread = F.pmod(F.col("_all"), F.lit(SPREAD))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    same = lambda a, b: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    marked = every.alias("a").join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))).alias("b"), same("a", "b"), "left").select("a.*", F.when(F.col("_hot"), spread).otherwise(0).alias("_part"))
+    dealt = firsts.withColumn("_part", F.lit(0)).where(F.col("_size") <= rows_a_range).unionByName(hot.withColumn("_part", parts))
+    joined = marked.alias("a").join(dealt.alias("b"), [*same("a", "b"), F.col("a._part") == F.col("b._part")])
+    return joined.select("a.*", "_before").withColumn(name, F.col("_all") - F.col("_before")).drop("_all", "_before", "_part")
 
 
 def with_unknown(evaluated: DataFrame, unknown: DataFrame) -> DataFrame:

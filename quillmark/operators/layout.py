@@ -227,12 +227,47 @@ def best_rotation(scores: DataFrame) -> DataFrame:
 
 
 # Components and words --------------------------------------------------------------------------------------------
+#: Side of the smallest cells in which components and boxes meet.
+CELL = 64
+
+
+def _in_cells(rows: DataFrame, p: str, other_levels: Column | None) -> DataFrame:
+    """rows once a cell that they touch. Cells of level n have the side CELL * 2^n; a row's own level is the first whose
+    cells are no smaller than it, where it touches four cells at most. other_levels: cells of those above the own one (as
+    a guest); None: of the own one."""
+    side = F.greatest(F.col(f"{p}w"), F.col(f"{p}h"), F.lit(1))
+    own = F.greatest(F.ceil(F.log2(side / F.lit(float(CELL)))), F.lit(0)).cast("int")
+    marked = rows.withColumn("_own", own)
+    if other_levels is None:
+        marked = marked.withColumn("_level", F.col("_own"))
+    else:
+        marked = marked.withColumn("_levels", other_levels).withColumn("_level", F.explode(F.filter("_levels", lambda n: n > F.col("_own")))).drop("_levels")
+    size = F.call_function("shiftleft", F.lit(CELL).cast("long"), F.col("_level"))
+    cells = lambda at, extent: F.explode(F.sequence(F.floor(F.col(at) / size), F.floor((F.col(at) + F.greatest(F.col(extent), F.lit(0))) / size)))
+    return marked.withColumn("_cx", cells(f"{p}x", f"{p}w")).withColumn("_cy", cells(f"{p}y", f"{p}h")).drop("_own")
+
+
+def compared_pairs(components: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Components with boxes (columns with the prefix b_) that share a cell of the page at the level of the larger of the
+    two, once for each such cell: what components_in_boxes compares."""
+    b = boxes.select("page", *[F.col(c).alias(f"b_{c}") for c in boxes.columns if c != "page"]).where("page is not null")
+    c = components.where("page is not null")
+    own_c, own_b = _in_cells(c, "", None), _in_cells(b, "b_", None)
+    # At most one level for each power of two of a side.
+    levels = lambda rows: rows.agg(F.coalesce(F.collect_set("_level"), F.array().cast("array<int>")).alias("l")).scalar()
+    keys = ["page", "_level", "_cx", "_cy"]
+    every_b = own_b.unionByName(_in_cells(b, "b_", levels(own_c)))
+    return own_c.join(every_b, keys).unionByName(_in_cells(c, "", levels(own_b)).join(own_b, keys))
+
+
 def components_in_boxes(components: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each component with each box of its page that it overlaps (columns of the box have the prefix b_)."""
-    b = boxes.select("page", *[F.col(c).alias(f"b_{c}") for c in boxes.columns if c != "page"])
-    c = lambda n: F.col(n)
+    """Each component with each box of its page that it overlaps (columns of the box have the prefix b_). They meet in the
+    cells of the page that both touch; a pair counts in the cell that holds the upper left corner of what they share."""
+    c = F.col
     meet = (c("x") + c("w") > c("b_x")) & (c("b_x") + c("b_w") > c("x")) & (c("y") + c("h") > c("b_y")) & (c("b_y") + c("b_h") > c("y"))
-    return components.join(b, "page").where(meet)
+    size = F.call_function("shiftleft", F.lit(CELL).cast("long"), c("_level"))
+    corner = (F.floor(F.greatest("x", "b_x") / size) == c("_cx")) & (F.floor(F.greatest("y", "b_y") / size) == c("_cy"))
+    return compared_pairs(components, boxes).where(meet & corner).drop("_level", "_cx", "_cy")
 
 
 def assign_to_lines(components: DataFrame, lines: DataFrame) -> DataFrame:

@@ -166,7 +166,6 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select(F.explode(F.concat("w", pairs)).alias("label")).distinct()
 
 
-#: RE2 has no white space class for what Java's \s is but the same six characters.
-VOCABULARY_SQL = """bw AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(replace(text, ':', ' '), '[^A-Za-z0-9_''\\s]', '', 'g')), '\\s+'), lambda x: trim(x, '''')), lambda x: x <> '') AS w FROM benchmark),
+VOCABULARY_SQL = """bw AS (SELECT item_id, list_filter(list_transform(string_split(lower(regexp_replace(text, '[^A-Za-z0-9_'']+', ' ', 'g')), ' '), lambda x: trim(x, '''')), lambda x: x <> '') AS w FROM benchmark),
 vocab AS (SELECT DISTINCT label FROM (SELECT unnest(w) AS label FROM bw UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i+1])) AS label FROM bw)),
-lw AS (SELECT doc_id, line_no, list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(replace(line, ':', ' '), '[^A-Za-z0-9_''\\s]', '', 'g')), '\\s+'), lambda x: trim(x, '''')), lambda x: x <> '') AS w FROM lines)"""
+lw AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(lower(regexp_replace(line, '[^A-Za-z0-9_'']+', ' ', 'g')), ' '), lambda x: trim(x, '''')), lambda x: x <> '') AS w FROM lines)"""

@@ -26,10 +26,6 @@ def true_labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _few(items: DataFrame) -> DataFrame:
-    return items.where("p_size % 5 = 0").select("label").distinct()
-
-
 KNOWN_SQL = "known AS (SELECT DISTINCT label FROM items WHERE p_size = 7)"
 
 
@@ -70,7 +66,7 @@ def phrase_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Expected labels are the cleaned words of a line; crops are simulated, one short in every seventh line; a word is in
-#: the vocabulary if it has an even length.
+#: the vocabulary if it has fewer than 13 letters.
 ALIGN_SQL = """expected AS (SELECT doc_id, line_no, unnest(w) AS label, generate_subscripts(w, 1) AS label_no FROM lw),
 crops AS (SELECT doc_id, line_no, label_no * 2 AS word_index FROM expected QUALIFY line_no % 7 <> 0 OR label_no < max(label_no) OVER (PARTITION BY doc_id, line_no)),
 ok_words AS (SELECT DISTINCT label FROM expected WHERE length(label) < 13),

@@ -151,18 +151,75 @@ def test_numbers_spread_names_that_begin_alike(spark):
     names = spark.range(3000).selectExpr("concat('img_', lpad(id, 9, '0')) AS name", "id")
     rows = evaluation.number_rows(names, ["name"])
     assert rows.where("row_no <> id + 1").count() == 0
-    sample = evaluation.sorted_sample(names.select("name"), 3200)
-    assert len(sample) == 3000
-    ranges = {}
-    for r in rows.collect():
-        ranges[r["row_no"] * 64 // 3001] = ranges.get(r["row_no"] * 64 // 3001, 0) + 1
-    plan = rows._jdf.queryExecution().toString()
-    assert "_range" in plan and max(ranges.values()) < 60
     assert evaluation.number_rows(names.limit(0), ["name"]).count() == 0
     doubled = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "name string, k int")
     assert sorted(r["row_no"] for r in evaluation.number_rows(doubled, ["name", "k"]).collect()) == [1, 2, 3, 4]
 
 
+def test_numbers_in_a_thousand_ranges_with_a_common_key(spark):
+    """A key with a third of the rows is cut into ranges like any other; equal rows are numbered each."""
+    rows = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'same', concat('img_', lpad(id, 9, '0'))) AS name", "id % 7 AS v", "id % 5 = 0 AS flag")
+    placed = evaluation.in_ranges(rows, ["name"], rows_a_range=30)
+    sizes = [r["n"] for r in placed.groupBy(F.shiftright("_place", 33).alias("range")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 900 and sum(sizes) == 30_000 and max(sizes) < 150
+    got = evaluation.number_rows(rows, ["name"], rows_a_range=30).orderBy("row_no").collect()
+    assert [r["row_no"] for r in got] == list(range(1, 30_001)) and [r["name"] for r in got] == sorted(r["name"] for r in got)
+    within = evaluation.number_within(rows, ["flag", "name"], ["v"], "no", rows_a_range=500).collect()
+    groups = {}
+    for r in within:
+        groups.setdefault((r["flag"], r["name"]), []).append((r["no"], r["v"]))
+    assert sum(map(len, groups.values())) == 30_000 and max(map(len, groups.values())) == 8000
+    for found in groups.values():
+        found.sort()
+        assert [n for n, _ in found] == list(range(1, len(found) + 1)) and [v for _, v in found] == sorted(v for _, v in found)
+
+
+def test_labels_are_numbered_on(spark):
+    items = spark.createDataFrame([(l, f"p{i:03}") for i, l in enumerate("aabbbc")] + [(None, "p9"), (None, "p8")], "label string, path string")
+    old = spark.createDataFrame([("a", 4), ("a", 7), ("z", 3)], "label string, sequence_no long")
+    got = sorted((str(r["label"]), r["path"], r["sequence_no"]) for r in datasets.sequence_numbers(items, old).collect())
+    assert got == [("None", "p8", 1), ("None", "p9", 2), ("a", "p000", 8), ("a", "p001", 9), ("b", "p002", 1), ("b", "p003", 2), ("b", "p004", 3), ("c", "p005", 1)]
+
+
+def test_components_meet_boxes_in_cells(spark):
+    rng = random.Random(5)
+    box = lambda big: (rng.randrange(0, 12_000), rng.randrange(0, 12_000), rng.randrange(0, big), rng.randrange(0, big))
+    some = lambda n, big: [(p, k, *box(big)) for p in (1, 2) for k in range(n)]
+    schema = "page int, k int, x int, y int, w int, h int"
+    small, large = some(150, 300) + [(1, 900, 64, 64, 64, 64), (1, 901, 0, 0, 0, 5)], some(150, 6000) + [(None, 1, 0, 0, 9, 9), (1, 902, 128, 64, 1, 1), (1, 903, 127, 127, 1, 1)]
+    meets = lambda c, b: c[0] == b[0] and c[2] + c[4] > b[2] and b[2] + b[4] > c[2] and c[3] + c[5] > b[3] and b[3] + b[5] > c[3]
+    for a, b in ((small, large), (large, small), (small, small)):
+        got = layout.components_in_boxes(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).select("page", "k", "b_k").collect()
+        assert sorted(map(tuple, got)) == sorted((c[0], c[1], d[1]) for c in a for d in b if meets(c, d))
+    page = spark.range(10_000).selectExpr("1 AS page", "id AS k", "(id % 100) * 40 AS x", "floor(id / 100) * 40 AS y", "30 AS w", "30 AS h")
+    assert layout.compared_pairs(page, page).count() < 0.01 * 10_000 * 10_000
+    assert layout.components_in_boxes(page, page).count() == 10_000
+    assert layout.components_in_boxes(page.limit(0), page).count() == 0
+
+
+def test_phrases_by_buckets_and_by_join(spark):
+    rng = random.Random(9)
+    words = ["a", "b", "c", "d", "a_b", "it's"]
+    vocabulary = {"_".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)}
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["", None]
+
+    def plain(line):
+        out, at, w = [], 0, (line or "").split()
+        while at < len(w):
+            n = next((n for n in range(min(5, len(w) - at), 0, -1) if "_".join(w[at : at + n]) in vocabulary), 1)
+            out.append("_".join(w[at : at + n]))
+            at += n
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+    labels = spark.createDataFrame([(v,) for v in vocabulary], "label string")
+    want = [(i, n, label) for i, line in enumerate(lines) for n, label in enumerate(plain(line), 1)]
+    for most in (0, datasets.PHRASE_BYTES):
+        got = datasets.phrase_labels(rows, labels, ["line"], most_bytes=most)
+        assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, datasets.phrase_labels(rows, labels.limit(0), ["line"]).collect())) == [(i, n, w) for i, line in enumerate(lines) for n, w in enumerate((line or "").split(), 1)]
+
+
 def test_peaks_and_shoulders(spark):
     from quillmark.operators import layout
 

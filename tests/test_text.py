@@ -97,7 +97,9 @@ def test_speakers(spark):
 
 
 def test_cleaned_words(spark):
-    assert apply(spark, text.clean_words, "COURT: Don't move!", "'' a_b") == [["court", "don't", "move"], ["a_b"]]
+    assert apply(spark, text.clean_words, "COURT: Don't move!", "'' a_b", "well-known", "café-bar", "a,b", "'tis 'quoted' --", "x\u00a0y 3.5%", "") == [
+        ["court", "don't", "move"], ["a_b"], ["well", "known"], ["caf", "bar"], ["a", "b"], ["tis", "quoted"], ["x", "y", "3", "5"], [],
+    ]
 
 
 def test_interpreter_dates(spark):
