@@ -28,9 +28,23 @@ def profile(ink: DataFrame, along: str = "y", size: int | None = None) -> DataFr
     return frame.join(counts, ["page", along], "left").select("page", along, F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def exact_percentiles(rows: DataFrame, keys: list[str], column: str, **shares: float) -> DataFrame:
+    """keys and a column for each named share: the percentile of the column's values, between two values in proportion.
+    Equal values are counted before anything is sorted, so a key with very many rows is held as its distinct values."""
+    whole = Window.partitionBy(*keys)
+    bins = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = bins.select(*keys, "_v", F.sum("_n").over(whole.orderBy("_v")).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    place = lambda share: F.lit(share) * (F.col("_all") - 1)
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v"))).cast("double")
+    picks = {name: F.struct(at(F.floor(place(s))).alias("low"), at(F.ceil(place(s))).alias("high"), F.max(place(s) - F.floor(place(s))).alias("over")) for name, s in shares.items()}
+    found = counted.groupBy(*keys).agg(*[pick.alias(name) for name, pick in picks.items()])
+    return found.select(*keys, *[((1 - F.col(f"{n}.over")) * F.col(f"{n}.low") + F.col(f"{n}.over") * F.col(f"{n}.high")).alias(n) for n in shares])
+
+
 def intensity(pixels: DataFrame) -> DataFrame:
     """page, median, std (of the population), low_percentile: exact."""
-    return pixels.groupBy("page").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("std"), F.percentile("value", F.lit(OTSU_LOW_PERCENTILE)).alias("low_percentile"))
+    spread = pixels.groupBy("page").agg(F.stddev_pop("value").alias("std"))
+    return exact_percentiles(pixels, ["page"], "value", median=0.5, low_percentile=OTSU_LOW_PERCENTILE).join(spread, "page").select("page", "median", "std", "low_percentile")
 
 
 def otsu(pixels: DataFrame) -> DataFrame:
@@ -280,7 +294,9 @@ def assign_to_lines(components: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def component_medians(components: DataFrame, *keys: str) -> DataFrame:
-    return components.groupBy(*keys).agg(F.percentile("w", F.lit(0.5)).alias("median_width"), F.percentile("h", F.lit(0.5)).alias("median_height"))
+    """keys, median_width, median_height."""
+    width, height = (exact_percentiles(components, list(keys), c, **{name: 0.5}) for c, name in (("w", "median_width"), ("h", "median_height")))
+    return width.join(height, list(keys))
 
 
 def dilation_width(median_width: Column, line_width: Column, line_height: Column, by_height: float = 0.34, by_width: float = 0.03) -> Column:

@@ -13,6 +13,28 @@ S = b.SCORES_SQL
 LISTS = {"common": ", ".join(f"'{w}'" for w in recognition.COMMON_WORDS), "court": ", ".join(f"'{w}'" for w in recognition.COURT_WORDS)}
 
 
+class _FailsOnSome:
+    """A scorer that cannot read every thirteenth vector, so that a batch with one of them fails."""
+
+    def __init__(self, model: recognition.PrototypeModel):
+        self.model = model
+
+    def __call__(self, features):
+        if (features["number"] % 13 == 5).any():
+            raise ValueError("unreadable")
+        return self.model(features[["embedding"]])
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN 'ValueError: unreadable' ELSE '' END AS error, CASE WHEN vec_id % 13 = 5 THEN '' ELSE text END AS text FROM words", S)
+def isolated_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that the scorer fails on become rows with an error and no text, whatever shares their batch."""
+    every = b.vectors(spark, d)
+    model = recognition.fit_prototypes(every.where("vec_id % 10 < 7"))
+    scored = recognition.score(every.withColumn("number", F.col("vec_id")), lambda: _FailsOnSome(model), key="vec_id", features=["number", "embedding"])
+    best = F.try_element_at(recognition.rank_scores(F.col("scores"), F.lit(model.names)), F.lit(1))["label"]
+    return scored.select("vec_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.when(F.col("scores").isNotNull(), best), F.lit("")).alias("text"))
+
+
 @query("SELECT vec_id, r AS rank, label, confidence FROM best", S)
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
     """U02, W01."""
@@ -99,7 +121,8 @@ report AS (SELECT *, row_number() OVER (ORDER BY lower(image_file)) AS row_no, C
   CASE WHEN error IS NOT NULL THEN 'Error: ' || error WHEN NOT known THEN 'Label not present in the vocabulary' WHEN true_label = text THEN 'Correct' ELSE 'Misclassified as ' || text END AS remarks FROM judged)"""
 
 
-def _report(spark: SparkSession, d: str) -> DataFrame:
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The report on the held-out vectors."""
     rows = b.words(spark, d).where("vec_id % 10 >= 7").select(
         F.concat(F.lit("img_"), F.lpad(F.col("vec_id").cast("string"), 8, "0"), F.lit(".png")).alias("image_file"), "vec_id", "true_label", F.col("text").alias("predicted_label"), F.transform("top5", lambda c: c["label"]).alias("top5"),
         F.when(F.col("vec_id") % 40 == 7, "ValueError: unreadable").alias("error"),
@@ -112,7 +135,7 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_no, image_file, true_label, text AS predicted_label, top1_result, top5_result, remarks FROM report", S, REPORT_SQL)
 def prediction_report(spark: SparkSession, d: str) -> DataFrame:
     """D03, X06, W18, O05."""
-    return _report(spark, d).select("row_no", "image_file", "true_label", "predicted_label", "top1_result", "top5_result", "remarks")
+    return report_rows(spark, d).select("row_no", "image_file", "true_label", "predicted_label", "top1_result", "top5_result", "remarks")
 
 
 def _accuracy_sql(where: str) -> str:
@@ -123,31 +146,31 @@ def _accuracy_sql(where: str) -> str:
 @query(_accuracy_sql("error IS NULL"), S, REPORT_SQL)
 def accuracy_without_errors(spark: SparkSession, d: str) -> DataFrame:
     """A06."""
-    return evaluation.accuracies(_report(spark, d), denominator="without_errors")
+    return evaluation.accuracies(report_rows(spark, d), denominator="without_errors")
 
 
 @query(_accuracy_sql("true"), S, REPORT_SQL)
 def accuracy_of_all(spark: SparkSession, d: str) -> DataFrame:
     """A06."""
-    return evaluation.accuracies(_report(spark, d), denominator="all")
+    return evaluation.accuracies(report_rows(spark, d), denominator="all")
 
 
 @query(_accuracy_sql("known"), S, REPORT_SQL)
 def accuracy_of_known(spark: SparkSession, d: str) -> DataFrame:
     """A06."""
-    return evaluation.accuracies(_report(spark, d), denominator="known")
+    return evaluation.accuracies(report_rows(spark, d), denominator="known")
 
 
 @query("SELECT true_label, count(*) AS errors, min(row_no) AS first_row FROM report WHERE top1_result = 'No' AND error IS NULL AND known GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10", S, REPORT_SQL)
 def most_misclassified(spark: SparkSession, d: str) -> DataFrame:
     """A07, A10, O03."""
-    return evaluation.most_misclassified(_report(spark, d))
+    return evaluation.most_misclassified(report_rows(spark, d))
 
 
 @query("SELECT true_label, text AS predicted_label, count(*) AS n FROM report WHERE true_label <> text AND known GROUP BY ALL", S, REPORT_SQL)
 def confusions(spark: SparkSession, d: str) -> DataFrame:
     """A08."""
-    return evaluation.confusions(_report(spark, d))
+    return evaluation.confusions(report_rows(spark, d))
 
 
 @query(
@@ -159,7 +182,7 @@ def missing_confusions(spark: SparkSession, d: str) -> DataFrame:
     number = F.substring("true_label", 7, 10).cast("int")
     labels = b.vectors(spark, d).select(F.col("label").alias("true_label")).distinct().withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     chosen = labels.select("true_label", F.concat(F.lit("class_"), (number + F.col("n")) % 10).alias("predicted_label"))
-    return evaluation.missing_pairs(chosen, _report(spark, d))
+    return evaluation.missing_pairs(chosen, report_rows(spark, d))
 
 
 @query("SELECT count(*) AS rows, round(avg(-ln(least(greatest(s, 1e-7), 1 - 1e-7))), 4) AS log_loss FROM soft JOIN vectors USING (vec_id, label) WHERE vec_id % 10 >= 7", S)

@@ -89,6 +89,26 @@ def expected_lines(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("p.page", F.posexplode("p.lines").alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def transcript_objects(objects: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, page, line (from 1), text, broken of a column with a JSON transcript a row. An object that does not parse is
+    one row with the object in `broken` and no page; null objects give nothing."""
+    schema = schemas.EXPECTED.simpleString()[7:-1].replace(":", " ", 1) + ", broken string"
+    parsed = objects.where(F.col(column).isNotNull()).select(*keys, F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("o"))
+    lines = parsed.where("o.broken IS NULL").select(*keys, F.explode("o.pages").alias("p")).select(*keys, "p.page", F.posexplode("p.lines").alias("line", "text"))
+    good = lines.withColumn("line", F.col("line") + 1).withColumn("broken", F.lit(None).cast("string"))
+    return good.unionByName(parsed.where("o.broken IS NOT NULL").select(*keys, "o.broken"), allowMissingColumns=True)
+
+
+def labelled_lines(spark: SparkSession, path: str, folders: str = "*") -> DataFrame:
+    """label, value: the lines of text files in folders label=<label> below path. The label is parsed from each file's
+    path, and only folders of labels that match the pattern (as they are written) are listed at all."""
+    # The path comes as a URI, and labels were escaped when their folders were named.
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    label = decode(decode(F.regexp_extract(F.col("_metadata.file_path"), r"/label=([^/]+)/[^/]+$", 1)))
+    rows = spark.read.option("recursiveFileLookup", "true").text(f"{path}/label={folders}")
+    return rows.select(label.alias("label"), "value")
+
+
 def line_boxes(spark: SparkSession, path: str) -> DataFrame:
     """page (from the folder Page_<n>), line_index, x, y, w, h of CSV files; rows that don't parse are dropped."""
     rows = spark.read.schema(schemas.LINE_BOXES).option("header", "true").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_spaces
+from ..operators import datasets
+from .shared import kept
 
 
 def write_csv(rows: DataFrame, path: str, *partitions: str) -> None:
@@ -13,12 +16,20 @@ def write_csv(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("header", "true").partitionBy(*partitions).csv(path)
 
 
-def write_report(rows: DataFrame, summary: DataFrame, path: str) -> None:
-    """results, incorrect (rows of top1_result No) and summary (one JSON object) below path."""
+def write_report(rows: DataFrame, path: str) -> DataFrame:
+    """Writes results, in folders by top1_result, so that the wrong rows are a folder of their own, and a summary (one JSON
+    object), which is counted while the results are written. Returns the summary: total, top1_correct, top5_correct and
+    their accuracies in per cent."""
     flat = rows.select(*[F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes])
-    write_csv(flat, f"{path}/results")
-    write_csv(flat.where("top1_result = 'No'"), f"{path}/incorrect")
-    write_json(summary, f"{path}/summary")
+    counts = Observation()
+    right = lambda c: F.coalesce(F.sum((F.col(c) == "Yes").cast("long")), F.lit(0).cast("long"))
+    write_csv(flat.observe(counts, F.count(F.lit(1)).alias("total"), right("top1_result").alias("top1_correct"), right("top5_result").alias("top5_correct")), f"{path}/results", "top1_result")
+    names = ("total", "top1_correct", "top5_correct")
+    one = rows.sparkSession.createDataFrame([tuple(counts.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+    share = lambda c: F.when(F.col("total") > 0, F.round(F.col(c) * 100.0 / F.col("total"), 4)).otherwise(0.0)
+    summary = one.select("*", share("top1_correct").alias("top1_accuracy"), share("top5_correct").alias("top5_accuracy"))
+    write_json(summary.coalesce(1), f"{path}/summary")
+    return summary
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -35,9 +46,31 @@ def page_summary(lines: DataFrame, words: DataFrame) -> DataFrame:
     return a.join(b, "page", "full_outer").na.fill(0, ["lines", "words"])
 
 
-def write_labelled(items: DataFrame, path: str) -> None:
-    """A folder a label. Rows of a label are spread by sequence_no, so a common label is not one file."""
-    items.write.mode("append").partitionBy("label").parquet(path)
+#: Items of a label in one file of a batch.
+ITEMS_A_FILE = 1_000_000
+
+
+def labelled_items(spark: SparkSession, path: str) -> DataFrame:
+    """What append_labelled has written: path, label, batch, sequence_no; without rows where nothing is."""
+    schema = "path string, sequence_no long, label string, batch string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_labelled(items: DataFrame, path: str, batch: str) -> None:
+    """Adds a batch of items (path, label) to a labelled dataset, a folder a label and batch, with a sequence_no that
+    numbers on within the label from what other batches have. Folders are put in place when all tasks are done, so a lost
+    task leaves nothing behind; a batch that is written again takes its own folders' place, with the same numbers as long
+    as no other batch was written in between."""
+    others = labelled_items(items.sparkSession, path).where(F.col("batch") != batch)
+    greatest = kept(others.groupBy("label").agg(F.max("sequence_no").alias("sequence_no")), "greatest")
+    numbered = datasets.sequence_numbers(items.select("path", "label"), greatest).withColumn("batch", F.lit(batch))
+    by_file = numbered.repartition("label", F.floor(F.col("sequence_no") / ITEMS_A_FILE))
+    by_file.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "batch").parquet(path)
 
 
 def write_manifest(crops: DataFrame, path: str) -> None:
@@ -66,5 +99,7 @@ def write_label_list(labels: DataFrame, path: str) -> None:
 
 
 def write_export(lines: DataFrame, path: str) -> None:
-    """Page and line table of exported transcripts: batch_id, page_no, line_no, text."""
-    lines.repartition("batch_id").sortWithinPartitions("batch_id", "page_no", "line_no").write.mode("overwrite").parquet(path)
+    """Page and line table of exported transcripts: batch_id, page_no, line_no, text; sorted, in ranges, so a batch of very
+    many pages is not one file."""
+    order = ["batch_id", "page_no", "line_no"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -70,10 +70,12 @@ def test_box_crop_and_report_scans(spark, tmp_path):
 
 
 def test_report_and_label_writers(spark, tmp_path):
-    rows = spark.createDataFrame([("a.png", ["a", "b"], "Yes"), ("b.png", ["c"], "No")], "image_file string, top5 array<string>, top1_result string")
-    sinks.write_report(rows, rows.agg(F.count("*").alias("total")), f"{tmp_path}/rep")
-    assert spark.read.option("header", "true").csv(f"{tmp_path}/rep/incorrect").first()["image_file"] == "b.png"
-    assert spark.read.json(f"{tmp_path}/rep/summary").first()["total"] == 2
+    rows = spark.createDataFrame([("a.png", ["a", "b"], "Yes", "Yes"), ("b.png", ["c"], "No", "Yes"), ("c.png", None, "No", "No")], "image_file string, top5 array<string>, top1_result string, top5_result string")
+    summary = sinks.write_report(rows, f"{tmp_path}/rep").first()
+    assert tuple(summary) == (3, 1, 2, 33.3333, 66.6667) == tuple(spark.read.json(f"{tmp_path}/rep/summary").select(*summary.asDict()).first())
+    wrong = spark.read.option("header", "true").csv(f"{tmp_path}/rep/results/top1_result=No")
+    assert sorted(r["image_file"] for r in wrong.collect()) == ["b.png", "c.png"]
+    assert tuple(sinks.write_report(rows.limit(0), f"{tmp_path}/none").first()) == (0, 0, 0, 0.0, 0.0)
     labels = spark.createDataFrame([("z", 0), ("a", 1)], "label string, label_index int")
     sinks.write_label_list(labels, f"{tmp_path}/labels")
     assert [r["label"] for r in files.label_list(spark, f"{tmp_path}/labels/*.txt").collect()] == ["z", "a"]
@@ -84,9 +86,18 @@ def test_box_dataset_and_summary_writers(spark, tmp_path):
     sinks.write_boxes(boxes, f"{tmp_path}/boxes")
     assert spark.read.option("header", "true").csv(f"{tmp_path}/boxes").count() == 2
     assert {r["page"]: (r["lines"], r["words"]) for r in sinks.page_summary(boxes, boxes.where("page = 2")).collect()} == {1: (1, 0), 2: (1, 1)}
-    items = datasets.sequence_numbers(spark.createDataFrame([("p", "a"), ("q", "a")], "path string, label string"), spark.createDataFrame([("a", 4)], "label string, sequence_no int"))
-    sinks.write_labelled(items, f"{tmp_path}/ds")
-    assert {r["path"]: r["sequence_no"] for r in spark.read.parquet(f"{tmp_path}/ds").collect()} == {"p": 5, "q": 6}
+    first, second = (spark.createDataFrame(rows, "path string, label string") for rows in ([("p", "a"), ("q", "007"), ("r", None)], [("s", "a"), ("t", "a"), ("u", "x/y %")]))
+    for items, batch in ((first, "1"), (second, "2"), (second, "2")):
+        sinks.append_labelled(items, f"{tmp_path}/ds", batch)
+    got = sorted(tuple(map(str, r)) for r in sinks.labelled_items(spark, f"{tmp_path}/ds").select("path", "label", "batch", "sequence_no").collect())
+    assert got == [("p", "a", "1", "1"), ("q", "007", "1", "1"), ("r", "None", "1", "1"), ("s", "a", "2", "2"), ("t", "a", "2", "3"), ("u", "x/y %", "2", "1")]
+    sinks.append_labelled(first.limit(1), f"{tmp_path}/ds", "1")
+    assert sinks.labelled_items(spark, f"{tmp_path}/ds").count() == 6
+    spark.createDataFrame([("x/y %+", "v"), ("z", "w")], "label string, value string").write.partitionBy("label").text(f"{tmp_path}/tree")
+    assert [tuple(r) for r in files.labelled_lines(spark, f"{tmp_path}/tree", "x*").collect()] == [("x/y %+", "v")]
+    objects = spark.createDataFrame([(1, '{"pages":[{"page":3,"lines":["a","b"]},{"page":4,"lines":[]}]}'), (2, '{"pages":[{"page":'), (3, None), (4, "{}")], "k int, o string")
+    assert sorted((r["k"], r["page"], r["line"], r["text"], r["broken"]) for r in files.transcript_objects(objects, "o", "k").where("broken IS NULL").collect()) == [(1, 3, 1, "a", None), (1, 3, 2, "b", None)]
+    assert [(r["k"], r["broken"]) for r in files.transcript_objects(objects, "o", "k").where("broken IS NOT NULL").collect()] == [(2, '{"pages":[{"page":')]
     summary = spark.createDataFrame([("a", 3, 1, 1, 1)], "label string, total long, train long, val long, test long")
     sinks.write_json(sinks.split_summary_document(summary, spark.createDataFrame([("s", "a", 3)], "source string, label string, n long")), f"{tmp_path}/sum")
     assert spark.read.json(f"{tmp_path}/sum").first()["label_counts"]["a"] == 3

@@ -46,7 +46,7 @@ def test_queries_without_sql_run(spark, sf, name):
 
 
 def test_plans_have_no_products_and_stay_on_the_jvm(spark, sf):
-    scored = {"top_candidates", "word_review", "extended_review", "page_scores", "page_texts", "run_texts", "overlay_labels", "top_display", "reranked_words", "prediction_report", "confusions", "most_misclassified", "missing_confusions", "log_loss"}
+    scored = {"top_candidates", "word_review", "extended_review", "page_scores", "page_texts", "run_texts", "overlay_labels", "top_display", "reranked_words", "prediction_report", "confusions", "most_misclassified", "missing_confusions", "log_loss", "isolated_failures"}
     for name, query in plans.QUERIES.items():
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
