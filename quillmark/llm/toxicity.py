@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import unused
+from ._common import give_back, unused
 
 #: Bound on labelled texts to learn from.
 SAMPLE = 6000
@@ -226,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
     )
     texts, marks = rows["text"].tolist(), rows["toxic"].astype(int).tolist()
     del rows
-    return fit(texts, marks)
+    model = fit(texts, marks)
+    del texts, marks
+    give_back()  # what training took would stay with the driver for the stages that follow
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, *, keep: list[str] | None = None) -> DataFrame:
