@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of documents; the last returns the pieces of the packed sequences. The language and toxicity models are learnt from the
 labelled rows of sf_dir's documents -- the documents that the stages then judge, as a corpus is filtered by labels of its
 own; accuracy on rows that were held out is what op7 and op10 report.
+
+Rows: a null text is an empty one, and goes with the texts without letters; texts of any length are judged, compared,
+redacted and packed whole; rows that repeat a doc_id, or lack one, are judged row by row, and of rows equal in doc_id and
+text the near-duplicate stage keeps one; columns besides those of documents stay, whatever their names, up to the last
+stage, which has its own; an empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
