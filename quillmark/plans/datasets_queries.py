@@ -31,7 +31,7 @@ KNOWN_SQL = "known AS (SELECT DISTINCT label FROM items WHERE p_size = 7)"
 
 @query("SELECT label, count(*) AS n, label IN (FROM known) AS known FROM items GROUP BY label", I, KNOWN_SQL)
 def vocabulary_membership(spark: SparkSession, d: str) -> DataFrame:
-    """J06, S03."""
+    """J06."""
     items = b.items(spark, d)
     labels = items.where("p_size = 7").select("label").distinct()
     flag = lambda rows, known: rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("known", F.lit(known))
@@ -43,7 +43,7 @@ INDEX_SQL = "idx AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS lab
 
 @query("SELECT label_index, count(*) AS n FROM items JOIN idx USING (label) GROUP BY 1", I, INDEX_SQL)
 def class_indexes(spark: SparkSession, d: str) -> DataFrame:
-    """J07, S04."""
+    """J07."""
     items = b.items(spark, d)
     labels = items.select("label").distinct().withColumn("label_index", F.row_number().over(Window.orderBy("label")) - 1)
     return datasets.with_class_index(items, labels).groupBy("label_index").agg(F.count("*").alias("n")).select(F.col("label_index").cast("long").alias("label_index"), "n")
@@ -207,7 +207,7 @@ def shuffled_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT path, label, coalesce(m, 0) + row_number() OVER (PARTITION BY label ORDER BY path) AS sequence_no FROM (FROM items WHERE p_size % 2 = 0) LEFT JOIN (SELECT label, count(*) AS m FROM items WHERE p_size % 2 = 1 GROUP BY 1) USING (label)", I)
 def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """S12."""
+    """The numbers of S12."""
     items = b.items(spark, d)
     old = datasets.sequence_numbers(items.where("p_size % 2 = 1"), items.limit(0).withColumn("sequence_no", F.lit(0)))
     return datasets.sequence_numbers(items.where("p_size % 2 = 0"), old).select("path", "label", F.col("sequence_no").cast("long").alias("sequence_no"))
@@ -215,5 +215,5 @@ def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT path, row_number() OVER (ORDER BY path) AS row_no FROM items", I)
 def numbered_files(spark: SparkSession, d: str) -> DataFrame:
-    """W18, S01, O06 (files numbered in the order of their paths)."""
+    """W18 (files numbered in the order of their paths)."""
     return evaluation.number_rows(b.items(spark, d).select("path"), ["path"])

@@ -38,7 +38,7 @@ def saved_recognised(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT batch_id, title, created_at FROM batches WHERE is_deleted", B)
 def deleted_batches(spark: SparkSession, d: str) -> DataFrame:
-    """F01, O02, S09."""
+    """F01, O02."""
     return records.list_batches(records.deleted(b.batches(spark, d))).select("batch_id", "title", "created_at")
 
 

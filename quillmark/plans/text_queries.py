@@ -208,7 +208,7 @@ def _case_fields(docs: DataFrame) -> DataFrame:
 
 @query()
 def exported_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Front page, body pages and certification page of each conversation."""
+    """Front page, body pages and certification page of each conversation."""
     docs = _turns(spark, d)
     return transcripts.export_lines(transcripts.structure_transcripts(docs), _case_fields(docs), "doc_id")
 
