@@ -82,32 +82,19 @@ def order_vocabulary(base: DataFrame, found: DataFrame, *, allow_new: bool = Tru
 
 
 # Alignment -------------------------------------------------------------------------------------------------------
-#: Bound on the bytes of a vocabulary's phrases that are looked up where the words are.
+#: Bound on the bytes of a vocabulary's phrases that are broadcast.
 PHRASE_BYTES = 16 << 20
 
 
-def _hashed(strings: DataFrame, column: str, n: int) -> Column:
-    """The strings as one array of n buckets, by hash; the row of a whole small table."""
-    of = F.pmod(F.xxhash64(column), F.lit(n))
-    filled = strings.select(of.alias("bucket"), column).unionByName(strings.sparkSession.range(n).select(F.col("id").alias("bucket"), F.lit(None).cast("string").alias(column)))
-    lists = filled.groupBy("bucket").agg(F.collect_set(column).alias("strings"))
-    return lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "strings"))), lambda b: b["strings"]).alias("buckets")).scalar()
-
-
-def _held(buckets: Column, n: int, string: Column) -> Column:
-    return F.array_contains(F.get(buckets, F.pmod(F.xxhash64(string), F.lit(n)).cast("int")), string)
-
-
 def phrase_labels(lines: DataFrame, labels: DataFrame, keys: list[str], column: str = "text", longest: int = MAX_PHRASE, most_bytes: int = PHRASE_BYTES) -> DataFrame:
     """keys, label_no, label: a line's words as labels, at each place the longest phrase (words joined by _) of the
     vocabulary, else the word. A word alone is its own label whether the vocabulary has it or not, so only the labels of
-    several words matter. Up to most_bytes of those travel with the tasks as hashed buckets, and no word is shuffled: a
-    word that starts no phrase is passed over, one that does is tried with its followers. A larger vocabulary meets the
-    phrases of the lines in a join."""
+    several words matter. They meet the runs of two to `longest` words of the lines in a join; up to most_bytes of them are
+    broadcast, so that only what is found is shuffled."""
     words = lines.select(*keys, clean_words(F.col(column)).alias("words"))
     phrases = labels.where(F.contains("label", F.lit("_"))).select("label").distinct()
-    count, size = phrases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("label")), F.lit(0))).first()
-    spans = _looked_up_spans(words, phrases, count, longest) if size <= most_bytes else _joined_spans(words, phrases, keys, longest)
+    size = phrases.agg(F.coalesce(F.sum(F.octet_length("label") + 16), F.lit(0))).first()[0]
+    spans = _joined_spans(words, F.broadcast(phrases) if size <= most_bytes else phrases, keys, longest)
 
     def step(state: Column, i: Column) -> Column:
         n = F.get("spans", i)
@@ -124,29 +111,8 @@ def _phrase_at(i: Column, n: Column | int) -> Column:
     return F.array_join(F.slice("words", i + 1, n), "_")
 
 
-def _looked_up_spans(words: DataFrame, phrases: DataFrame, count: int, longest: int) -> DataFrame:
-    """words with spans: how many words the label at each place takes."""
-    if not count or longest < 2:
-        return words.withColumn("spans", F.transform("words", lambda _: F.lit(1)))
-    n = 1 << max(4, count.bit_length())
-    parts = F.split("label", "_")
-    # Words may hold _ themselves, so each beginning of a phrase may be its first word.
-    heads = phrases.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "_"))).alias("head")).distinct()
-    whole, first = _hashed(phrases, "label", n), _hashed(heads, "head", n)
-    marked = words.withColumns({"_whole": whole, "_first": first})
-
-    def span(word: Column, i: Column) -> Column:
-        tried = F.lit(1)
-        for k in range(2, longest + 1):
-            found = (i + k <= F.size("words")) & _held(F.col("_whole"), n, _phrase_at(i, k))
-            tried = F.when(found, k).otherwise(tried)
-        return F.when(_held(F.col("_first"), n, word), tried).otherwise(1)
-
-    return marked.withColumn("spans", F.transform("words", span)).drop("_whole", "_first")
-
-
 def _joined_spans(words: DataFrame, phrases: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """The same by a join of all phrases of the lines with the vocabulary."""
+    """words with spans: how many words the label at each place takes."""
     last = F.size("words")
     at = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i)), lambda k: F.struct(i.alias("i"), k.alias("n"), _phrase_at(i, k).alias("label")))
     every = F.flatten(F.transform(F.sequence(F.lit(0), last - 2), at))
