@@ -9,9 +9,15 @@ line (which are no subtree of their own), 0.
 The node of the greatest sum is looked for (of equals the outermost; nodes in parts that their tag, role or class names
 as menu, footer, comments and so on are passed over). The threshold is the least density on the path from it to the body.
 From the body down, each node at or above the threshold marks the node of greatest sum below it, if that has at least a
-tenth of the greatest sum of all (a single line of plain text is dense as well); the content is the smallest subtree that holds all marked nodes. Blocks in it that lie under the threshold and hold no marked node go if
-most of their text is links, if they say whose rights are reserved (but for paragraphs in an <article>), or if they are no
-paragraphs, headings, quotations or the like and stand outside of the kept blocks; named parts go last.
+tenth of the greatest sum of all (a single line of plain text is dense as well); the content is the smallest subtree
+that holds all marked nodes, or the <main> that has it in one of several articles. Blocks in it that lie under the threshold and hold no marked node go if most of their text is
+links, if they are a short line at the end that says whose rights are reserved (but for paragraphs in an <article>), or if
+they are no paragraphs, headings, quotations, articles or the like and stand outside of the kept blocks; named parts go last.
+
+A class name is sure if it is made of words for such parts and for containers alone (`comment-list`). It is in doubt if it
+has other words as well (`cookie-recipes`), if the part holds the page's <h1> or <main>, or if an <article> has a name of its
+own beside it (`entry nav-below`); what is in doubt stays if it holds the node of the greatest sum, so that densities decide,
+and goes otherwise. Words on the state of a part (`has-sidebar`, `comments-enabled`) name nothing.
 
 Parsing closes unclosed and misnested tags as browsers do, in time that grows with the page: open tags are found by
 name, and what a tag that is never ended costs is bounded. Rows: a null or empty page has empty text; pages of any length
@@ -47,58 +53,77 @@ _SCOPES = frozenset("table td th caption".split())
 _TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that an article is made of: they stay however short they are.
-_PROSE = _HEADINGS | frozenset("p pre blockquote li dd dt td th tr tbody table ul ol dl figure figcaption br hr hgroup".split())
-_DROP_TAGS = frozenset("nav footer aside form button select dialog menu label fieldset object embed canvas audio video map head svg template noscript".split())
+_PROSE = _HEADINGS | frozenset("article details summary p pre blockquote li dd dt td th tr tbody table ul ol dl figure figcaption br hr hgroup".split())
+_DROP_TAGS = frozenset("nav footer aside form button select dialog menu fieldset object embed canvas audio video map head svg template noscript".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names that name a part wherever they stand, and those that do only alone or as site-..., page-..., ....
 _DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adsense adslot breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr footer masthead menu menus nav navbar navigation promo promoted promotion related recommended recommendations sidebar sidenav sponsor sponsored sponsors subscribe subscription newsletter signup pagination pager tagcloud paywall".split())
 _DROP_NAMES = frozenset("banner banners header notice notices notification popup modal overlay share sharing social side login search searchbox toolbar topbar widget widgets skip tags alert respond replies reply".split())
 _PREFIXES = frozenset("site page global top main masthead".split())
+#: Words beside those of a part that leave its name sure: containers, places, kinds of entries.
+_CONTAINERS = frozenset("area section list box block wrapper wrap container content inner outer body item items group panel bar row col column unit slot space zone top bottom left right main primary secondary header heading title links link text posts post articles article stories story form message policy banner notice popup modal overlay dialog module component region holder site page global desktop mobile widget widgets social share reply respond thread threads author meta count above below before after inline sticky fixed bordered".split())
+#: Words at the start and at the end of a class name that speak of a state, and names of an article itself.
+_STATES = frozenset("no not has with without is hide show js".split())
+_STATE_ENDS = frozenset("enabled disabled open opened closed allowed on off".split())
+_OWN_NAMES = frozenset("entry hentry post article story single content main".split())
+_SURE, _DOUBT = 2, 1
+#: Characters of a line that may say whose rights are reserved.
+_SHORT = 300
 _RIGHTS = re.compile(r"©|\(c\)\s|copyright|all rights reserved", re.I)
 
 _OPENING = re.compile(r"</?[A-Za-z][^\s/>]*+|<!--|<!\[CDATA\[|<[!?/]")
 _STOP = re.compile(r"[>\"']")
-_ATTR = re.compile(r"([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++))")
+_ATTR = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: Part of the greatest sum that a marked node needs.
 LEAST_SHARE = 0.1
-#: Attributes longer than this are not looked at for names.
-_LONGEST_ATTRS = 10_000
 
 
 class Node:
-    __slots__ = ("attrs", "best", "chars", "children", "density", "depth", "drop", "link_chars", "links", "marked", "parent", "tag", "tags", "total")
+    __slots__ = ("attrs", "best", "chars", "children", "density", "depth", "doubt", "drop", "link_chars", "links", "marked", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
-        self.drop = self.marked = False
+        self.doubt = self.drop = self.marked = False
 
     def nodes(self) -> list["Node"]:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-def _named(tag: str, attrs: str) -> bool:
-    """Whether the attributes name a part that is no article."""
-    if not attrs or len(attrs) > _LONGEST_ATTRS:
-        return False
+def _class_names(tag: str, value: str) -> int:
+    """Whether class names or an id name a part that is no article: _SURE, _DOUBT or 0."""
+    found, own = 0, False
+    for token in _CAMEL.sub("-", value).lower().split():
+        words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+        if not words or len(words) > 1 and (words[0] in _STATES or words[-1] in _STATE_ENDS):
+            continue
+        own |= _OWN_NAMES.issuperset(words)
+        if not _DROP_WORDS.isdisjoint(words):
+            sure = all(w in _DROP_WORDS or w in _CONTAINERS for w in words)
+            found = max(found, _SURE + (len(words) == 1) if sure else _DOUBT)
+        elif words[-1] in _DROP_NAMES and (len(words) == 1 or _PREFIXES.issuperset(words[:-1])):
+            found = max(found, _SURE)
+    # An article that has a name of its own isn't a part by a name of several words.
+    return _DOUBT if found == _SURE and own and tag == "article" else min(found, _SURE)
+
+
+def _named(tag: str, attrs: str) -> int:
+    """Whether the attributes name a part that is no article: _SURE, _DOUBT or 0."""
+    found, control = 0, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         low = value.lower()
         if name == "role" and low in _DROP_ROLES or name == "style" and _HIDDEN.search(low) or name == "aria-hidden" and low == "true":
-            return True
+            return _SURE + 1
+        control |= name == "for" and tag == "label"
         if name in ("class", "id") and tag not in ("html", "body", "main") and tag not in _HEADINGS:
-            for token in _CAMEL.sub("-", value).lower().split():
-                words = [w for w in _SPLIT.split(token) if w]
-                if not _DROP_WORDS.isdisjoint(words):
-                    return True
-                if words and words[-1] in _DROP_NAMES and (len(words) == 1 or _PREFIXES.issuperset(words[:-1])):
-                    return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)))
+            found = max(found, _class_names(tag, value))
+    return _SURE + 1 if control or attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)) else found
 
 
 class _Tags:
@@ -249,12 +274,29 @@ def weigh(nodes: list[Node]) -> None:
 
 
 def _drop_named(nodes: list[Node]) -> None:
-    """Marks the parts that are named as no article; a header is one unless it heads an article or section."""
+    """Marks the parts that are named as no article, or may be; a header is one unless it heads an article or section."""
     inside = {nodes[0]: False}
-    for node in nodes:
-        held = node is not nodes[0] and (inside[node.parent] or node.parent.tag in ("article", "main", "section"))
+    leads = set()  # what holds an <h1> or <main>
+    for node in reversed(nodes):
+        if node.tag in ("h1", "main") or node in leads:
+            leads.update((node, node.parent))
+    for node in nodes[1:]:
+        held = inside[node.parent] or node.parent.tag in ("article", "main", "section")
         inside[node] = held
-        node.drop = node is not nodes[0] and (node.parent.drop or node.tag in _DROP_TAGS or node.tag == "header" and not held or _named(node.tag, node.attrs))
+        name = _named(node.tag, node.attrs)
+        if name == _SURE and node in leads:
+            name = _DOUBT
+        node.drop = node.parent.drop or node.tag in _DROP_TAGS or node.tag == "header" and not held or name >= _SURE
+        node.doubt = name == _DOUBT and not node.drop
+
+
+def _find_best(nodes: list[Node]) -> None:
+    """The node of greatest sum in each subtree, the outermost of equals."""
+    for node in reversed(nodes):
+        node.best = node
+        for c in node.nodes():
+            if not c.drop and c.best.total > node.best.total:
+                node.best = c.best
 
 
 def choose(root: Node) -> tuple[Node, float]:
@@ -263,11 +305,15 @@ def choose(root: Node) -> tuple[Node, float]:
     nodes = walk(body)
     weigh(nodes)
     _drop_named(nodes)
-    for node in reversed(nodes):  # the node of greatest sum in each subtree, the outermost of equals
-        node.best = node
-        for c in node.nodes():
-            if not c.drop and c.best.total > node.best.total:
-                node.best = c.best
+    _find_best(nodes)
+    if any(node.doubt for node in nodes):  # parts in doubt go unless they hold the greatest sum
+        up = body.best
+        while up is not body:
+            up.doubt = False
+            up = up.parent
+        for node in nodes[1:]:
+            node.drop |= node.doubt or node.parent.drop
+        _find_best(nodes)
     threshold, up = body.best.density, body.best
     while up is not body:
         up = up.parent
@@ -291,7 +337,13 @@ def choose(root: Node) -> tuple[Node, float]:
                     other = other.parent
                 else:
                     content = content.parent
-    return content or body, threshold
+    # A <main> of several articles is content as a whole.
+    up = content = content or body
+    while up is not body and up.tag != "article":
+        up = up.parent
+    if up.tag == "article" and up.parent.tag == "main" and any(c.tag == "article" and c is not up and not c.drop for c in up.parent.nodes()):
+        content = up.parent
+    return content, threshold
 
 
 def prune(content: Node, threshold: float) -> None:
@@ -307,11 +359,13 @@ def prune(content: Node, threshold: float) -> None:
         blocks = [c for c in node.nodes() if c.tag in _BLOCK and not c.drop]
         sure = [c.density >= threshold or holds[c] or c.tag in _PROSE for c in blocks]
         first, last = (sure.index(True), len(sure) - sure[::-1].index(True)) if True in sure else (0, len(sure))
+        rights = [c.chars < _SHORT and not c.nodes() and bool(_RIGHTS.search(" ".join(blocks_of(c)))) for c in blocks]
+        end = len(rights) - next((i for i, r in enumerate(reversed(rights)) if not r), 0)  # those at the end
         for i, c in enumerate(blocks):
             if c.density >= threshold or holds[c] or not c.chars:
                 continue
-            text = " ".join(blocks_of(c)) if c.chars < 300 and not c.nodes() else ""
-            c.drop = 2 * c.link_chars > c.chars and c.links > 1 or c.tag not in kept and bool(_RIGHTS.search(text)) or not sure[i] and not first <= i < last
+            claims = rights[i] and c.tag not in kept and (i >= end or c.tag != "p")
+            c.drop = 2 * c.link_chars > c.chars and c.links > 1 or claims or not sure[i] and not first <= i < last
 
 
 def blocks_of(node: Node) -> list[str]:

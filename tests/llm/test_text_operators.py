@@ -142,6 +142,37 @@ def test_unmarked_pages():
         assert html_text.main_text(page) == want
 
 
+BODY = "<h1>T</h1><p>" + "long words here. " * 30 + "</p><p>" + "more words. " * 40 + "</p>"
+WANT = "T " + "long words here. " * 30 + ("more words. " * 40).strip()
+SIDE = "<div class='sidebar'><a href=1>x</a> <a href=2>y</a></div>"
+
+
+@pytest.mark.parametrize("name", ["cookie-recipes", "post comments-enabled", "single-post no-sidebar", "entry nav-below", "menu-review", "has-sidebar"])
+def test_class_names_of_an_article_do_not_empty_a_page(name):
+    for tag in ("article", "section", "div"):
+        assert html_text.main_text(f"<body><nav><a href=1>Home</a></nav><{tag} class='{name}'>{BODY}</{tag}>{SIDE}</body>") == WANT
+        assert html_text.main_text(f"<body><div class='{name}'><article>{BODY}</article>{SIDE}</div></body>") == WANT
+
+
+def test_named_parts_still_go():
+    comments = "<div class='{}'><article class='comment'><p>" + "nice post, really. " * 90 + "</p></article></div>"
+    for name in ("comments", "comment-list", "commentsArea", "post-comments", "related-posts", "newsletter-box", "sponsored-story-3"):
+        assert html_text.main_text(f"<body><article>{BODY}</article>{comments.format(name)}</body>") == WANT, name
+    assert html_text.main_text(f"<body><div class='promo-acme'><p>Buy it now. Really.</p></div><article>{BODY}</article></body>") == WANT
+    assert html_text.main_text(f"<body><article class='ad post'><p>Buy it now.</p></article><article>{BODY}</article></body>") == WANT
+    assert html_text.main_text(f"<body><div class='masthead'><h1>Site</h1></div><article>{BODY}</article></body>") == WANT
+    assert html_text.main_text("<body><div class='" + "x " * 9000 + "sidebar'><p>no</p></div><article>" + BODY + "</article></body>") == WANT
+
+
+def test_no_prose_is_lost():
+    short = "<article><h2>S</h2><p>A short one.</p></article>"
+    assert html_text.main_text(f"<body><main><article>{BODY}</article>{short}</main></body>") == WANT + " S A short one."
+    assert html_text.main_text(f"<body><article>{BODY}<details><summary>More</summary><p>Inside.</p></details></article></body>") == WANT + " More Inside."
+    assert html_text.main_text(f"<body><article>{BODY}<p>A <label>word</label> in it.</p></article><label for=x>Menu</label></body>") == WANT + " A word in it."
+    said = "<div><p>He said all rights reserved is a phrase.</p>" + BODY + "<p>© 2024 Site.</p></div>"
+    assert html_text.main_text(f"<body>{said}</body>") == "He said all rights reserved is a phrase. " + WANT
+
+
 def plain_density(node, share):
     """The formula on a node, by walking its whole subtree again."""
     import math
