@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import edges_to_components, written
+from ._common import edges_to_components, spread_join, written
 
 THRESHOLD = 0.93
 #: Bound on the vectors that rotations are learnt from.
@@ -138,8 +138,10 @@ def links(coded: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """rep, links (part of its count), other (null, or a neighbour for the spanning forest)."""
     index = coded.select("rep", "label", "dims", F.posexplode("keys").alias("t", "key"))
     bucket = ["label", "dims", "t", "key"]
-    sizes = index.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    listed = index.join(sizes, bucket).select(F.xxhash64(*bucket).alias("g"), F.xxhash64(F.lit(3), *reversed(bucket)).alias("g2"), "t", "rep", F.ceil(F.col("size") / BLOCK).alias("k"))
+    index = index.select("rep", F.struct(*bucket).alias("bucket"))
+    sizes = written(index.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.ceil(F.col("size") / BLOCK)))
+    listed = spread_join(index, "bucket", sizes, "size").select("bucket.*", "rep", "k")
+    listed = listed.select(F.xxhash64(*bucket).alias("g"), F.xxhash64(F.lit(3), *reversed(bucket)).alias("g2"), "t", "rep", "k")
     listed = listed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")))
     member = F.struct("rep", "n", "keys", "code", "unit")
     blocks = written(
@@ -198,10 +200,11 @@ def near_duplicates(table: DataFrame, *, threshold: float = THRESHOLD) -> DataFr
     found = written(links(coded, threshold=threshold))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = edges_to_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    copies = F.struct("h1", "h2").alias("copies")
     by_class = (
         folded.select("h1", "h2", "rep", "n").join(counts, "rep", "left").join(joined, folded["rep"] == joined["node"], "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        .select(copies, "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    out = whole.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    out = spread_join(whole.select("vec_id", copies), "copies", written(by_class), "n").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
