@@ -121,11 +121,11 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     masks = [sum(0xFF << (8 * p) for p in t) for t in triples()]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)]))
-    index = fps.select("fp", entry.alias("e")).select("fp", "e.t", "e.bytes")
-    sizes = index.groupBy("t", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    index = fps.select("fp", entry.alias("e"))
+    sizes = written(index.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").withColumn("k", F.ceil(F.col("n") / BLOCK)))
     # Lists of more than a block are dealt into blocks; each pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("n") / BLOCK)
-    listed = index.join(sizes, ["t", "bytes"]).withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")))
+    listed = spread_join(index, "e", sizes, "n").select("fp", "e.t", "e.bytes", "k")
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     dealt = listed.select("t", "bytes", "fp", "block", F.explode(pair).alias("p")).select("t", "bytes", "p.x", "p.y", "fp", "block")
 
@@ -153,12 +153,12 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that is reachable by links)."""
     marked = written(fingerprints(docs, shingle=shingle))
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     folded = written(least)
     joined = edges_to_components(links(folded.select("fp"), max_bits=max_bits))
     # A component is named by its smallest doc_id, found per fingerprint first.
-    grouped = folded.join(joined, folded["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    grouped = folded.join(joined, folded["fp"] == joined["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("c"))
     grouped = written(grouped)
     named = grouped.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    by_fp = spread_join(grouped, "c", named, "size").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = written(spread_join(grouped, "c", named, "size").select("fp", "copies", "component_id"))
+    return spread_join(marked, "fp", by_fp, "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

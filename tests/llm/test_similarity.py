@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillmark.llm import embed_dedup, simhash, topk
 from quillmark.llm._common import edges_to_components, spread_join
@@ -123,6 +124,32 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_components_of_linked_vectors_equal_brute_force(spark):
+    """Where each link is found, counts and components are those of all pairs: chains whose ends are not linked, copies."""
+    rng = np.random.default_rng(3)
+    dims, chains, steps = 64, 12, 6
+    rows = []
+    for c in range(chains):
+        one, other = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+        for k in range(steps):  # neighbours at cosine 0.981, next but one at 0.924
+            angle = np.pi / 16 * k
+            rows += [(np.cos(angle) * one + np.sin(angle) * other, c % 3)] * (1 + 3 * (k == 2))
+    order = rng.permutation(len(rows))
+    x, label = np.array([rows[i][0] for i in order]), np.array([rows[i][1] for i in order])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    parent = np.arange(len(x))
+    while True:  # smallest reachable id, to a fixpoint
+        nxt = np.minimum(parent, np.where(near, parent, len(x)).min(axis=1))
+        if (nxt == parent).all():
+            break
+        parent = nxt
+    table = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(table).collect()}
+    assert near.sum() > 100 and len(set(parent)) >= chains
+    assert got == {i: (int(near[i].sum()), int(parent[i]), parent[i] == i) for i in range(len(x))}
+
+
 def test_rotations_are_orthogonal():
     x, _ = vectors_with_copies()
     _, matrix = embed_dedup.learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -182,6 +209,22 @@ def test_spread_join_equals_join(spark):
     assert spread_join(rows.limit(0), "k", groups.limit(0), "size").count() == 0
 
 
+def test_copies_spread_over_tasks(spark):
+    """Rows of 20,000 copies of a text and of a vector stay spread after the last join: no task has three times the mean."""
+    docs = spark.range(20_500, numPartitions=8).selectExpr("id AS doc_id", "if(id < 20000, 'one and the same text', concat('text of ', id, ' and ', id * 7, ' or ', id * 13)) AS text")
+    vectors = spark.range(20_500, numPartitions=8).selectExpr("id AS vec_id", "1 AS label", "if(id < 20000, transform(sequence(1, 16), i -> i * 1D), transform(sequence(1, 16), i -> sin(id * i * i))) AS embedding")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("16", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        for found, hot in ((simhash.near_duplicates(docs), "doc_id"), (embed_dedup.near_duplicates(vectors), "vec_id")):
+            rows = found.where(f"{hot} < 20000").groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) <= 3 * 20_000 / 16
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_columns_are_dropped_before_the_last_block():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(64, 64))
