@@ -168,7 +168,17 @@ def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.number_boxes(b.raster_boxes(spark, d), "y", "x", "k").select("page", "k", F.col("line_index").cast("long").alias("line_index"))
 
 
-@query()
+@query(
+    """SELECT page, x, y, w, CASE WHEN reaches THEN greatest(y, least(y + h - 1, border)) - y + 1 ELSE h END AS h FROM (
+      WITH RECURSIVE ordered AS (SELECT page, x, y, w, h, row_number() OVER (PARTITION BY page ORDER BY y, x, w, h) AS n FROM comps),
+      step AS (SELECT page, x, y, w, h, n FROM ordered WHERE n = 1 UNION ALL
+        SELECT page, x, top AS y, w, bottom - top + 1 AS h, n FROM (
+          SELECT o.page, o.x, o.w, o.n, o.y + o.h - 1 AS bottom, CASE WHEN s.y + s.h - 1 >= o.y
+            THEN least(o.y + o.h - 1, greatest(o.y, round_even((s.y + s.h / 2::DOUBLE + o.y + o.h / 2::DOUBLE) / 2, 0)::BIGINT + 1)) ELSE o.y END AS top
+          FROM step s JOIN ordered o ON o.page = s.page AND o.n = s.n + 1))
+      SELECT s.page, s.x, s.y, s.w, s.h, coalesce(s.y + s.h - 1 >= o.y, false) AS reaches, round_even((s.y + s.h / 2::DOUBLE + o.y + o.h / 2::DOUBLE) / 2, 0)::BIGINT AS border
+      FROM step s LEFT JOIN ordered o ON o.page = s.page AND o.n = s.n + 1)""", X,
+)
 def separated_lines(spark: SparkSession, d: str) -> DataFrame:
     """W13."""
     return layout.separate_overlaps(b.raster_boxes(spark, d))

@@ -107,10 +107,33 @@ def context_scores(spark: SparkSession, d: str) -> DataFrame:
     return words.withColumn("s", recognition.context_score(F.col("w"), before)).groupBy("conv_id", "turn").agg(F.sum("s").alias("score"))
 
 
-@query()
+#: Words that stand for the classes by number, so that candidates suit the word before them more or less.
+CLASS_WORDS = ("the", "court", "x", "mr", "judge", "a", "smith", "evidence", "zone", "of")
+
+
+def _points_sql(word: str, before: str) -> str:
+    return f"""(CASE WHEN {word} IN ({LISTS["common"]}) THEN 4 ELSE 0 END + CASE WHEN {word} IN ({LISTS["court"]}) THEN 6 ELSE 0 END - CASE WHEN length({word}) = 1 AND {word} NOT IN ('a', 'i') THEN 5 ELSE 0 END
+      + CASE WHEN {before} IN ('the', 'a', 'an') AND {word} IN ({LISTS["court"]}) THEN 3 ELSE 0 END + CASE WHEN {before} IN ('mr', 'mrs', 'ms', 'dr') THEN 2 ELSE 0 END)"""
+
+
+@query(
+    f"""SELECT page, line_index, word_index, chosen, confidence, by_context FROM (
+      WITH RECURSIVE candidates AS (SELECT w.page, w.line_index, w.word_index, b.r, b.confidence, {list(CLASS_WORDS)}[replace(b.label, 'class_', '')::BIGINT % {len(CLASS_WORDS)} + 1] AS label FROM best b JOIN words w USING (vec_id)),
+      tops AS (SELECT page, line_index, word_index, list(struct_pack(label := label, confidence := confidence) ORDER BY r) AS top FROM candidates GROUP BY ALL),
+      ordered AS (SELECT *, row_number() OVER (PARTITION BY page, line_index ORDER BY word_index) AS n FROM tops),
+      step AS (SELECT page, line_index, word_index, n - 1 AS n, '' AS chosen, 0::DOUBLE AS confidence, false AS by_context FROM ordered WHERE n = 1 UNION ALL
+        SELECT page, line_index, word_index, n, CASE WHEN take THEN better[1].label ELSE top[1].label END, CASE WHEN take THEN better[1].confidence ELSE top[1].confidence END, take FROM (
+          SELECT *, top[1].confidence <= 68 AND len(better) > 0 AS take FROM (
+            SELECT o.*, list_filter(o.top[2:5], lambda c: o.top[1].confidence - c.confidence <= 8 AND {_points_sql("c.label", "s.chosen")} >= {_points_sql("o.top[1].label", "s.chosen")} + 6) AS better
+            FROM step s JOIN ordered o ON o.page = s.page AND o.line_index = s.line_index AND o.n = s.n + 1)))
+      SELECT * FROM step WHERE n > 0)""", S,
+)
 def reranked_words(spark: SparkSession, d: str) -> DataFrame:
     """T29."""
-    return recognition.rerank(b.scored_words(spark, d))
+    number = lambda c: F.translate(c["label"], "clas_", "").cast("int") % len(CLASS_WORDS)
+    word = lambda c: F.get(F.lit(list(CLASS_WORDS)), number(c))
+    words = b.scored_words(spark, d).withColumn("top5", F.transform("top5", lambda c: F.struct(word(c).alias("label"), c["confidence"].alias("confidence"))))
+    return recognition.rerank(words)
 
 
 # Evaluation ------------------------------------------------------------------------------------------------------
