@@ -355,17 +355,24 @@ def prune(content: Node, threshold: float) -> None:
     holds = dict.fromkeys(nodes, False)
     for node in reversed(nodes):
         holds[node] = node.marked or any(holds[c] for c in node.nodes())
+    def claims(c: Node) -> bool:
+        """A short line on whose rights are reserved."""
+        return c.chars < _SHORT and not c.nodes() and bool(_RIGHTS.search(" ".join(blocks_of(c))))
+
     for node in nodes:
         blocks = [c for c in node.nodes() if c.tag in _BLOCK and not c.drop]
         sure = [c.density >= threshold or holds[c] or c.tag in _PROSE for c in blocks]
         first, last = (sure.index(True), len(sure) - sure[::-1].index(True)) if True in sure else (0, len(sure))
-        rights = [c.chars < _SHORT and not c.nodes() and bool(_RIGHTS.search(" ".join(blocks_of(c)))) for c in blocks]
-        end = len(rights) - next((i for i, r in enumerate(reversed(rights)) if not r), 0)  # those at the end
-        for i, c in enumerate(blocks):
-            if c.density >= threshold or holds[c] or not c.chars:
+        at_end = True  # only such lines come after it
+        for i in range(len(blocks) - 1, -1, -1):
+            c = blocks[i]
+            if not c.chars:
                 continue
-            claims = rights[i] and c.tag not in kept and (i >= end or c.tag != "p")
-            c.drop = 2 * c.link_chars > c.chars and c.links > 1 or claims or not sure[i] and not first <= i < last
+            low = c.density < threshold and not holds[c]
+            says = (low or at_end) and claims(c)
+            if low:
+                c.drop = 2 * c.link_chars > c.chars and c.links > 1 or says and c.tag not in kept and (at_end or c.tag != "p") or not sure[i] and not first <= i < last
+            at_end &= says
 
 
 def blocks_of(node: Node) -> list[str]:
