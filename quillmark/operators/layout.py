@@ -8,10 +8,13 @@ no interval join becomes a product.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Fixed values ---------------------------------------------------------------------------------------------------
 OTSU_STD_FACTOR = 2.5
 OTSU_LOW_PERCENTILE = 0.04
@@ -106,6 +109,43 @@ def merge_bands(bands: DataFrame, gap: int, key: str = "page") -> DataFrame:
     return bands.withColumn("_s", start).withColumn("_g", F.sum("_s").over(order)).groupBy(key, "_g").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("_g")
 
 
+def split_tall_bands(bands: DataFrame, smoothed: DataFrame, min_height: int, *, guard: int | None = None, ratio: float = 0.88, levels: int = 4) -> DataFrame:
+    """page, top, bottom: bands much taller than their page's median are cut at their deepest row, and the parts again, up
+    to `levels` times. smoothed: page, y, smoothed, a row for each y of the page. A cut needs a row away from both ends
+    that is at most `ratio` of the lower of the peaks beside it, and parts of min_height rows; the row itself goes. Each
+    level is one expression over the page's profile, so no level shuffles; bands of pages without a profile stay."""
+    guard = max(20, min_height // 2) if guard is None else guard
+    # What counts as tall.
+    tall = F.floor(F.greatest(F.lit(min_height * 2.0), F.median("rows") * 1.65))
+    listed = bands.withColumn("rows", F.col("bottom") - F.col("top") + 1).groupBy("page").agg(tall.alias("tall"), F.collect_list(F.struct(F.col("top").cast("long").alias("top"), F.col("bottom").cast("long").alias("bottom"))).alias("parts"))
+    series = smoothed.groupBy("page").agg(F.min("y").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("y", "smoothed"))), lambda s: s["smoothed"].cast("double")).alias("series"))
+
+    def values(start: Column, end: Column) -> Column:
+        return F.slice("series", F.greatest(start - F.col("first") + 1, F.lit(1)).cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int"))
+
+    def part(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("long").alias("top"), end.cast("long").alias("bottom"))
+
+    def cut(band: Column) -> Column:
+        top, bottom = band["top"], band["bottom"]
+        rows = bottom - top + 1
+        within = values(top + guard, bottom - guard)
+
+        def at_valley(lowest: Column) -> Column:
+            valley = F.array_position(within, lowest) - 1 + top + guard
+            floor = F.least(F.array_max(values(top, valley - 1)), F.array_max(values(valley + 1, bottom)))
+            deep = (floor > 0) & (lowest <= floor * F.lit(ratio)) & (valley - top >= min_height) & (bottom - valley >= min_height)
+            return F.when(deep, F.array(part(top, valley - 1), part(valley + 1, bottom))).otherwise(F.array(part(top, bottom)))
+
+        wide = (rows >= F.col("tall")) & (rows >= 2 * min_height) & (bottom - guard > top + guard) & (F.size(within) > 0)
+        return F.when(F.coalesce(wide, F.lit(False)), let(F.array_min(within), at_valley)).otherwise(F.array(part(top, bottom)))
+
+    found = listed.join(series, "page", "left")
+    for _ in range(levels):
+        found = found.withColumn("parts", F.flatten(F.transform("parts", cut)))
+    return found.select("page", F.inline("parts"))
+
+
 def band_boxes(bands: DataFrame, ink: DataFrame, width: int, height: int, pad_x: int, pad_y: int) -> DataFrame:
     """page, top, bottom, x, y, w, h: the padded bounds of the ink in each padded band; bands without ink are left
     out. Ink meets a band through its row, so the join is on page and row."""
@@ -189,7 +229,6 @@ def is_edge_artifact(width: int, height: int) -> Column:
 def drop_isolated_headers(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Without the leading boxes of a page that stand alone above the next one; the last box always stays."""
     # The limits below and the defaults above.
-    # The limits below and the defaults above.
     order = Window.partitionBy("page").orderBy("y", "x")
     gap, middle = F.lead("y").over(order) - (F.col("y") + F.col("h") - 1), F.col("x") + F.col("w") / 2.0
     alone = (F.col("y") < height * 0.24) & middle.between(width * 0.25, width * 0.75) & (F.col("w") < width * 0.58) & (F.col("h") < height * 0.065) & (F.col("_gap") > max(34, int(height * 0.025)))
@@ -220,6 +259,59 @@ def separate_overlaps(boxes: DataFrame) -> DataFrame:
     return rows.select("page", F.explode(F.aggregate("b", F.array().cast(f"array<{box}>"), add)).alias("r")).select("page", "r.*").where("w > 0 and h > 0")
 
 
+def _merge_in_order(boxes: DataFrame, order: tuple[str, ...], joins: Callable[[Column, Column], Column], *, summed: tuple[str, ...] = ()) -> DataFrame:
+    """Boxes of a page in order, each joined to the last box that was made if joins(last, box) says so; `summed` columns
+    are added up. What is joined depends on what was joined before, so a page is a fold; the box still open is kept
+    apart from the closed ones, so a step looks at no more than two boxes."""
+    names = ("x", "y", "w", "h", *summed)
+    box = f"struct<{','.join(f'{c}:bigint' for c in names)}>"
+    entry = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c).cast("long").alias(c) for c in names]).alias("box"))
+    # Columns of the order come first; boxes that are equal in it follow the rest of the box.
+    rows = boxes.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["box"]).alias("b"))
+
+    def union(a: Column, c: Column) -> Column:
+        left, top = F.least(a["x"], c["x"]), F.least(a["y"], c["y"])
+        right, bottom = F.greatest(a["x"] + a["w"], c["x"] + c["w"]), F.greatest(a["y"] + a["h"], c["y"] + c["h"])
+        return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"), *[(a[n] + c[n]).alias(n) for n in summed])
+
+    def add(state: Column, nxt: Column) -> Column:
+        last = state["last"]
+        closed = F.struct(F.when(last.isNull(), state["done"]).otherwise(F.array_append(state["done"], last)).alias("done"), nxt.alias("last"))
+        # least and greatest pass over nulls, so the first box would seem to overlap a last one that is not there.
+        return F.when(last.isNotNull() & F.coalesce(joins(last, nxt), F.lit(False)), F.struct(state["done"].alias("done"), union(last, nxt).alias("last"))).otherwise(closed)
+
+    start = F.struct(F.array().cast(f"array<{box}>").alias("done"), F.lit(None).cast(box).alias("last"))
+    return rows.select("page", F.inline(F.aggregate("b", start, add, lambda state: F.array_append(state["done"], state["last"]))))
+
+
+def merge_line_boxes(boxes: DataFrame, height: int) -> DataFrame:
+    """page, x, y, w, h: boxes from top to bottom, joined to the one before where they share over a quarter of the lower
+    one's height, or where the gap between them is small against the page's height. A box that lies below a joined one is
+    held against the whole of it. A page without boxes gives none."""
+    # The least gap, its share of the height, the share of overlap.
+    gap, share = max(4, int(height * 0.004)), 0.25
+
+    def joins(last: Column, box: Column) -> Column:
+        end1, end2 = last["y"] + last["h"] - 1, box["y"] + box["h"] - 1
+        overlap = F.least(end1, end2) - F.greatest(last["y"], box["y"]) + 1
+        return (overlap > F.least(last["h"], box["h"]) * F.lit(share)) | (box["y"] - end1 <= gap)
+
+    return _merge_in_order(boxes, ("y", "x"), joins)
+
+
+def merge_word_boxes(boxes: DataFrame, *order: str) -> DataFrame:
+    """page, x, y, w, h, area: boxes in order (left to right unless said otherwise), joined to the one before where both
+    overlap by over a share of the smaller one in width and in height; areas are added up."""
+    share = 0.35  # fixed value
+
+    def joins(last: Column, box: Column) -> Column:
+        across = F.least(last["x"] + last["w"], box["x"] + box["w"]) - F.greatest(last["x"], box["x"])
+        down = F.least(last["y"] + last["h"], box["y"] + box["h"]) - F.greatest(last["y"], box["y"])
+        return (across > F.least(last["w"], box["w"]) * F.lit(share)) & (down > F.least(last["h"], box["h"]) * F.lit(share))
+
+    return _merge_in_order(boxes, order or ("x", "y"), joins, summed=("area",))
+
+
 def orientation(boxes: DataFrame, shape: DataFrame, tall: float = 0.18, touch: float = 0.35) -> DataFrame:
     """page, rotation, score, sideways. boxes: page, rotation, x, y, w, h; shape: page, rotation, width, height, also
     for rotations without boxes."""

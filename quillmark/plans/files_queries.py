@@ -116,3 +116,74 @@ def expected_boxes(spark: SparkSession, d: str) -> DataFrame:
 def first_pages(spark: SparkSession, d: str) -> DataFrame:
     """O06."""
     return files.first_sources(b.items(spark, d).select("path"))
+
+
+@query("""SELECT path, row_number() OVER (PARTITION BY label ORDER BY path) AS page_number FROM (SELECT 'in/' || p_brand || '/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ['.png', '.JPG', '.txt', '.tif', ''][p_partkey % 5 + 1] AS path, p_brand AS label, p_partkey FROM part)
+  WHERE p_partkey % 5 IN (0, 1, 3)""")
+def inventory_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of an inventory of files, numbered in their folder."""
+    extension = F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".txt", ".tif", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("in/"), "p_brand", F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), extension)
+    return files.images_in(b.table(spark, d, "part").select(name.alias("path")))
+
+
+@query("""SELECT 'flat/' || p_partkey || '/' || p_name || '.png' AS path, p_name AS label, p_name IN (SELECT p_name FROM part WHERE p_size < 4) AS known FROM part""")
+def labels_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    """Files named by their label; those of labels that are not known are reported."""
+    part = b.table(spark, d, "part")
+    listing = part.select(F.concat(F.lit("flat/"), "p_partkey", F.lit("/"), "p_name", F.lit(".png")).alias("path"))
+    known, unknown = files.labelled_by_stem(listing, part.where("p_size < 4").select(F.col("p_name").alias("label")))
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+
+
+@query("SELECT page // 50 AS page, page % 50 * 16 + k AS line_index, x, y, w, h FROM boxes", b.BOXES_SQL)
+def scanned_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes as CSV files in folders Page_<n>, whose number is read from the path."""
+    path = scratch_path(spark, "line-boxes")
+    boxes = _numbered_boxes(spark, d).withColumn("folder", F.concat(F.lit("Page_"), "page")).drop("page")
+    sinks.write_csv(boxes.repartition("folder"), path, "folder")
+    return files.line_boxes(spark, path)
+
+
+def _numbered_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of fifty vectors a page."""
+    return b.raster_boxes(spark, d).select(F.floor(F.col("page") / 50).alias("page"), (F.col("page") % 50 * 16 + F.col("k")).alias("line_index"), "x", "y", "w", "h")
+
+
+@query("SELECT CASE WHEN l_orderkey % 11 > 0 THEN l_orderkey ELSE -1 END AS page, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS word, count(*) AS n FROM lineitem WHERE l_partkey % 7 > 0 GROUP BY ALL")
+def inventory_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, lines and words of an inventory of crop files, from their names; other names are dropped, and
+    the page is -1 where no folder names one."""
+    folder = F.when(F.col("l_orderkey") % 11 > 0, F.concat(F.lit("Page_"), "l_orderkey")).otherwise("loose")
+    number = lambda c: F.lpad(c.cast("string"), 3, "0")
+    crop = F.concat(F.lit("line_"), number(F.col("l_linenumber")), F.lit("_word_"), number(F.col("l_quantity").cast("int")))
+    name = F.when(F.col("l_partkey") % 7 > 0, crop).otherwise(F.lit("sheet"))
+    listing = b.table(spark, d, "lineitem").select(F.concat(F.lit("crops/"), folder, F.lit("/"), name, F.lit(".png")).alias("path"))
+    return files.crops_in(listing).na.fill(-1, ["page"]).groupBy("page", "line", "word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_no AS no, image_file, true_label, text AS predicted_label, '' || row_no || '.50' AS confidence_percent, top1_result, top5_result, remarks FROM report", S, REPORT_SQL)
+def scanned_report(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction report written as CSV and scanned under its declared schema."""
+    path = scratch_path(spark, "predictions")
+    confidence = F.concat("row_no", F.lit(".50")).alias("confidence_percent")
+    sinks.write_csv(report_rows(spark, d).select(F.col("row_no").alias("no"), "image_file", "true_label", "predicted_label", confidence, "top1_result", "top5_result", "remarks"), path)
+    return files.prediction_report(spark, path)
+
+
+@query("""SELECT page, count(*) FILTER (kind = 'line') AS lines, count(*) FILTER (kind = 'word') AS words FROM (
+  SELECT page // 50 AS page, 'line' AS kind FROM boxes WHERE (page // 50) % 3 <> 1 UNION ALL SELECT page, 'word' FROM words WHERE page % 3 <> 2) GROUP BY 1""", b.BOXES_SQL, S)
+def page_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes written by page and read back, and the counts of lines and words of every page that has either."""
+    path = scratch_path(spark, "boxes")
+    sinks.write_boxes(_numbered_boxes(spark, d).repartition("page"), path)
+    lines = spark.read.schema("line_index long, x long, y long, w long, h long, page long").option("header", "true").csv(path)
+    return sinks.page_summary(lines.where("page % 3 <> 1"), b.words(spark, d).where("page % 3 <> 2").select("page"))
+
+
+@query(r"SELECT CAST(doc_id AS VARCHAR) AS batch_id, regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM texts", E)
+def transcripts_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a transcript file of its own, and read back whole."""
+    path = scratch_path(spark, "transcripts")
+    sinks.write_transcripts(b.texts(spark, d).select(F.col("doc_id").cast("string").alias("batch_id"), F.col("text").alias("transcript_text")), path)
+    return files.transcript_files(spark, path)

@@ -283,3 +283,69 @@ def orientation_scores(spark: SparkSession, d: str) -> DataFrame:
 def best_rotations(spark: SparkSession, d: str) -> DataFrame:
     """A22."""
     return layout.best_rotation(_orientation(spark, d))
+
+
+def _merged_sql(joins: str, order: str, extra: str = "") -> str:
+    """SQL of boxes that are joined to the last one (s) in order, if a condition on it and the next box (o) holds."""
+    listed = f", {extra}" if extra else ""
+    return f"""SELECT page, x, y, w, h{listed} FROM (
+      WITH RECURSIVE ordered AS (SELECT page, x, y, w, h{listed}, row_number() OVER (PARTITION BY page ORDER BY {order}) AS n FROM placed),
+      step AS (SELECT page, n, n AS g, x, y, w, h{listed} FROM ordered WHERE n = 1 UNION ALL
+        SELECT page, n, g, (u).x, (u).y, (u).w, (u).h{', (u).' + extra if extra else ''} FROM (
+          SELECT o.page, o.n, CASE WHEN {joins} THEN s.g ELSE o.n END AS g,
+            CASE WHEN {joins} THEN {{'x': least(s.x, o.x), 'y': least(s.y, o.y), 'w': greatest(s.x + s.w, o.x + o.w) - least(s.x, o.x), 'h': greatest(s.y + s.h, o.y + o.h) - least(s.y, o.y){f", '{extra}': s.{extra} + o.{extra}" if extra else ""}}}
+            ELSE {{'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h{f", '{extra}': o.{extra}" if extra else ""}}} END AS u
+          FROM step s JOIN ordered o ON o.page = s.page AND o.n = s.n + 1))
+      SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY page, g ORDER BY n DESC) = 1)"""
+
+
+#: Sixteen boxes of a page over 2,000 rows, so that some overlap, some are near and some stand alone.
+PLACED_SQL = "placed AS (SELECT page, k, x, y * 2 AS y, w, h, area FROM comps)"
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return b.raster_boxes(spark, d).withColumn("y", F.col("y") * 2)
+
+
+@query(_merged_sql("(least(s.y + s.h - 1, o.y + o.h - 1) - greatest(s.y, o.y) + 1 > least(s.h, o.h) * 0.25::DOUBLE OR o.y - (s.y + s.h - 1) <= 8)", "y, x, w, h"), X, PLACED_SQL)
+def merged_line_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Running merge of the line boxes of a page."""
+    return layout.merge_line_boxes(_placed(spark, d), 2 * HEIGHT)
+
+
+OVER = "least(s.{a} + s.{b}, o.{a} + o.{b}) - greatest(s.{a}, o.{a}) > least(s.{b}, o.{b}) * 0.35::DOUBLE"
+
+
+@query(_merged_sql(f"({OVER.format(a='x', b='w')} AND {OVER.format(a='y', b='h')})", "x, y, w, h, area", "area"), X, "placed AS (SELECT page, k, x // 5 AS x, y // 5 AS y, w, h, area FROM comps)")
+def merged_word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Running merge of the word boxes of a page, with the sum of their areas."""
+    near = {c: F.floor(F.col(c) / 5) for c in "xy"}
+    return layout.merge_word_boxes(b.raster_boxes(spark, d).withColumns(near))
+
+
+LINE, GUARD = 3, 2
+#: Vectors as profiles of 64 rows, their bands, and the bands of each level of cuts.
+TALL_SQL = f"""heights AS (SELECT page, i AS y, grey AS v FROM (SELECT page, i, least(greatest(floor((value + 0.5) * 255), 0), 255)::BIGINT AS grey FROM cells)),
+smooth AS (SELECT page, y, sum(v) OVER (PARTITION BY page ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3.0::DOUBLE AS v FROM heights),
+on_rows AS (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS island FROM smooth WHERE v >= 110),
+b0 AS (SELECT page, min(y) AS top, max(y) AS bottom FROM on_rows GROUP BY page, island),
+tall AS (SELECT page, floor(greatest({LINE} * 2.0::DOUBLE, median(bottom - top + 1) * 1.65::DOUBLE)) AS tall FROM b0 GROUP BY page),
+""" + ",\n".join(
+    f"""v{n} AS (SELECT b.page, top, bottom, first(s.y ORDER BY s.v, s.y) AS valley FROM b{n} b JOIN tall t ON t.page = b.page JOIN smooth s ON s.page = b.page AND s.y BETWEEN top + {GUARD} AND bottom - {GUARD}
+  WHERE bottom - top + 1 >= tall AND bottom - top + 1 >= {2 * LINE} AND bottom - {GUARD} > top + {GUARD} GROUP BY ALL),
+c{n} AS (SELECT v.page, top, bottom, valley FROM v{n} v JOIN smooth s ON s.page = v.page AND s.y BETWEEN top AND bottom GROUP BY ALL
+  HAVING least(max(v) FILTER (y < valley), max(v) FILTER (y > valley)) > 0 AND max(v) FILTER (y = valley) <= least(max(v) FILTER (y < valley), max(v) FILTER (y > valley)) * 0.88::DOUBLE
+    AND valley - top >= {LINE} AND bottom - valley >= {LINE}),
+b{n + 1} AS (SELECT * FROM b{n} ANTI JOIN c{n} USING (page, top, bottom) UNION ALL SELECT page, top, valley - 1 FROM c{n} UNION ALL SELECT page, valley + 1, bottom FROM c{n})"""
+    for n in range(4)
+)
+
+
+@query("SELECT page, top, bottom FROM b4", R, TALL_SQL)
+def split_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Tall bands cut at their valleys, and the parts again."""
+    rows = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("page"), F.posexplode("embedding").alias("y", "v"))
+    grey = F.least(F.greatest(F.floor((F.col("v").cast("double") + 0.5) * 255), F.lit(0)), F.lit(255))
+    smoothed = layout.smooth_box(rows.select("page", "y", grey.alias("v")), 3)
+    bands = layout.active_bands(smoothed.withColumn("active", F.col("smoothed") >= 110))
+    return layout.split_tall_bands(bands, smoothed, LINE, guard=GUARD)

@@ -1,6 +1,8 @@
 """Scans of page images, labelled folders, label lists, transcripts, boxes, crops and reports.
 
-Listings read paths only: the bytes of images are pruned from the scan. Page and row numbers follow the path.
+Listings read paths only: the bytes of images are pruned from the scan. Page and row numbers follow the path. A listing
+is any table with a path: what Spark lists of a folder, or an inventory of a store that is too large to be listed by one
+driver (images_in, labelled_by_stem and crops_in take either).
 """
 
 from __future__ import annotations
@@ -35,10 +37,15 @@ def _is_image(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*IMAGE_EXTENSIONS)
 
 
+def images_in(listing: DataFrame) -> DataFrame:
+    """The images of a listing, with page_number: from 1 in each folder, in order of path. Null paths are no images."""
+    images = listing.where(_is_image(F.col("path")))
+    return images.withColumn("page_number", F.row_number().over(Window.partitionBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).orderBy("path")))
+
+
 def page_images(spark: SparkSession, path: str) -> DataFrame:
     """path, length, page_number (in order of path) of the images of a folder, or of one file."""
-    images = _listing(spark, path).where(_is_image(F.col("path")))
-    return images.withColumn("page_number", F.row_number().over(Window.partitionBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).orderBy("path")))
+    return images_in(_listing(spark, path))
 
 
 def page_pixels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +80,12 @@ def class_folders(spark: SparkSession, path: str, *hidden: str) -> DataFrame:
 
 def flat_files(spark: SparkSession, path: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, label by file stem) of known labels, and the files of unknown ones."""
-    items = _listing(spark, path).where(_is_image(F.col("path"))).select("path", F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("label"))
+    return labelled_by_stem(_listing(spark, path), labels)
+
+
+def labelled_by_stem(listing: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, label) of a listing's images whose file stem is one of the labels, and of those whose stem is not."""
+    items = listing.where(_is_image(F.col("path"))).select("path", F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("label"))
     return items.join(labels.select("label"), "label", "left_semi"), items.join(labels.select("label"), "label", "left_anti")
 
 
@@ -118,8 +130,13 @@ def line_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 def word_crops(spark: SparkSession, path: str) -> DataFrame:
     """path, page, line, word of crop files named line_<n>_word_<n> below folders Page_<n>; other names are dropped."""
+    return crops_in(_listing(spark, path))
+
+
+def crops_in(listing: DataFrame) -> DataFrame:
+    """path, page, line, word of a listing's crops, as word_crops; page is null where no folder names one."""
     number = lambda pattern: F.regexp_extract("path", pattern, 1)
-    crops = _listing(spark, path).where(F.col("path").rlike(r"line_\d+_word_\d+"))
+    crops = listing.where(F.col("path").rlike(r"line_\d+_word_\d+"))
     return crops.select("path", F.nullif(number(r"Page_(\d+)"), F.lit("")).cast("int").alias("page"), number(r"line_(\d+)_word_").cast("int").alias("line"), number(r"_word_(\d+)").cast("int").alias("word"))
 
 
@@ -136,6 +153,11 @@ def first_sources(listing: DataFrame, n: int = 7) -> DataFrame:
     return listing.orderBy("path").limit(n)
 
 
+def transcript_files(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, text: transcript files in folders batch_id=<id>, each read whole."""
+    return spark.read.schema("text string, batch_id string").text(path, wholetext=True).select("batch_id", "text")
+
+
 def record_store(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the record store with its declared schema; missing columns of older files are null."""
     schema = {"batches": schemas.BATCHES, "pages": schemas.PAGES}.get(name)

@@ -78,9 +78,9 @@ def write_manifest(crops: DataFrame, path: str) -> None:
 
 
 def write_transcripts(batches: DataFrame, path: str) -> DataFrame:
-    """Writes transcript_text, stripped and with a closing line break, to a folder a batch, and returns batches with
-    saved_location."""
-    text = F.concat(trim_spaces(F.coalesce("transcript_text", F.lit(""))), F.lit("\n"))
+    """Writes transcript_text, stripped and with one closing line break (the writer's own), to a folder a batch, and
+    returns batches with saved_location. A null text is an empty one."""
+    text = trim_spaces(F.coalesce("transcript_text", F.lit("")))
     batches.select("batch_id", text.alias("value")).write.mode("overwrite").partitionBy("batch_id").option("lineSep", "\n").text(path)
     return batches.withColumn("saved_location", F.concat(F.lit(f"{path}/batch_id="), F.col("batch_id")))
 

@@ -31,6 +31,16 @@ def test_image_scans(spark, tmp_path):
     assert files.first_sources(files.page_images(spark, f"{tmp_path}/in"), 1).first()["path"].endswith("a.jpg")
 
 
+def test_listings_from_an_inventory(spark):
+    listing = spark.createDataFrame([("s/b/2.png",), ("s/b/10.TIFF",), ("s/a/1.jpg",), ("s/a/1.jpg.txt",), ("s/a/png",), (None,)], "path string")
+    assert sorted(tuple(r) for r in files.images_in(listing).select("path", "page_number").collect()) == [("s/a/1.jpg", 1), ("s/b/10.TIFF", 1), ("s/b/2.png", 2)]
+    known, unknown = files.labelled_by_stem(listing, spark.createDataFrame([("2",), ("1",), ("1",), (None,)], "label string"))
+    assert sorted(r["path"] for r in known.collect()) == ["s/a/1.jpg", "s/b/2.png"] and [r["label"] for r in unknown.collect()] == ["10"]
+    crops = spark.createDataFrame([("Page_3/line_1_word_2.png",), ("line_4_word_5.png",), ("Page_3/line_x_word_2.png",), (None,)], "path string")
+    assert sorted((r["page"] or 0, r["line"], r["word"]) for r in files.crops_in(crops).collect()) == [(0, 4, 5), (3, 1, 2)]
+    assert files.images_in(listing.limit(0)).count() == 0 == files.crops_in(crops.limit(0)).count()
+
+
 def test_undecodable_images_are_reported(spark, tmp_path):
     make(tmp_path, "img/bad.webp")
     pixels, rejected = files.page_pixels(spark, f"{tmp_path}/img")
@@ -107,9 +117,9 @@ def test_box_dataset_and_summary_writers(spark, tmp_path):
 
 
 def test_transcript_writers(spark, tmp_path):
-    out = sinks.write_transcripts(spark.createDataFrame([("b1", " hello \n")], "batch_id string, transcript_text string"), f"{tmp_path}/t")
-    assert out.first()["saved_location"] == f"{tmp_path}/t/batch_id=b1"
-    assert spark.read.text(f"{tmp_path}/t/batch_id=b1", wholetext=True).first()[0].rstrip("\n") == "hello"
+    out = sinks.write_transcripts(spark.createDataFrame([("b1", " hello \n"), ("b2", None), ("b3", "x\r\ny")], "batch_id string, transcript_text string"), f"{tmp_path}/t")
+    assert out.orderBy("batch_id").first()["saved_location"] == f"{tmp_path}/t/batch_id=b1"
+    assert sorted(tuple(r) for r in files.transcript_files(spark, f"{tmp_path}/t").collect()) == [("b1", "hello\n"), ("b2", "\n"), ("b3", "x\r\ny\n")]
     lines = spark.createDataFrame([("b", 1, 1, "x")], "batch_id string, page_no int, line_no int, text string")
     sinks.write_export(lines, f"{tmp_path}/e")
     assert spark.read.parquet(f"{tmp_path}/e").count() == 1

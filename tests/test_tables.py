@@ -248,3 +248,26 @@ def test_peaks_and_shoulders(spark):
     assert got[0] == [1, 3] or sorted(got[0]) == [1, 3]
     high = spark.createDataFrame([(1, 2, 5), (1, 4, 7), (1, 6, 7), (1, 20, 1)], "page int, y int, v int")
     assert sorted(r["y"] for r in layout.suppress_peaks(high, 3).collect()) == [4, 20]
+
+
+def test_running_merges_hold_against_the_whole_merged_box(spark):
+    schema = "page int, x int, y int, w int, h int, area int"
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10, 1), (1, 5, 8, 30, 20, 2), (1, 0, 31, 5, 5, 4), (1, 0, 41, 5, 5, 8), (2, 3, 3, 3, 3, 16), (3, 0, 0, 4, 4, 32), (3, 0, 0, 4, 4, 32)], schema)
+    # The third lies 4 below the joined first two, the fourth 6 below that.
+    assert sorted(tuple(r) for r in layout.merge_line_boxes(boxes, 500).collect()) == [(1, 0, 0, 35, 36), (1, 0, 41, 5, 5), (2, 3, 3, 3, 3), (3, 0, 0, 4, 4)]
+    words = spark.createDataFrame([(1, 0, 0, 10, 10, 1), (1, 6, 0, 10, 10, 2), (1, 11, 0, 10, 10, 4), (1, 20, 0, 10, 10, 8), (2, 0, 0, 10, 10, None)], schema)
+    # The second overlaps the first by 4 of 10, the third the joined box by 5; the fourth by 1.
+    assert sorted(tuple(r)[:5] for r in layout.merge_word_boxes(words).collect()) == [(1, 0, 0, 21, 10), (1, 20, 0, 10, 10), (2, 0, 0, 10, 10)]
+    assert {r["area"] for r in layout.merge_word_boxes(words).where("page = 1").collect()} == {7, 8}
+    assert layout.merge_line_boxes(boxes.limit(0), 500).count() == 0 == layout.merge_word_boxes(boxes.limit(0)).count()
+
+
+def test_tall_bands_are_cut_at_valleys_again_and_again(spark):
+    profile = [9, 9, 9, 1, 9, 9, 9, 2, 9, 9, 9, 9, 0, 9, 9]
+    smoothed = spark.createDataFrame([(1, y, float(v)) for y, v in enumerate(profile)], "page int, y int, smoothed double")
+    bands = spark.createDataFrame([(1, 0, 11), (1, 13, 14), (1, 20, 21), (2, 0, 30)], "page int, top int, bottom int")
+    cut = lambda **kw: sorted(tuple(r) for r in layout.split_tall_bands(bands, smoothed, 3, guard=1, **kw).collect())
+    assert cut() == [(1, 0, 2), (1, 4, 6), (1, 8, 11), (1, 13, 14), (1, 20, 21), (2, 0, 30)]
+    assert cut(levels=1) == [(1, 0, 2), (1, 4, 11), (1, 13, 14), (1, 20, 21), (2, 0, 30)]
+    assert cut(ratio=0.15) == cut(levels=1) and cut(levels=0) == cut(ratio=0.1)
+    assert layout.split_tall_bands(bands.limit(0), smoothed, 3).count() == 0
