@@ -172,13 +172,14 @@ def scanned_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT page, count(*) FILTER (kind = 'line') AS lines, count(*) FILTER (kind = 'word') AS words FROM (
-  SELECT page // 50 AS page, 'line' AS kind FROM boxes WHERE (page // 50) % 3 <> 1 UNION ALL SELECT page, 'word' FROM words WHERE page % 3 <> 2) GROUP BY 1""", b.BOXES_SQL, S)
+  SELECT page // 50 AS page, 'line' AS kind FROM boxes WHERE (page // 50) % 3 <> 1 UNION ALL SELECT vec_id // 50, 'word' FROM embeddings WHERE (vec_id // 50) % 3 <> 2) GROUP BY 1""", b.BOXES_SQL)
 def page_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Boxes written by page and read back, and the counts of lines and words of every page that has either."""
     path = scratch_path(spark, "boxes")
     sinks.write_boxes(_numbered_boxes(spark, d).repartition("page"), path)
     lines = spark.read.schema("line_index long, x long, y long, w long, h long, page long").option("header", "true").csv(path)
-    return sinks.page_summary(lines.where("page % 3 <> 1"), b.words(spark, d).where("page % 3 <> 2").select("page"))
+    words = b.vectors(spark, d).select(F.floor(F.col("vec_id") / 50).alias("page"))
+    return sinks.page_summary(lines.where("page % 3 <> 1"), words.where("page % 3 <> 2"))
 
 
 @query(r"SELECT CAST(doc_id AS VARCHAR) AS batch_id, regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM texts", E)
