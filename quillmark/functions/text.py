@@ -6,8 +6,10 @@ unless a function says otherwise. All run on the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +82,10 @@ DIRECT_ADDRESS = (
     (r"(?U)\b(Yes|No), sir\?\z", "$1, sir."),
     (r"(?U)\b(Yes|No), Your Honor\?\z", "$1, Your Honor."),
 )
+#: Capitals of letters that upper() writes as several.
+LONE_CAPITALS = {"\u00df": "\u1e9e", "\u1fb3": "\u1fbc", "\u1fc3": "\u1fcc", "\u1ff3": "\u1ffc"} | {chr(c): chr(c + 8) for row in (0x1F80, 0x1F90, 0x1FA0) for c in range(row, row + 8)}
+#: Letters beyond ASCII that match one of its letters where case does not matter.
+ODD_CASE = {"\u017f": "s", "\u212a": "k", "\u0131": "i", "\u0130": "i"}
 INTERPRETER_DATE = r"(?U)^(January)\s+([xX]{1,2}|\d{1,2})\s+([xX]{4}|\d{4})\s+(.+)\z"
 # -----------------------------------------------------------------------------------------------------------------
 
@@ -93,6 +99,25 @@ def _replace(text: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
 
 
+def _needle(pattern: str) -> str:
+    """The longest word, in lower case, that every match of a rule's pattern holds."""
+    plain = re.sub(r"\([^)]*\)|\\.", " ", re.sub(r"\[[^\]]*\]", " ", pattern))
+    return max(re.findall("[A-Za-z]+", plain), key=len).lower()
+
+
+def _replace_words(text: Column, *rules: tuple[str, str, str]) -> Column:
+    """Rules (flags, pattern, replacement) in order, each only on texts that hold its needle, as a search for bytes costs
+    a fraction of a match. Rules may change the case of words and what is between them, and may part words, but
+    write no word that another rule looks for, so the needles are looked for in the text as it was."""
+    odd = lambda t: reduce(or_, [F.contains(t, F.lit(c)) for c in ODD_CASE])
+    folded = lambda t: F.lower(F.when(odd(t), F.translate(t, "".join(ODD_CASE), "".join(ODD_CASE.values()))).otherwise(t))
+
+    def once(low: Column, flags: str, pattern: str, to: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.contains(low, F.lit(_needle(pattern))), F.regexp_replace(t, flags + pattern, to)).otherwise(t)
+
+    return let(text, lambda t: let(folded(t), lambda low: reduce(lambda c, rule: let(c, once(low, *rule)), rules, t)))
+
+
 def text_lines(text: Column) -> Column:
     """array<string>: lines without surrounding white space, blank ones dropped; null gives an empty array."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
@@ -117,19 +142,19 @@ def normalize_spacing(text: Column) -> Column:
 
 def expand_contractions(text: Column) -> Column:
     """Known words without their apostrophe get it; a lone i becomes I."""
-    return _replace(text, *((rf"(?iU)\b{word}\b", full) for word, full in CONTRACTIONS.items()), (r"(?U)\bi\b", "I"))
+    return _replace_words(text, *(("(?iU)", rf"\b{word}\b", full) for word, full in CONTRACTIONS.items()), ("(?U)", r"\bi\b", "I"))
 
 
 def fix_titles(text: Column) -> Column:
-    return _replace(text, *((f"(?iU){p}", r) for p, r in TITLES))
+    return _replace_words(text, *(("(?iU)", p, r) for p, r in TITLES))
 
 
 def fix_legal_phrases(text: Column) -> Column:
-    return _replace(text, *((f"(?iU){p}", r) for p, r in LEGAL_PHRASES))
+    return _replace_words(text, *(("(?iU)", p, r) for p, r in LEGAL_PHRASES))
 
 
 def insert_commas(text: Column) -> Column:
-    return _replace(text, *((("(?U)" if case else "(?iU)") + p, r) for case, p, r in COMMA_RULES))
+    return _replace_words(text, *(("(?U)" if case else "(?iU)", p, r) for case, p, r in COMMA_RULES))
 
 
 def drop_repeated_words(text: Column) -> Column:
@@ -147,6 +172,15 @@ def drop_repeated_words(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(F.split(text, " "))), start, once, lambda state: state["text"])
 
 
+def upper_letter(letter: Column) -> Column:
+    """A letter in upper case as one letter: upper() writes some as several (SS), which becomes the upper-case letter of
+    its own that there is, else the letter stays."""
+    def single(upper: Column) -> Column:
+        return F.when(F.length(upper) > 1, F.translate(letter, "".join(LONE_CAPITALS), "".join(LONE_CAPITALS.values()))).otherwise(upper)
+
+    return let(F.upper(letter), single)
+
+
 def capitalize_sentences(text: Column) -> Column:
     """The first letter of the text and the first after each .!? in upper case."""
     parts = F.split(text, r"(?<=[.!?])")
@@ -154,7 +188,7 @@ def capitalize_sentences(text: Column) -> Column:
     def upper_first(part: Column) -> Column:
         before = F.regexp_extract(part, r"^(\P{L}*)", 1)
         letter = F.substring(part, F.length(before) + 1, F.lit(1))
-        return F.concat(before, F.upper(letter), F.substring(part, F.length(before) + 2, F.length(part)))
+        return F.concat(before, upper_letter(letter), F.substring(part, F.length(before) + 2, F.length(part)))
 
     return F.array_join(F.transform(parts, upper_first), "")
 
@@ -244,6 +278,9 @@ def utterance_lines(text: Column, speaker: Column, width: int = LINE_WIDTH) -> C
 
 def clean_words(text: Column) -> Column:
     """array<string>: words in lower case of [A-Za-z0-9_'], with apostrophes at their ends stripped; any other characters
-    part words."""
-    spaced = F.lower(F.regexp_replace(text, "[^A-Za-z0-9_']+", " "))
-    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.btrim(w, F.lit("'"))), lambda w: w != "")
+    part words. Texts are split at what parts words; [^A-Za-z0-9_'] says the same, but a class made of ranges takes Java's
+    matcher ten times as long as one made of \\w."""
+    # The two characters whose lower case begins with an ASCII letter are no letters of words.
+    low = F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" ")))
+    bare = lambda w: F.when(F.startswith(w, F.lit("'")) | F.endswith(w, F.lit("'")), F.btrim(w, F.lit("'"))).otherwise(w)
+    return F.filter(F.transform(F.split(low, r"[^\w']+"), bare), lambda w: w != "")

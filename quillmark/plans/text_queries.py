@@ -66,11 +66,15 @@ PLANT_RULES = [(rf"\b{w}\b", p) for w, p in PLANTS]
 
 
 def _planted(c: Column) -> Column:
-    for pattern, to in PLANT_RULES:
-        c = F.regexp_replace(c, pattern, to)
+    for word, to in PLANTS:
+        c = text.let(c, _plant(word, to))
     return c
 
 
+def _plant(word: str, to: str) -> Callable[[Column], Column]:
+    return lambda c: F.when(F.contains(c, F.lit(word)), F.regexp_replace(c, rf"\b{word}\b", to)).otherwise(c)
+
+
 @query(f"SELECT doc_id, line_no, {_rx('line', *PLANT_RULES, *((f'(?i){p}', r) for p, r in text.LEGAL_PHRASES))} AS s FROM lines", E)
 def legal_phrases(spark: SparkSession, d: str) -> DataFrame:
     """T06."""

@@ -153,3 +153,19 @@ def test_exported_pages(spark):
     assert pages[2][:7][5].startswith("Page 2 of 4") and len(pages[2]) == 8 + 45 and pages[2][8:10] == ["COURT:", "        line 0"]
     assert pages[3][-7:] == ["", "WITNESS:", "        last", "", "COURT:", "        Order. Granted. So Ordered.", export.RULE]
     assert pages[4][-1] == "         Stenographer"
+
+
+def test_capitals_stay_one_letter(spark):
+    rows = spark.createDataFrame([(1, "so. ßeta. ŉa! b"), (2, "ﬁn. ᾀx.")], "n int, s string")
+    got = [r[0] for r in rows.select("n", text.capitalize_sentences(F.col("s")).alias("s")).orderBy("n").select("s").collect()]
+    assert got == ["So. ẞeta. ŉa! B", "ﬁn. ᾈx."]
+
+
+def test_rules_are_skipped_only_where_they_cannot_match(spark):
+    rows = [text._needle(p) for p, _ in text.LEGAL_PHRASES] + [text._needle(p) for _, p, _ in text.COMMA_RULES]
+    assert rows[0] == "honor" and text._needle(r"\bmr\b\.?") == "mr" and text._needle(r"\b(yes|no), sir\s+([a-z])") == "sir"
+    lines = ["Dont and dont", "İM here, ıve", "hadnſt waſnt", "mr Smith, the COURT", "nothing", "", None]
+    given = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string")
+    rules = [(rf"(?iU)\b{w}\b", f) for w, f in text.CONTRACTIONS.items()] + [(r"(?U)\bi\b", "I")] + [(f"(?iU){p}", r) for p, r in text.TITLES]
+    both = given.select(text.fix_titles(text.expand_contractions(F.col("s"))).alias("a"), text._replace(F.col("s"), *rules).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and both[1].a != lines[1]
