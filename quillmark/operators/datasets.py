@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import clean_words
+from ..sources.shared import kept
 from .evaluation import number_rows, number_within
 
 # Fixed values ---------------------------------------------------------------------------------------------------
@@ -42,8 +44,9 @@ def with_class_index(items: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unknown_label_counts(words: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, n over all lines, those that are skipped later included."""
-    return unknown_items(words, labels).groupBy("label").agg(F.count("*").alias("n"))
+    """label, n over all lines, those that are skipped later included. Words are counted first, so that a word meets the
+    labels once, however frequent it is."""
+    return unknown_items(words.groupBy("label").agg(F.count("*").alias("n")), labels)
 
 
 def distinct_labels(items: DataFrame) -> DataFrame:
@@ -91,20 +94,26 @@ def phrase_labels(lines: DataFrame, labels: DataFrame, keys: list[str], column:
     vocabulary, else the word. A word alone is its own label whether the vocabulary has it or not, so only the labels of
     several words matter. They meet the runs of two to `longest` words of the lines in a join; up to most_bytes of them are
     broadcast, so that only what is found is shuffled."""
+    return phrase_lists(lines, labels, keys, column, longest, most_bytes).select(*keys, F.posexplode("labels").alias("label_no", "label")).withColumn("label_no", F.col("label_no") + 1)
+
+
+def phrase_lists(lines: DataFrame, labels: DataFrame, keys: list[str], column: str = "text", longest: int = MAX_PHRASE, most_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """keys, labels: the labels of phrase_labels as one array a line."""
     words = lines.select(*keys, clean_words(F.col(column)).alias("words"))
     phrases = labels.where(F.contains("label", F.lit("_"))).select("label").distinct()
-    size = phrases.agg(F.coalesce(F.sum(F.octet_length("label") + 16), F.lit(0))).first()[0]
+    parts = F.size(F.split("label", "_"))
+    size, most = phrases.agg(F.coalesce(F.sum(F.octet_length("label") + 16), F.lit(0)), F.coalesce(F.max(parts), F.lit(1))).first()
+    longest = min(longest, most)
+    if longest < 2:
+        return words.withColumnRenamed("words", "labels")
     spans = _joined_spans(words, F.broadcast(phrases) if size <= most_bytes else phrases, keys, longest)
-
-    def step(state: Column, i: Column) -> Column:
-        n = F.get("spans", i)
-        fresh = F.array_append(state["out"], F.array_join(F.slice("words", i + 1, n), "_"))
-        return F.when(i < state["next"], state).otherwise(F.struct((i + n).alias("next"), fresh.alias("out")))
-
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), start, step, lambda s: s["out"])
-    chosen = F.when(F.exists("spans", lambda n: n > 1), folded).otherwise(F.col("words"))
-    return spans.select(*keys, F.posexplode(chosen).alias("label_no", "label")).withColumn("label_no", F.col("label_no") + 1)
+    # Each word with a sign for the words that its label takes; a match from the left takes them, as a label does.
+    signs = [chr(0x2460 + n) for n in range(longest + 1)]
+    signed = F.zip_with("spans", "words", lambda n, w: F.concat(F.get(F.array(*map(F.lit, signs)), n), w))
+    run = "|".join(signs[n] + r"\S+" + rf"(?: \S+){{{n - 1}}}" for n in range(1, longest + 1))
+    taken = F.regexp_extract_all(F.array_join(signed, " "), F.lit(run), F.lit(0))
+    chosen = F.transform(taken, lambda t: F.when(F.startswith(t, F.lit(signs[1])), F.substring(t, 2, 1 << 30)).otherwise(F.regexp_replace(F.substring(t, 2, 1 << 30), " .", "_")))
+    return spans.select(*keys, F.when(F.exists("spans", lambda n: n > 1), chosen).otherwise(F.col("words")).alias("labels"))
 
 
 def _phrase_at(i: Column, n: Column | int) -> Column:
@@ -117,34 +126,59 @@ def _joined_spans(words: DataFrame, phrases: DataFrame, keys: list[str], longest
     at = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i)), lambda k: F.struct(i.alias("i"), k.alias("n"), _phrase_at(i, k).alias("label")))
     every = F.flatten(F.transform(F.sequence(F.lit(0), last - 2), at))
     grams = words.where(last > 1).select(*keys, F.explode(every).alias("g")).select(*keys, "g.*")
-    hits = grams.join(phrases, "label", "left_semi").groupBy(*keys, "i").agg(F.max("n").alias("n"))
-    spots = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("at"))
-    return words.join(spots, keys, "left").withColumn("spans", F.transform("words", lambda _, i: F.coalesce(F.try_element_at("at", i), F.lit(1)))).drop("at")
+    hits = grams.join(phrases, "label", "left_semi")
+    every = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("n")))).alias("every"))
+    # The longest run of each place comes first.
+    longest_at = text.let(F.col("every"), lambda a: F.filter(a, lambda h, k: (k == 0) | (F.get(a, k - 1)["i"] != h["i"])))
+    spots = every.select(*keys, F.transform(longest_at, lambda h: F.struct(h["i"].alias("i"), (-h["n"]).alias("n"))).alias("at"))
+    # Runs of ones between the places that are found, so that no place is looked for.
+    def filled(found: Column) -> Column:
+        gap = lambda h, k: F.concat(F.array_repeat(F.lit(1), h["i"] - F.when(k > 0, F.get(found, k - 1)["i"] + 1).otherwise(0)), F.array(h["n"]))
+        until = F.coalesce(F.get(found, F.size(found) - 1)["i"] + 1, F.lit(0))
+        return F.concat(F.flatten(F.transform(found, gap)), F.array_repeat(F.lit(1), F.size("words") - until))
 
+    none = F.array().cast("array<struct<i:int,n:int>>")
+    return words.join(spots, keys, "left").withColumn("spans", text.let(F.coalesce("at", none), filled)).drop("at")
 
-def check_lines(expected: DataFrame, crops: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_expected, n_crops, status of each line with either: 'crop_count_mismatch', 'unknown_label' or 'ok'."""
-    unknown = unknown_items(expected, labels).select(*keys).distinct().withColumn("unknown", F.lit(True))
-    want = expected.groupBy(*keys).agg(F.count("*").alias("n_expected"))
-    have = crops.groupBy(*keys).agg(F.count("*").alias("n_crops"))
-    both = want.join(have, keys, "full_outer").join(unknown, keys, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    status = F.when(F.col("n_expected") != F.col("n_crops"), "crop_count_mismatch").when(F.col("unknown"), "unknown_label").otherwise("ok")
-    return both.select(*keys, zero("n_expected"), zero("n_crops"), "unknown").withColumn("status", status).drop("unknown")
+
+#: Bound on the bytes of unknown words that are broadcast.
+UNKNOWN_BYTES = 16 << 20
 
 
-def zip_labels(expected: DataFrame, crops: DataFrame, keys: list[str]) -> DataFrame:
-    """The k-th crop of a line with its k-th label, whatever numbers the crops carry."""
-    a = expected.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("label_no")))
-    b = crops.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("word_index")))
-    return a.join(b, [*keys, "k"]).drop("k", "label_no")
+def _marked(expected: DataFrame, labels: DataFrame, most_bytes: int = UNKNOWN_BYTES) -> DataFrame:
+    """expected with unknown: whether the vocabulary lacks the label. The words that it lacks are found once from the
+    distinct words and written, so that the lines' words are not joined with the whole vocabulary, nor shuffled for it where
+    those words are few."""
+    unknown = kept(unknown_label_counts(expected, labels).where("label IS NOT NULL").select("label"), "unknown")
+    size = unknown.agg(F.coalesce(F.sum(F.octet_length("label") + 16), F.lit(0))).first()[0]
+    flags = unknown.withColumn("_found", F.lit(True))
+    found = expected.join(F.broadcast(flags) if size <= most_bytes else flags, "label", "left")
+    return found.withColumn("unknown", F.col("label").isNull() | F.col("_found").isNotNull()).drop("_found")
+
+
+def _status() -> Column:
+    return F.when(F.col("n_expected") != F.col("n_crops"), "crop_count_mismatch").when(F.col("unknown"), "unknown_label").otherwise("ok")
+
+
+def check_lines(expected: DataFrame, crops: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_expected, n_crops, status of each line with either: 'crop_count_mismatch', 'unknown_label' or 'ok'."""
+    one, none = F.lit(1), F.lit(0)
+    both = _marked(expected, labels).select(*keys, one.alias("e"), none.alias("c"), "unknown").unionByName(crops.select(*keys, none.alias("e"), one.alias("c"), F.lit(False).alias("unknown")))
+    lines = both.groupBy(*keys).agg(F.sum("e").alias("n_expected"), F.sum("c").alias("n_crops"), F.max("unknown").alias("unknown"))
+    return lines.withColumn("status", _status()).drop("unknown")
 
 
 def align(expected: DataFrame, crops: DataFrame, labels: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(labelled crops of the lines that are ok, the other lines)."""
-    status = check_lines(expected, crops, labels, keys)
-    good = status.where("status = 'ok'").select(*keys)
-    return zip_labels(expected.join(good, keys, "left_semi"), crops.join(good, keys, "left_semi"), keys), status.where("status <> 'ok'")
+    """(labelled crops of the lines that are ok, the other lines). A line's labels and crops are gathered in one shuffle and
+    the k-th crop gets the k-th label, whatever numbers the crops carry; no join is made by line or place."""
+    word, crop = F.struct("label_no", "label"), F.struct("word_index", *[c for c in crops.columns if c not in (*keys, "word_index")])
+    nothing = lambda rows, c: F.lit(None).cast(rows.select(c.alias("x")).schema["x"].dataType)
+    words = _marked(expected, labels)
+    both = words.select(*keys, word.alias("word"), nothing(crops, crop).alias("crop"), "unknown").unionByName(crops.select(*keys, nothing(words, word).alias("word"), crop.alias("crop"), F.lit(False).alias("unknown")))
+    lines = both.groupBy(*keys).agg(F.count("word").alias("n_expected"), F.count("crop").alias("n_crops"), F.max("unknown").alias("unknown"), F.collect_list("word").alias("words"), F.collect_list("crop").alias("crops")).withColumn("status", _status())
+    pairs = F.arrays_zip(F.array_sort("words").alias("w"), F.array_sort("crops").alias("c"))
+    labelled = lines.where("status = 'ok'").select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.w.label").alias("label"), "p.c.*")
+    return labelled, lines.where("status <> 'ok'").select(*keys, "n_expected", "n_crops", "status")
 
 
 def alignment_summary(labelled: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -86,7 +86,9 @@ words AS (SELECT v.vec_id, v.vec_id // 50 AS page, (v.vec_id // 5) % 10 + 1 AS l
 
 # Text: documents and conversations -------------------------------------------------------------------------------
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents, dealt out by their ids: a file of one row group is read by a single task, which would then do all work on
+    its texts as well."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,25 @@ def test_tall_bands_are_cut_at_valleys_again_and_again(spark):
     assert cut(levels=1) == [(1, 0, 2), (1, 4, 11), (1, 13, 14), (1, 20, 21), (2, 0, 30)]
     assert cut(ratio=0.15) == cut(levels=1) and cut(levels=0) == cut(ratio=0.1)
     assert layout.split_tall_bands(bands.limit(0), smoothed, 3).count() == 0
+
+
+def test_alignment_in_one_gathering_and_by_both_joins(spark):
+    expected = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "zz"), (3, 1, "a"), (3, 2, "a"), (5, 1, None)], "line int, label_no int, label string")
+    crops = spark.createDataFrame([(1, 9), (1, 4), (2, 1), (3, 1), (4, 1), (5, 1)], "line int, word_index int")
+    labels = spark.createDataFrame([("a",), ("b",)], "label string")
+    labelled, skipped = datasets.align(expected, crops, labels, ["line"])
+    assert sorted(map(tuple, labelled.select("line", "word_index", "label").collect())) == [(1, 4, "a"), (1, 9, "b")]
+    want = [(2, 1, 1, "unknown_label"), (3, 2, 1, "crop_count_mismatch"), (4, 0, 1, "crop_count_mismatch"), (5, 1, 1, "unknown_label")]
+    assert sorted(map(tuple, skipped.collect())) == want
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    for most in (0, datasets.UNKNOWN_BYTES):
+        assert sorted(r["line"] for r in datasets._marked(expected, labels, most).where("unknown").collect()) == [2, 5]
+
+
+def test_words_are_counted_before_they_meet_the_labels(spark):
+    words = spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "label string")
+    counts = datasets.unknown_label_counts(words, spark.createDataFrame([("a",)], "label string"))
+    assert sorted(map(tuple, counts.collect()), key=str) == [("x", 2), (None, 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
