@@ -118,6 +118,12 @@ def _replace_words(text: Column, *rules: tuple[str, str, str]) -> Column:
     return let(text, lambda t: let(folded(t), lambda low: reduce(lambda c, rule: let(c, once(low, *rule)), rules, t)))
 
 
+def _replace_all(text: Column, *rules: tuple[str, str, str]) -> Column:
+    """The same without the search: each guard is a lambda deeper, and a whole transcript's rules nest too deep for the
+    planner's stack."""
+    return _replace(text, *((flags + pattern, to) for flags, pattern, to in rules))
+
+
 def text_lines(text: Column) -> Column:
     """array<string>: lines without surrounding white space, blank ones dropped; null gives an empty array."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
@@ -140,21 +146,21 @@ def normalize_spacing(text: Column) -> Column:
     return trim_spaces(marks)
 
 
-def expand_contractions(text: Column) -> Column:
+def expand_contractions(text: Column, replace: Callable[..., Column] = _replace_words) -> Column:
     """Known words without their apostrophe get it; a lone i becomes I."""
-    return _replace_words(text, *(("(?iU)", rf"\b{word}\b", full) for word, full in CONTRACTIONS.items()), ("(?U)", r"\bi\b", "I"))
+    return replace(text, *(("(?iU)", rf"\b{word}\b", full) for word, full in CONTRACTIONS.items()), ("(?U)", r"\bi\b", "I"))
 
 
-def fix_titles(text: Column) -> Column:
-    return _replace_words(text, *(("(?iU)", p, r) for p, r in TITLES))
+def fix_titles(text: Column, replace: Callable[..., Column] = _replace_words) -> Column:
+    return replace(text, *(("(?iU)", p, r) for p, r in TITLES))
 
 
-def fix_legal_phrases(text: Column) -> Column:
-    return _replace_words(text, *(("(?iU)", p, r) for p, r in LEGAL_PHRASES))
+def fix_legal_phrases(text: Column, replace: Callable[..., Column] = _replace_words) -> Column:
+    return replace(text, *(("(?iU)", p, r) for p, r in LEGAL_PHRASES))
 
 
-def insert_commas(text: Column) -> Column:
-    return _replace_words(text, *(("(?U)" if case else "(?iU)", p, r) for case, p, r in COMMA_RULES))
+def insert_commas(text: Column, replace: Callable[..., Column] = _replace_words) -> Column:
+    return replace(text, *(("(?U)" if case else "(?iU)", p, r) for case, p, r in COMMA_RULES))
 
 
 def drop_repeated_words(text: Column) -> Column:
@@ -241,8 +247,8 @@ def speaker_and_utterance(line: Column) -> Column:
 
 def format_utterance(text: Column) -> Column:
     """All wording and sentence rules in order."""
-    text = drop_repeated_words(fix_titles(expand_contractions(normalize_spacing(text))))
-    text = capitalize_sentences(insert_commas(fix_legal_phrases(text)))
+    text = drop_repeated_words(fix_titles(expand_contractions(normalize_spacing(text), _replace_all), _replace_all))
+    text = capitalize_sentences(insert_commas(fix_legal_phrases(text, _replace_all), _replace_all))
     return fix_direct_address(fix_questions(end_sentence(text)))
 
 
