@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import export, text
+from ..sources.shared import kept
 
 
 def number_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -72,7 +73,9 @@ def paginate(lines: DataFrame, key: str, per_page: int = export.BODY_LINES_PER_P
 def export_lines(transcripts: DataFrame, fields: DataFrame, key: str = "batch_id", column: str = "transcript") -> DataFrame:
     """key, page_no, line_no, text: front page, body pages with running headers, certification page."""
     body = F.when(text.trim_spaces(F.coalesce(F.col(column), F.lit(""))) == "", F.lit("Transcript not generated yet.")).otherwise(F.col(column))
-    placed = paginate(_with_order_and_rule(body_lines(transcripts.withColumn("_body", body), key, "_body"), fields, key), key)
+    # Totals and all parts of the pages are made from these lines, which are written so that they are wrapped once.
+    lines = kept(body_lines(transcripts.withColumn("_body", body), key, "_body"), "body")
+    placed = kept(paginate(_with_order_and_rule(lines, fields, key), key), "placed")
     totals = placed.groupBy(key).agg(F.first("total_pages").alias("total_pages"))
     headed = totals.join(fields, key)
     front = headed.select(key, F.lit(1).alias("page_no"), F.posexplode(export.front_page()).alias("n", "text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import export, text
 from ..operators import transcripts
+from ..sources.shared import kept
 from . import bindings as b
 from .registry import query
 
@@ -183,7 +184,7 @@ def structured_transcripts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def structured_twice(spark: SparkSession, d: str) -> DataFrame:
     """T18 on its own output, as stored text is formatted again."""
-    once = transcripts.structure_transcripts(_turns(spark, d)).select("doc_id", F.col("transcript").alias("text"))
+    once = kept(transcripts.structure_transcripts(_turns(spark, d)).select("doc_id", F.col("transcript").alias("text")), "once")
     return transcripts.structure_transcripts(once).select("doc_id", "transcript")
 
 
@@ -214,7 +215,8 @@ def _case_fields(docs: DataFrame) -> DataFrame:
 def exported_pages(spark: SparkSession, d: str) -> DataFrame:
     """Front page, body pages and certification page of each conversation."""
     docs = _turns(spark, d)
-    return transcripts.export_lines(transcripts.structure_transcripts(docs), _case_fields(docs), "doc_id")
+    made = kept(transcripts.structure_transcripts(docs).select("doc_id", "transcript"), "transcripts")
+    return transcripts.export_lines(made, _case_fields(made), "doc_id")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, round(greatest(3.0, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) / 150.0::DOUBLE * 60), 4) AS seconds FROM texts", E)
