@@ -158,6 +158,11 @@ def transcript_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("text string, batch_id string").text(path, wholetext=True).select("batch_id", "text")
 
 
+def saved_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, text: the table of transcripts that sinks.save_transcripts writes."""
+    return spark.read.schema("batch_id string, text string").parquet(path)
+
+
 def record_store(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the record store with its declared schema; missing columns of older files are null."""
     schema = {"batches": schemas.BATCHES, "pages": schemas.PAGES}.get(name)

@@ -79,12 +79,24 @@ def write_manifest(crops: DataFrame, path: str) -> None:
 
 def write_transcripts(batches: DataFrame, path: str) -> DataFrame:
     """Writes transcript_text, stripped and with one closing line break (the writer's own), to a folder a batch, and
-    returns batches with saved_location. A null text is an empty one."""
-    text = trim_spaces(F.coalesce("transcript_text", F.lit("")))
-    batches.select("batch_id", text.alias("value")).write.mode("overwrite").partitionBy("batch_id").option("lineSep", "\n").text(path)
+    returns batches with saved_location. A null text is an empty one. Folders are listed and put in place by the driver,
+    some milliseconds each: for chosen batches that other programs read; a corpus goes to save_transcripts."""
+    _transcripts(batches).withColumnRenamed("text", "value").write.mode("overwrite").partitionBy("batch_id").option("lineSep", "\n").text(path)
     return batches.withColumn("saved_location", F.concat(F.lit(f"{path}/batch_id="), F.col("batch_id")))
 
 
+def save_transcripts(batches: DataFrame, path: str) -> DataFrame:
+    """As write_transcripts, but as a table with a whole transcript a row, in a file a task, so that the number of files
+    does not follow the number of batches. saved_location is the table and, behind #, the batch's key in it; rows that
+    share a batch_id, or lack one, stay rows of their own."""
+    _transcripts(batches).withColumn("text", F.concat("text", F.lit("\n"))).write.mode("overwrite").parquet(path)
+    return batches.withColumn("saved_location", F.concat(F.lit(f"{path}#"), F.col("batch_id")))
+
+
+def _transcripts(batches: DataFrame) -> DataFrame:
+    return batches.select("batch_id", trim_spaces(F.coalesce("transcript_text", F.lit(""))).alias("text"))
+
+
 def split_summary_document(summary: DataFrame, sources: DataFrame) -> DataFrame:
     """One row with the maps label_counts and per_class, for a JSON file. summary: label, total, train, val, test;
     sources: source, label, n. Maps are as long as the vocabulary."""

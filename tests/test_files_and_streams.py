@@ -6,6 +6,7 @@ import os
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillmark import plans
 from quillmark.operators import datasets, recognition
 from quillmark.sources import files, sinks
 from quillmark.streaming import arrivals
@@ -125,6 +126,22 @@ def test_transcript_writers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/e").count() == 1
 
 
+def test_transcripts_of_many_batches_lie_in_few_files(spark, tmp_path):
+    rows = [(f"b{i}", f" text {i} \n") for i in range(400)] + [("b/=#", "x\r\ny"), ("twice", "one"), ("twice", None), (None, "no key")]
+    batches = spark.createDataFrame(rows, "batch_id string, transcript_text string").repartition(3)
+    out = sinks.save_transcripts(batches, f"{tmp_path}/t")
+    assert {r["saved_location"] for r in out.where("batch_id = 'b7'").collect()} == {f"{tmp_path}/t#b7"}
+    got = [tuple(r) for r in files.saved_transcripts(spark, f"{tmp_path}/t").collect()]
+    assert sorted(got, key=str) == sorted([(k, (t or "").strip() + "\n") for k, t in rows], key=str)
+    assert sum(name.startswith("part-") for name in os.listdir(f"{tmp_path}/t")) == 3
+
+
+def test_saved_transcripts_query_plans_no_folder_a_document(spark, sf):
+    inputs = plans.QUERIES["transcripts_saved"](spark, sf).inputFiles()
+    assert 0 < len(inputs) <= 4
+
+
+
 def test_streams_equal_the_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     for i in range(3):
