@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import clean_words
 from ..sources.shared import kept
-from .evaluation import number_rows, number_within
+from .evaluation import number_hashed, number_within
 
 # Fixed values ---------------------------------------------------------------------------------------------------
 REPEATS = {"clean": 1, "handwritten": 5, "demo": 20, "rpi": 25, "v53": 250}
@@ -212,10 +212,12 @@ def tail_holdout(items: DataFrame, share: float = 0.15) -> DataFrame:
 
 
 def oversample(items: DataFrame, repeats: dict[str, int] | None = None) -> DataFrame:
-    """Each item as often as its source says, with copy_no; sources of repeat 0 or unknown ones add nothing."""
+    """Each item as often as its source says, with copy_no; sources of repeat 0 or unknown ones add nothing. Items are dealt
+    out before they are repeated: a small file is read by one task, which would then make all copies of its items."""
     pairs = [F.lit(v) for kv in (REPEATS if repeats is None else repeats).items() for v in kv]
     times = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(0))
-    return items.withColumn("_t", times).where("_t >= 1").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t")
+    dealt = items.withColumn("_t", times).where("_t >= 1").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t")
 
 
 def merge_sources(*sources: DataFrame) -> DataFrame:
@@ -226,9 +228,9 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
 
 
 def shuffled(items: DataFrame, seed: int = 42, order_key: Column | None = None) -> DataFrame:
-    """Adds place: the row's number (from 1) in a reproducible random order."""
+    """Adds place: the row's number (from 1) in a reproducible random order, that of a hash: order_key, best a long or binary."""
     key = F.xxhash64("path", "copy_no", F.lit(seed)) if order_key is None else order_key
-    return number_rows(items.withColumn("_key", key), ["_key", "path", "copy_no"], "place").drop("_key")
+    return number_hashed(items.withColumn("_key", key), ["_key", "path", "copy_no"], "place").drop("_key")
 
 
 def source_counts(items: DataFrame) -> DataFrame:

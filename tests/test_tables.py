@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import datasets, evaluation, layout, recognition, records
@@ -293,3 +294,24 @@ def test_words_are_counted_before_they_meet_the_labels(spark):
     assert sorted(map(tuple, counts.collect()), key=str) == [("x", 2), (None, 1)]
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_items_of_one_task_are_dealt_out_before_they_are_repeated(spark):
+    items = spark.createDataFrame([(f"p{i}", "demo") for i in range(40)], "path string, source string").coalesce(1)
+    copies = datasets.oversample(items)
+    assert len({r["t"] for r in copies.select(F.spark_partition_id().alias("t")).distinct().collect()}) > 1
+    assert copies.count() == copies.distinct().count() == 40 * 20
+
+
+def test_numbers_in_the_order_of_a_hash(spark):
+    long = [(F.xxhash64("id") if i else F.lit(None).cast("long")) for i in (0, 1)]
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 == 0, long[0]).when(F.col("id") % 7 == 0, F.lit(-5).cast("long")).otherwise(long[1]).alias("h"), (-F.col("id")).alias("id"), (F.col("id") % 3).alias("k"))
+    short = F.when(F.col("k") == 0, F.unhex(F.md5(F.col("id").cast("string")))).when(F.col("id") % 2 == 0, F.unhex(F.lit("01"))).when(F.col("id") % 5 == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.lit("0102")))
+    for made in (rows, rows.withColumn("h", short), rows.withColumn("h", F.hex(short)), rows.withColumn("h", F.lit(1).cast("long"))):
+        for rows_a_range in (1_000_000, 300):  # the last falls back on sampled borders where a hash is too common
+            got = evaluation.number_hashed(made, ["h", "id"], "n", rows_a_range=rows_a_range)
+            assert got.columns == ["h", "id", "k", "n"]
+            plain = made.withColumn("n", F.row_number().over(Window.orderBy("h", "id")).cast("long"))
+            assert got.exceptAll(plain).count() == 0 and got.count() == 3000
+    assert evaluation.number_hashed(rows.limit(0), ["h", "id"]).count() == 0
+    assert not [f for f in evaluation.number_hashed(rows, ["h", "id"]).inputFiles() if "-ranges-" in f]
