@@ -239,3 +239,20 @@ def test_columns_are_dropped_before_the_last_block():
     for i in range(own.sum()):
         best = sorted(zip(-full[i], ids, strict=True))[:20]
         assert scores[i].tolist() == [-s for s, _ in best] and found[i].tolist() == [j for _, j in best]
+
+
+def test_rounds_of_components_plan_each_star_once(spark, monkeypatch):
+    """What the driver plans, and keeps of a plan, does not hold one star several times over in the next."""
+    from quillmark.llm import _common
+
+    reads, plain = [], _common.written
+
+    def written(df, **options):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return plain(df, **options)
+
+    monkeypatch.setattr(_common, "written", written)
+    chain = [(i, i + 1) for i in range(40)]
+    got = {r["node"]: r["component"] for r in edges_to_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    assert 2 <= max(reads) <= 8
