@@ -79,6 +79,30 @@ def test_word_bpe_equals_the_library():
         assert shown == lib.decode(want, skip_special_tokens=False), repr(text)
 
 
+def test_word_bpe_batches_equal_the_library():
+    own, lib = bpe.WordBpe.load(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    spaces = [f"A{c}b{c}{c}.{c}" for c in map(chr, range(0x3001)) if c.isspace()]
+    odd = ["J\u030cT\u0308 W\u030a", "<|startoftext|>A<|endoftext|> <|endoftext|>", "no<|end oftext|>", "we'll it's' 'S.,", "x1.5%...", "Word.'s,;"]
+    for texts in (mixed(3000, 6) + TEXTS + spaces + odd, [None], ["", ""], [" "], ["<|endoftext|>"], ["\x1c"], [], ["a" * 200_000, "ab " * 100_000]):
+        for column in (pa.array(texts, pa.string()), pa.array(["cut off", *texts], pa.string())[1:]):
+            ids, shown = own.encode_all(column)
+            assert len(ids) == len(shown) == len(texts)
+            for text, i, s in zip(texts, ids.to_pylist(), shown.to_pylist(), strict=True):
+                want = lib.encode(text or "", add_special_tokens=False).ids
+                assert np.frombuffer(i, "<u4").tolist() == want, repr(text)
+                assert s == lib.decode(want, skip_special_tokens=False), repr(text)
+
+
+def test_word_bpe_looks_at_a_piece_once(monkeypatch):
+    """However little the memo holds, a slice's work on words grows with its distinct pieces."""
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1)
+    own, seen = bpe.WordBpe(bpe.default_path()), []
+    monkeypatch.setattr(own, "normalize", lambda piece: seen.append(piece) or bpe.WordBpe.normalize(own, piece))
+    ids, _ = own.encode_all(pa.array(["Every word, every text."] * 500))
+    assert len(set(ids.to_pylist())) == 1 and sorted(seen) == ["Every", "every", "text.", "word,"]
+    assert len(own.memo) <= 1 and len(own.memo.old) <= 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=700))
 def test_simple8b_round_trip(values):
