@@ -175,10 +175,61 @@ def align(expected: DataFrame, crops: DataFrame, labels: DataFrame, keys: list[s
     nothing = lambda rows, c: F.lit(None).cast(rows.select(c.alias("x")).schema["x"].dataType)
     words = _marked(expected, labels)
     both = words.select(*keys, word.alias("word"), nothing(crops, crop).alias("crop"), "unknown").unionByName(crops.select(*keys, nothing(words, word).alias("word"), crop.alias("crop"), F.lit(False).alias("unknown")))
-    lines = both.groupBy(*keys).agg(F.count("word").alias("n_expected"), F.count("crop").alias("n_crops"), F.max("unknown").alias("unknown"), F.collect_list("word").alias("words"), F.collect_list("crop").alias("crops")).withColumn("status", _status())
-    pairs = F.arrays_zip(F.array_sort("words").alias("w"), F.array_sort("crops").alias("c"))
-    labelled = lines.where("status = 'ok'").select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.w.label").alias("label"), "p.c.*")
-    return labelled, lines.where("status <> 'ok'").select(*keys, "n_expected", "n_crops", "status")
+    lines = both.groupBy(*keys).agg(F.array_sort(F.collect_list("word")).alias("words"), F.array_sort(F.collect_list("crop")).alias("crops"), F.max("unknown").alias("unknown"))
+    return align_lists(lines.withColumn("words", F.col("words.label")), keys)
+
+
+def align_lists(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """align for lines whose labels and crops lie in one row: keys, words and crops (labels and structs, each in order) and
+    unknown (of mark_unknown). Nothing is shuffled. A line with neither labels nor crops is none."""
+    counted = lines.withColumn("n_expected", F.size("words").cast("long")).withColumn("n_crops", F.size("crops").cast("long")).withColumn("status", _status())
+    # Without _outer, Spark would look for empty lists first, which makes it take the words out of each line twice.
+    placed = counted.where("status = 'ok'").select(*keys, "crops", F.posexplode_outer("words").alias("_place", "label")).where("_place IS NOT NULL")
+    labelled = placed.select(*keys, "label", F.get("crops", F.col("_place")).alias("_crop")).select(*keys, "label", "_crop.*")
+    return labelled, counted.where("status <> 'ok'").select(*keys, "n_expected", "n_crops", "status")
+
+
+#: Bound on the longs of a sieve (16 MB).
+SIEVE_SLOTS = 1 << 21
+
+
+def _sieve(members: DataFrame, most_slots: int = SIEVE_SLOTS) -> Column:
+    """Whether `label` may be a member's: true for every member, and for few other labels as long as there are ten bits or
+    more to a member. A label's hash names a long of the sieve and three of its bits. Tasks get the sieve as one array,
+    whose size is bounded, however many members there are."""
+    slots = 1 << min((members.count() * 24 // 64).bit_length(), most_slots.bit_length() - 1)
+    label_hash = F.xxhash64("label")
+    slot = F.shiftrightunsigned(label_hash, 24).bitwiseAND(F.lit(slots - 1).cast("long"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(label_hash, 6 * n).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    bits = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    empty = members.sparkSession.range(slots).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    longs = members.select(slot.alias("slot"), bits.alias("bits")).union(empty).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    # In two steps, so that no task holds a struct for each long.
+    in_order = lambda at: F.col(f"rows.{at}")
+    blocks = longs.groupBy(F.shiftright("slot", 10).alias("block")).agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).alias("rows")).select("block", in_order("bits").alias("bits"))
+    whole = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("rows")).select(F.flatten(in_order("bits")))
+    return F.get(whole.scalar(), slot.cast("int")).bitwiseAND(bits) == bits
+
+
+def unknown_lines(expected: DataFrame, unknown: DataFrame, keys: list[str], most_slots: int = SIEVE_SLOTS) -> DataFrame:
+    """keys of the lines with a label that is among the unknown ones (distinct), or null. Only labels that a sieve lets pass
+    are shuffled to meet the unknown ones, so neither all words of the lines are, nor are the unknown ones broadcast, whose
+    number grows with the lines."""
+    held = expected.select(*keys, "label").where(F.col("label").isNull() | _sieve(unknown, most_slots))
+    found = held.join(unknown.select("label", F.lit(True).alias("_found")), "label", "left")
+    return found.where(F.col("label").isNull() | F.col("_found")).select(*keys).distinct()
+
+
+def mark_unknown(lines: DataFrame, found: DataFrame, key: str, number: str) -> DataFrame:
+    """lines with unknown: whether the line is among those found (key, number). A key's numbers (from 1) come as one array to
+    lines that are dealt out by the key, which are neither shuffled again nor sorted."""
+    flags = lambda a: F.flatten(F.transform(a, lambda n, i: F.concat(F.array_repeat(F.lit(False), (n - F.when(i > 0, F.get(a, i - 1)).otherwise(0) - 1).cast("int")), F.array(F.lit(True)))))
+    # The key comes as an aggregate, as a test for null on the key itself would reach the scan of the found lines only, and what
+    # the lines and the found ones both read would be shuffled twice.
+    lists = found.groupBy(F.col(key).alias("_key")).agg(F.max(key).alias(key), F.array_sort(F.collect_set(number)).alias("_n"))
+    by_key = lists.select(key, text.let(F.col("_n"), flags).alias("_flags"))
+    marked = lines.join(by_key.hint("shuffle_hash"), key, "left")
+    return marked.withColumn("unknown", F.coalesce(F.get("_flags", F.col(number) - 1), F.lit(False))).drop("_flags")
 
 
 def alignment_summary(labelled: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillmark import plans
 from quillmark.operators import datasets, evaluation, layout, recognition, records
 from quillmark.plans import bindings
 
@@ -288,6 +289,62 @@ def test_alignment_in_one_gathering_and_by_both_joins(spark):
         assert sorted(r["line"] for r in datasets._marked(expected, labels, most).where("unknown").collect()) == [2, 5]
 
 
+def test_lines_with_unknown_words_are_found_through_a_sieve(spark):
+    words = spark.range(4000).select((F.col("id") % 40).alias("doc"), (F.floor(F.col("id") / 400) + 1).cast("int").alias("line"), F.concat(F.lit("w"), "id").alias("label"))
+    unknown = spark.createDataFrame([(f"w{n}",) for n in (0, 3, 403, 883, 3999, 9999)], "label string")
+    odd = spark.createDataFrame([(50, 2, None), (50, 3, "w3"), (50, 3, "w3"), (50, 4, "w1")], "doc long, line int, label string")
+    want = [(0, 1), (3, 1), (3, 2), (3, 3), (39, 10), (50, 2), (50, 3)]
+    for most_slots in (1, datasets.SIEVE_SLOTS):  # a sieve of one long lets many others pass
+        found = datasets.unknown_lines(words.union(odd), unknown, ["doc", "line"], most_slots)
+        assert sorted(map(tuple, found.collect())) == want
+    assert datasets.unknown_lines(words, unknown.limit(0), ["doc", "line"]).count() == 0
+    members = words.where("doc % 10 = 0").select("label")
+    passed = words.where(datasets._sieve(members))
+    assert passed.join(members, "label", "left_semi").count() == members.count() and passed.count() < 1.05 * members.count()
+    lines = words.union(odd).select("doc", "line").distinct()
+    marked = datasets.mark_unknown(lines, datasets.unknown_lines(words.union(odd), unknown, ["doc", "line"]), "doc", "line")
+    assert marked.count() == lines.count() and sorted((r["doc"], r["line"]) for r in marked.where("unknown").collect()) == want
+    assert marked.where("unknown IS NULL").count() == 0
+
+
+def test_alignment_of_lists_in_a_row(spark):
+    rows = [(1, ["a", "b"], [(2,), (4,)], False), (2, ["zz"], [(2,)], True), (3, ["a", "a"], [(2,)], False), (4, [], [(2,)], False), (5, [], [], False), (6, ["a"], [], True)]
+    lines = spark.createDataFrame(rows, "line int, words array<string>, crops array<struct<word_index:int>>, unknown boolean")
+    labelled, skipped = datasets.align_lists(lines, ["line"])
+    assert sorted(map(tuple, labelled.select("line", "word_index", "label").collect())) == [(1, 2, "a"), (1, 4, "b")]
+    assert sorted(map(tuple, skipped.collect())) == [(2, 1, 1, "unknown_label"), (3, 2, 1, "crop_count_mismatch"), (4, 0, 1, "crop_count_mismatch"), (6, 1, 0, "crop_count_mismatch")]
+    assert tuple(datasets.alignment_summary(labelled, skipped).first()) == (2, 2, 4)
+
+
+def _rows_shuffled(spark, run) -> int:
+    context = spark.sparkContext
+    none = spark._jvm.java.util.ArrayList()
+
+    def written() -> int:
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    before = written()
+    run()
+    return written() - before
+
+
+@pytest.mark.parametrize("name", ["alignment_summary"])
+def test_lines_are_aligned_without_a_shuffle_of_their_words(spark, sf, tmp_path, monkeypatch, name):
+    """As with a vocabulary over all bounds on what is broadcast."""
+    documents = bindings.table(spark, sf, "documents")
+    documents.crossJoin(spark.range(8).select((F.col("id") * 1_000_000).alias("shift"))).withColumn("doc_id", F.col("doc_id") + F.col("shift")).drop("shift").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(datasets._marked, "__defaults__", (0,))
+    words = plans.QUERIES["labelled_crops"](spark, str(tmp_path)).count()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _rows_shuffled(spark, lambda: plans.QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()) < words
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_words_are_counted_before_they_meet_the_labels(spark):
     words = spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "label string")
     counts = datasets.unknown_label_counts(words, spark.createDataFrame([("a",)], "label string"))
